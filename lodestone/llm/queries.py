@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import neardup, packing, quality, toxicity
+from lodestone.llm import bpe, langid, neardup, packing, quality, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_table(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,5 +32,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_minhash_near_dedup, op5_quality, op6_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages_of(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Place of a file of the installed package of public tokenizers, on the driver and the executors alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op8_language_id)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS smallest FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND smallest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND smallest <> page_id THEN smallest END AS refers_to
+        FROM f""",
+}
