@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, langid, neardup, packing, quality, toxicity, warc
+from lodestone.llm import bpe, langid, neardup, neighbours, packing, quality, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op7_nearest, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
