@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, langid, neardup, neighbours, packing, quality, toxicity, warc
+from lodestone.llm import bpe, images, langid, lm, neardup, neighbours, packing, quality, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -41,6 +41,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.render(table(spark, sf_dir, "pages")))
+
+
 def vocabulary(name: str) -> str:
     """Place of a file of the installed package of public tokenizers, on the driver and the executors alike."""
     import public_tokenizers
@@ -48,7 +56,7 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op7_nearest, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op7_nearest, op8_language_id, op9_lm_scoring, op10_image_copies)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
