@@ -1,0 +1,6 @@
+"""All queries: importing this package registers them."""
+
+from lodestone.plans import retrieval  # noqa: F401
+from lodestone.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
