@@ -15,10 +15,15 @@ as there is nothing to pack. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import common, words
+
 FINE = 1024
 
 
@@ -60,15 +65,27 @@ def rounded(n: Column) -> Column:
     return F.when(n <= FINE, n).otherwise((F.ceil(n / step) * step).cast("long"))
 
 
-def n_words(text: Column) -> Column:
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "))) + 1).cast("long")
+def n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts = [np.zeros(0, np.int64)]
+        for _, _, data, offsets in common.slices(b.column("text")):
+            word = words.NOT_SPACE[data]
+            begins = word.copy()
+            begins[1:] &= ~word[:-1]
+            at = offsets[:-1][np.diff(offsets) > 0]
+            begins[at] = word[at]
+            counts.append(np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "n_tokens"])
 
 
 def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, budget: int = 16384, salts: int | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), padded_to, batch (within its bucket, from 0) and place (within its batch)."""
     spark = docs.sparkSession
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words(F.col("text")) if length is None else F.coalesce(length.cast("long"), F.lit(0))).alias("n_tokens"))
+    if length is None:
+        measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(n_words, "doc_id long, n_tokens long")
+    else:
+        measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
+    measured = common.saved(measured, "lengths")
     histogram = measured.where("n_tokens > 0").groupBy(rounded(F.col("n_tokens")).alias("end")).count().orderBy("end").collect()  # bounded by the bins
     ends = bucket_ends(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
     total = sum(r[1] for r in histogram)
