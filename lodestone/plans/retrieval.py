@@ -162,7 +162,7 @@ def retrieval_rerank_fill(t: Tables) -> DataFrame:
     return rt.reranked(hits, scored.unionByName(worse).unionByName(outside), 10)
 
 
-@query("""WITH o AS (SELECT item_id AS query_id, 0 AS src, 'original' AS source, 0 AS ord, text AS phrasing FROM benchmark), n AS (SELECT item_id AS query_id, 1 AS src, 'normalised' AS source, 0 AS ord, lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS phrasing FROM benchmark),
+@query("""WITH o AS (SELECT item_id AS query_id, 0 AS src, 'original' AS source, 0 AS ord, text AS phrasing FROM benchmark), n AS (SELECT item_id AS query_id, 1 AS src, 'normalised' AS source, 0 AS ord, replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))), 'ß', 'ss') AS phrasing FROM benchmark),
     y AS (SELECT item_id AS query_id, 2 AS src, 'synonym' AS source, s.ord, replace(text, s.term, s.synonym) AS phrasing FROM benchmark, (VALUES (0, 'the', 'a'), (1, 'and', 'plus'), (2, 'of', 'from')) s(ord, term, synonym) WHERE contains(text, s.term)),
     u AS (SELECT * FROM o UNION ALL SELECT * FROM n UNION ALL SELECT * FROM y), f AS (SELECT query_id, phrasing, min({'src': src, 'ord': ord, 'source': source}) AS seen FROM u WHERE trim(phrasing) <> '' GROUP BY ALL),
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seen.src, seen.ord, phrasing) AS ordinal, phrasing, seen.source AS source FROM f) SELECT query_id, ordinal, phrasing, source FROM r WHERE ordinal <= 4""")
