@@ -7,11 +7,15 @@
 3. Prefix: with every class's coordinate-value pairs in one global order, rarest first, two classes that agree in m
    places share one among their first COORDINATES - m + 1. Only those are posted, so the long lists of common
    passages are skipped unless most of a text is made of them; a value of one class alone is not posted either.
-4. Each list ties its members to its smallest id, not to each other. Matching coordinates are counted on both whole
-   signatures, then the link is confirmed on both whole sets; confirmed links give groups.
+4. Each list ties its members to its most central one (whose values are the most common), not to each other. Matching
+   coordinates are counted on both whole signatures, then the link is confirmed on both whole sets; confirmed links
+   give groups.
 5. What step 4 has left apart is compared in full: in every list whose members lie in several groups, members outside
-   the group of the smallest id meet all members of other groups. A group of n copies so costs about n comparisons,
-   and no pair that could join two groups stays untested.
+   the central one's group meet all members of other groups. A group of n copies so costs about n comparisons, and no
+   pair that could join two groups stays untested. Members of lists of over `LONG` instead meet by whole shingles, again
+   by their prefixes, rarest first: a pair goes on if a shared shingle stands so early in both that enough can follow.
+
+Texts are joined by id only after a filter that keeps the documents of a bitmap of `BITS` hashed ids, of bounded size.
 
 Groups are the components of the links, found by joins that pass the smallest id on.
 
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import common, words
 
 COORDINATES = 48
-TOGETHER = 64
+TOGETHER, LONG, BITS = 64, 32, 1 << 26
 _FACTORS = np.random.default_rng(48).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -131,10 +135,53 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     partners = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    dealt = partners.unionByName(heads).join(texts, F.col("doc") == texts.doc_id).select("a", "part", "role", "doc", "text")
+    need = partners.unionByName(heads)
+    dealt = need.join(_among(texts, need.select("doc")), F.col("doc") == F.col("doc_id")).select("a", "part", "role", "doc", "text")
     return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role", "doc").mapInArrow(run, "a long, b long")
 
 
+def _among(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """Texts whose id is in need's only column, and a few others: as many as share one of BITS bits with one that is."""
+    bit = F.pmod(F.xxhash64(need.columns[0]), F.lit(BITS)) + 1
+    maps = need.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
+    byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
+    placed = texts.withColumns({"bucket": F.bitmap_bucket_number(own), "place": F.bitmap_bit_position(own)})
+    return placed.join(F.broadcast(maps), "bucket").where(F.bit_get(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "text")  # BITS / 8 bytes at most
+
+
+def _crowd_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, component, n) in different groups whose sets can be similar enough.
+
+    Of the sets in one order, rarest shingle first, a linked pair's first common shingle stands at places x and y (from
+    0) with at most min(n_a - x, n_b - y) common ones from there on; that must reach the least intersection of a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = list(shingle_sets(part.column("text"), size))
+                ids = np.repeat(part.column("rep").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["rep", "shingle"])
+
+    reps = crowd.select("rep")
+    every = reps.join(_among(texts, reps), F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(run, "rep long, shingle long")
+    several = every.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
+    ordered = every.join(several, "shingle").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("uses", "shingle"))).alias("of")).join(crowd, "rep")
+    alone = F.col("n") - F.size("of")  # shingles of this member only come first
+    room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    posted = ordered.withColumn("room", room.cast("int")).where("room > 0").select("rep", "component", "n", alone.alias("alone"), F.posexplode(F.slice("of", F.lit(1), F.col("room"))).alias("nth", "x"))
+    posted = posted.select(F.col("x.shingle").alias("shingle"), "rep", "component", "n", (F.col("n") - F.col("alone") - F.col("nth")).alias("left"))
+    posted = common.saved(posted.where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100))), "crowd")  # no partner can be smaller
+    heads = posted.groupBy("shingle").agg(F.max_by("component", F.struct("left", "rep")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "head")
+    lists = posted.join(heads, "shingle")
+    one = lists.where("component <> head").select("shingle", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("left").alias("lp"))
+    two = lists.select("shingle", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("left").alias("lq"), (F.col("component") == F.col("head")).alias("of_head"))
+    possible = (100 + percent) * F.least("lp", "lq") >= percent * (F.col("np") + F.col("nq"))
+    return one.join(two, "shingle").where(F.expr("cp <> cq AND (of_head OR p < q)") & possible).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of the links (a, b) reaches. links should be a saved table.
 
@@ -166,20 +213,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
     classes = common.saved(classes, "classes")
     posted = common.saved(_postings(classes, matches(percent)), "postings")
-    leaders = posted.groupBy("key").agg(F.min("rep").alias("a"))
-    star = posted.join(leaders, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    leaders = posted.groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
+    star = posted.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     star = common.saved(_agreeing(star, classes, percent), "star")
     links = common.saved(_confirmed(star, texts, size, percent), "links")
     groups = components(links)
     # what lies in one list but not in one group
-    at = posted.join(groups, posted.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    heads = at.groupBy("key").agg(F.min_by("component", "rep").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = common.saved(at.join(heads.select("key", "head"), "key"), "mixed")
-    one = mixed.where("component <> head").select("key", F.col("rep").alias("p"), F.col("component").alias("cp"))
-    two = mixed.select("key", F.col("rep").alias("q"), F.col("component").alias("cq"), (F.col("component") == F.col("head")).alias("of_head"))
-    rest = one.join(two, "key").where("cp <> cq AND (of_head OR p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = common.saved(_agreeing(rest, classes, percent), "rest").join(star, ["a", "b"], "left_anti")
+    at = posted.join(groups, posted.rep == groups.node, "left").select("key", "rep", "central", F.coalesce("component", "rep").alias("component"))
+    heads = at.groupBy("key").agg(F.max_by("component", F.struct("central", -F.col("rep"))).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    mixed = at.join(heads.where("low < high").select("key", "head", "members"), "key").drop("central")
+    mixed = common.saved(mixed.join(classes.select("rep", "n"), "rep"), "mixed")
+    crowd = common.saved(mixed.where(F.col("members") > LONG).select("rep", "component", "n").distinct(), "crowd-members")
+    few = mixed.where(F.col("members") <= LONG)
+    one = few.where("component <> head").select("key", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"))
+    two = few.select("key", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), (F.col("component") == F.col("head")).alias("of_head"))
+    possible = 100 * F.least("np", "nq") >= percent * F.greatest("np", "nq")
+    near = one.join(two, "key").where(F.expr("cp <> cq AND (of_head OR p < q)") & possible).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    rest = near.unionByName(_crowd_pairs(crowd, texts, size, percent)).distinct()
+    rest = common.saved(_agreeing(rest, classes, percent), "rest").join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = common.saved(_confirmed(rest, texts, size, percent), "more")
     if more.limit(1).count():
         groups = components(common.saved(links.unionByName(more), "all-links"))
@@ -190,11 +242,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
-    """key (coordinate and value in one number), rep: the rarest COORDINATES - least + 1 of each class, unless of it alone."""
+    """key (coordinate and value in one number), rep, central (how common all of its values are): the rarest COORDINATES - least + 1 of each class, unless of it alone."""
     key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     every = classes.select("rep", F.posexplode("signature").alias("pos", "value")).select("rep", key.alias("key"))
     common_keys = every.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1")
     # keys of one class alone come first in its order: what stays of its prefix is so many fewer of the shared ones
     shared = every.join(common_keys, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("uses", "key"))).alias("of"))
     room = F.size("of") - F.lit(least - 1)
-    return shared.where(room > 0).select("rep", F.explode(F.slice("of", F.lit(1), room)).alias("x")).select("x.key", "rep")
+    central = F.aggregate("of", F.lit(0).cast("long"), lambda total, x: total + x["uses"])
+    return shared.where(room > 0).select("rep", central.alias("central"), F.explode(F.slice("of", F.lit(1), room)).alias("x")).select("x.key", "rep", "central")
