@@ -113,8 +113,11 @@ class LanguageModel:
         inside = np.arange(BLOCK) < size[:, None]
         e = np.where(inside[..., None], local[np.minimum(place, len(local) - 1)], 1.0)
         product = np.broadcast_to(np.eye(k), (len(owner), k, k)).copy()
+        begins = nth == 0  # no step leads to a text's first word
         for t in range(BLOCK):
             moved = product @ step * e[:, t, None, :]
+            if t == 0:
+                moved = np.where(begins[:, None, None], product * e[:, 0, None, :], moved)
             moved /= moved.max(axis=(1, 2), keepdims=True)
             product = np.where(inside[:, t, None, None], moved, product)
         # messages at the blocks' borders, block by block over all texts at once
@@ -131,6 +134,8 @@ class LanguageModel:
         forward, alpha = np.empty_like(e), into
         for t in range(BLOCK):
             moved = alpha @ step * e[:, t]
+            if t == 0:
+                moved = np.where(begins[:, None], alpha * e[:, 0], moved)
             moved /= moved.sum(axis=1, keepdims=True)
             alpha = np.where(inside[:, t, None], moved, alpha)
             forward[:, t] = alpha

@@ -76,7 +76,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, bounds = words.hash_words(data, offsets, words.LETTERS)
             sets = [np.unique(found[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(end - first)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("is_p").slice(first, end - first), lists], names=["is_p", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), batch.column("is_p").slice(first, end - first), lists], names=["doc_id", "is_p", "words"])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 12000, n_features: int = 512, n_models: int = 3, folds: int = 5, held_out: int = 0) -> ToxicityModel:
@@ -88,9 +88,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive
     prior = min(0.5, max(1e-3, ones / n))
     order = F.xxhash64("doc_id")
     positive = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("is_p"))
-    unlabelled = docs.select("doc_id").where(common.fold(F.col("doc_id"), folds) != held_out).orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("is_p"))
+    unlabelled = docs.select("doc_id").where(common.fold(F.col("doc_id"), folds) != held_out).orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("is_p")).distinct()
     chosen = F.broadcast(positive.unionByName(unlabelled))  # max_positive + max_unlabelled rows at most
-    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select("is_p", "text").mapInArrow(_word_sets, "is_p boolean, words array<bigint>")
+    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "is_p", "text").mapInArrow(_word_sets, "doc_id long, is_p boolean, words array<bigint>")
     sets = common.saved(sets, "toxicity-sample")
     sizes = {r["is_p"]: r["count"] for r in sets.groupBy("is_p").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
@@ -101,7 +101,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive
     apart = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     chosen_words = counts.where(F.col("p") + F.col("u") >= 4).orderBy(apart.desc(), "word").limit(n_features).select("word")
     hashes = np.sort(np.array([r[0] for r in chosen_words.collect()], np.int64).view(np.uint64))
-    rows = sets.select("is_p", F.array_intersect("words", F.array(*[F.lit(int(h)) for h in hashes.view(np.int64)]) if len(hashes) else F.array().cast("array<bigint>")).alias("words")).collect()  # n_features words a row at most
+    rows = sets.select("doc_id", "is_p", F.array_intersect("words", F.array(*[F.lit(int(h)) for h in hashes.view(np.int64)]) if len(hashes) else F.array().cast("array<bigint>")).alias("words")).collect()  # n_features words a row at most
+    rows.sort(key=lambda r: (r["doc_id"], sorted(r["words"])))  # the same model however the rows lie
     x = np.zeros((len(rows), len(hashes)), np.uint8)
     for i, r in enumerate(rows):
         x[i, np.searchsorted(hashes, np.array(r["words"], np.int64).view(np.uint64))] = 1
