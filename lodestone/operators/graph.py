@@ -40,7 +40,7 @@ def route(confidence: Column, schema: Column, evidence: Column, conflict: Column
 def expand(edges: DataFrame, frontier: DataFrame, *, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """query, relation, src, tgt, node (the end reached) of the edges at each query's frontier (query, node)."""
     e = edges if relations is None else edges.where(F.col("relation").isin(*relations))
-    f = F.broadcast(frontier)  # the caller's bound on nodes times its queries
+    f = frontier  # grows with the queries: how it is joined is left to its size
     parts = []
     if direction in ("outbound", "both"):
         parts.append(e.join(f.withColumnRenamed("node", "src"), "src").select("query", "relation", "src", "tgt", F.col("tgt").alias("node")))
@@ -88,6 +88,17 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, direction:
     return kept.join(truncated, "query").select("query", F.col("hop").cast("long").alias("hop"), "relation", "src", "tgt", "truncated")
 
 
+def within_budget(neighbours: Column, size: Column, budget: int) -> Column:
+    """The neighbours that stay when the farthest is dropped until all and the text of `size` characters fit: of two as far, the following one goes first.
+
+    neighbours: array of structs that begin with distance and side (0: before, 1: after) and hold `size`; nulls and those
+    without a distance are not there. Sizes are not negative, so what stays is the longest run of the nearest that fits.
+    """
+    near = F.array_sort(F.filter(neighbours, lambda x: x["distance"].isNotNull()))
+    upto = lambda i: F.aggregate(F.slice(near, F.lit(1), i + 1), size.cast("long"), lambda total, x: total + x["size"])
+    return F.filter(near, lambda x, i: upto(i) <= budget)
+
+
 def hydrated(relations: DataFrame, evidence: DataFrame, cap: int = 20) -> DataFrame:
     """Up to `cap` pieces of evidence of each relation by id, with their place from 0; a relation without any keeps one row of nulls."""
     place = F.row_number().over(Window.partitionBy("src", "tgt").orderBy("evidence_id")).cast("long") - 1

@@ -17,17 +17,21 @@ from lodestone.functions import text as tx
 RRF_K = 60
 
 
+def in_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
+    """The queries in parts of about `block` rows, by the hash of their key; a null key goes with the first."""
+    n = max(1, -(-queries.count() // block))
+    part = F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)), F.lit(0))
+    return [queries] if n == 1 else [queries.where(part == i) for i in range(n)]
+
+
 def exact_topk(points: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector_column: str = "embedding", query_id: str = "vec_id", query_vector: str = "embedding", min_score: float | None = None, block: int = 4096) -> DataFrame:
     """query_id, id, score (cosine, 9 digits) and rank of the k points most similar to each query.
 
     Queries go to the points in blocks of about `block`. Each task keeps its own k best for a query, so k rows a task and
     query are shuffled. Ties go to the smaller id.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
     best = None
-    for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
+    for part in in_blocks(queries, query_id, block):
         table = part.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).toArrow()
         ids = table["q"].to_numpy()
         matrix = np.array(table["v"].to_pylist(), float).reshape(len(ids), -1)
@@ -61,17 +65,26 @@ def _local_best(ids: np.ndarray, queries: np.ndarray, k: int, min_score: float |
     return run
 
 
-def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, *, title_boost: float = 1.5, id_boost: float = 2.0) -> DataFrame:
-    """query_id, id, score and rank of the k documents with the best token score for each of a few queries.
+def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, *, title_boost: float = 1.5, id_boost: float = 2.0, block: int = 4096) -> DataFrame:
+    """query_id, id, score and rank of the k documents with the best token score for each query.
 
-    queries: query_id, query; as many as a broadcast holds. docs: id, text, title, external_id.
+    queries: query_id, query; they go to the documents in blocks of about `block`, each of a few words. docs: id, text,
+    title, external_id.
     """
-    asked = F.broadcast(queries.select("query_id", tx.tokens(F.col("query")).alias("words")))
-    scored = docs.crossJoin(asked).select("query_id", "id", tx.fallback_score(F.col("words"), F.col("text"), F.col("title"), F.col("external_id"), title_boost, id_boost).alias("score")).where("score > 0")
+    score = tx.fallback_score(F.col("words"), F.col("text"), F.col("title"), F.col("external_id"), title_boost, id_boost)
+    found = [docs.crossJoin(F.broadcast(part.select("query_id", tx.tokens(F.col("query")).alias("words")))).select("query_id", "id", score.alias("score")) for part in in_blocks(queries, "query_id", block)]
+    scored = functools.reduce(DataFrame.unionByName, found).where("score > 0")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def documents_holding(docs: DataFrame, passages: DataFrame, *, block: int = 4096) -> DataFrame:
+    """item_id, norm and the number of documents (doc) that hold each passage (item_id, norm); passages go in blocks of about `block`."""
+    found = [docs.join(F.broadcast(part), F.contains("doc", "norm")).groupBy("item_id").agg(F.count("*").alias("n")) for part in in_blocks(passages, "item_id", block)]
+    counts = functools.reduce(DataFrame.unionByName, found)
+    return passages.join(counts, "item_id", "left").select("item_id", "norm", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
 def reciprocal_rank_fusion(dense: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
     """query_id, id, score, dense_rank, keyword_rank, vector_score of hits of either list, best first by rank."""
     d = dense.select("query_id", "id", F.col("rank").alias("dense_rank"), F.col("score").alias("vector_score"))

@@ -55,15 +55,18 @@ def graph_evidence_quality(t: Tables) -> DataFrame:
     return gr.evidence_quality(t.evidence_v.withColumn("valid", F.col("flag") != "R"), ["src", "tgt"])
 
 
-@query("""WITH b AS (SELECT item_id, left(text, 60) AS quote FROM benchmark WHERE item_id % 20 = 0), c AS (SELECT item_id, doc_id, (length(text) - length(replace(text, quote, ''))) // length(quote) AS n FROM documents, b WHERE contains(text, quote))
-    SELECT b.item_id, count(c.doc_id) AS documents, coalesce(sum(n), 0)::BIGINT AS places, CASE WHEN count(c.doc_id) = 0 THEN 'invalid' WHEN sum(n) = 1 THEN 'valid' ELSE 'ambiguous' END AS verdict FROM b LEFT JOIN c USING (item_id) GROUP BY b.item_id""")
+@query(
+    """WITH q AS (SELECT doc_id, string_split(text, '. ')[1] AS quote FROM documents), c AS (SELECT chunk_id, CASE WHEN quote = '' THEN 0 ELSE (length(text) - length(replace(text, quote, ''))) // length(quote) END AS places FROM chunks_v JOIN q USING (doc_id))
+    SELECT chunk_id, places::BIGINT AS places, CASE places WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid' ELSE 'ambiguous' END AS verdict FROM c""",
+    views="chunks_v",
+)
 def graph_evidence_claims(t: Tables) -> DataFrame:
-    """JN-28, DOM-15: where a quote stands, and whether that is one place."""
-    b = F.broadcast(t.benchmark.where("item_id % 20 = 0").select("item_id", F.left("text", F.lit(60)).alias("quote")))
-    n = F.floor((F.length("text") - F.length(F.replace("text", "quote", F.lit("")))) / F.length("quote"))
-    found = t.documents.join(b, F.contains("text", "quote")).select("item_id", n.alias("n")).groupBy("item_id").agg(F.count("*").alias("documents"), F.sum("n").alias("places"))
-    verdict = F.when(F.col("documents").isNull(), "invalid").when(F.col("places") == 1, "valid").otherwise("ambiguous")
-    return b.join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("places", F.lit(0)).alias("places"), verdict.alias("verdict"))
+    """JN-28, DOM-15: each chunk is claimed to hold its document's first sentence: how often it does, and whether that is one place."""
+    quotes = t.documents.select("doc_id", F.substring_index("text", ". ", 1).alias("quote"))
+    held = (F.length("text") - F.length(F.replace("text", "quote", F.lit("")))) / F.nullif(F.length("quote"), F.lit(0))
+    places = F.coalesce(held, F.lit(0)).cast("long")
+    verdict = F.when(places == 0, "invalid").when(places == 1, "valid").otherwise("ambiguous")
+    return t.chunks_v.select("doc_id", "chunk_id", "text").join(quotes, "doc_id").select("chunk_id", places.alias("places"), verdict.alias("verdict"))
 
 
 _NORM = "trim(regexp_replace(lower({}), '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -142,12 +145,22 @@ def graph_units(t: Tables) -> DataFrame:
     return t.chunks_v.select("chunk_id", n.alias("ordinal"), scores.value_hash(chunk=F.col("chunk_id").cast("string"), hash=F.sha2("text", 256)).alias("fingerprint"))
 
 
-@query("SELECT chunk_id, lag(chunk_id) OVER w AS before_, lead(chunk_id) OVER w AS after_, coalesce(length(lag(text) OVER w), 0) + coalesce(length(lead(text) OVER w), 0) <= 900 AS fits FROM chunks_v WINDOW w AS (PARTITION BY doc_id ORDER BY seq)", views="chunks_v")
+_NEAR_SQL = ", ".join(f"{{'distance': abs({f}(seq, {n}) OVER w - seq), 'side': {side}, 'chunk_id': {f}(chunk_id, {n}) OVER w, 'size': {f}(length(text), {n}) OVER w}}" for n in (1, 2) for side, f in enumerate(("lag", "lead")))
+
+
+@query(
+    f"""WITH n AS (SELECT chunk_id, length(text) AS own, list_sort(list_filter([{_NEAR_SQL}], lambda x: x.distance IS NOT NULL)) AS near, lag(chunk_id) OVER w AS before_, lead(chunk_id) OVER w AS after_ FROM chunks_v WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    k AS (SELECT *, [x.chunk_id FOR x, i IN near IF own + list_sum([y.size FOR y IN near[1:i]]) <= 1300] AS kept FROM n) SELECT chunk_id, before_, after_, kept, len(kept) < len(near) AS trimmed FROM k""",
+    views="chunks_v",
+)
 def graph_context_neighbours(t: Tables) -> DataFrame:
-    """JN-18 to JN-20, WIN-14, DOM-11."""
+    """JN-18 to JN-20, WIN-14, DOM-11: two chunks before and two after, the nearest that fit into 1,300 characters with the chunk."""
     w = Window.partitionBy("doc_id").orderBy("seq")
-    size = F.coalesce(F.length(F.lag("text").over(w)), F.lit(0)) + F.coalesce(F.length(F.lead("text").over(w)), F.lit(0))
-    return t.chunks_v.select("chunk_id", F.lag("chunk_id").over(w).alias("before_"), F.lead("chunk_id").over(w).alias("after_"), (size <= 900).alias("fits"))
+    near = [F.struct(F.abs(f("seq", n).over(w) - F.col("seq")).alias("distance"), F.lit(side).alias("side"), f("chunk_id", n).over(w).alias("chunk_id"), f(F.length("text"), n).over(w).alias("size")) for n in (1, 2) for side, f in enumerate((F.lag, F.lead))]
+    rows = t.chunks_v.withColumns({"near": F.array(*near), "before_": F.lag("chunk_id").over(w), "after_": F.lead("chunk_id").over(w)})
+    rows = rows.withColumn("stay", gr.within_budget(F.col("near"), F.length("text"), 1300))
+    there = F.size(F.filter("near", lambda x: x["distance"].isNotNull()))
+    return rows.select("chunk_id", "before_", "after_", F.transform("stay", lambda x: x["chunk_id"]).alias("kept"), (F.size("stay") < there).alias("trimmed"))
 
 
 _PUB_NODES = "pn AS (SELECT node_id, type_key, CASE WHEN length(name) % 7 = 0 THEN 'draft' ELSE 'active' END AS status, round(1 - (length(node_id) % 5) / 20.0::DOUBLE, 6) AS confidence, length(name) % 11 AS evidence FROM nodes_v), ne AS (SELECT *, CASE WHEN status <> 'active' THEN 'not_active' WHEN confidence < 0.85 THEN 'low_confidence' WHEN evidence = 0 THEN 'no_evidence' END AS reason FROM pn)"

@@ -64,13 +64,13 @@ def retrieval_multi_query_combsum(t: Tables) -> DataFrame:
 
 
 _TOKENS = "list_distinct_ordered"
-_WORDS = "SELECT item_id AS query_id, [w FOR w, i IN f IF list_position(f, w) = i][1:8] AS words FROM (SELECT item_id, [x FOR x IN regexp_extract_all(lower(left(text, 80)), '[a-z0-9\\x{00df}-\\x{024f}\\x{4e00}-\\x{9fff}]+') IF length(x) >= 2] AS f FROM benchmark WHERE item_id % 20 = 0)"
+_WORDS = "SELECT item_id AS query_id, [w FOR w, i IN f IF list_position(f, w) = i][1:8] AS words FROM (SELECT item_id, [x FOR x IN regexp_extract_all(lower(text), '[a-z0-9\\x{00df}-\\x{024f}\\x{4e00}-\\x{9fff}]+') IF length(x) >= 2] AS f FROM benchmark WHERE item_id % 20 = 0)"
 _KEYWORD = f"""w AS ({_WORDS}), k AS (SELECT query_id, doc_id AS id, (len([x FOR x IN words IF contains(lower(text), x)]) + 1.5::DOUBLE * len([x FOR x IN words IF contains(lower(title), x)]) + 2.0::DOUBLE * len([x FOR x IN words IF contains(lower(external_id), x)]))::DOUBLE AS score FROM docs_v, w),
     kr AS (SELECT query_id, id, score, {_RANKED} AS rank FROM k WHERE score > 0)"""
 
 
 def keyword_queries(t: Tables) -> DataFrame:
-    return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(80)).alias("query"))
+    return t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {_KEYWORD} SELECT query_id, id, score, rank FROM kr WHERE rank <= 50", views="docs_v")
@@ -244,10 +244,8 @@ def text_normalize_graph(t: Tables) -> DataFrame:
 @query("SELECT item_id, b.norm AS norm, count(d.doc_id) AS documents FROM (SELECT item_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM benchmark WHERE item_id % 20 = 0) b LEFT JOIN (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM documents) d ON contains(d.norm, b.norm) GROUP BY ALL")
 def text_normalize_eval(t: Tables) -> DataFrame:
     """STR-07, STR-08: in how many documents a passage lies, both in normal form."""
-    items = F.broadcast(t.benchmark.where("item_id % 20 = 0").select("item_id", tx.collapsed(F.lower("text")).alias("norm")))
-    docs = t.documents.select("doc_id", tx.collapsed(F.lower("text")).alias("doc"))
-    found = docs.join(items, F.contains("doc", "norm")).groupBy("item_id").agg(F.count("*").alias("n"))
-    return items.join(found, "item_id", "left").select("item_id", "norm", F.coalesce("n", F.lit(0)).alias("documents"))
+    items = t.benchmark.where("item_id % 20 = 0").select("item_id", tx.collapsed(F.lower("text")).alias("norm"))
+    return rt.documents_holding(t.documents.select(tx.collapsed(F.lower("text")).alias("doc")), items)
 
 
 @query("SELECT l_orderkey, l_linenumber, array_to_string([x FOR x, i IN c IF i = 1 OR x <> c[i - 1]], ' | ') AS row FROM (SELECT l_orderkey, l_linenumber, [l_returnflag, l_returnflag, l_linestatus, l_partkey::VARCHAR, l_suppkey::VARCHAR] AS c FROM lineitem)")
