@@ -9,13 +9,14 @@ The budget is measured, not assumed: queries from the sample are held against br
 smallest budget with the wanted recall there is taken. Over more rows the neighbours are closer, so recall is no lower.
 On data without structure it comes near 1, as any such index then does.
 
-A query's `k` nearest of the sample are true candidates and bound its k-th distance, so leaves send on only what is as near.
+A query's `k` nearest ids of the sample are true candidates and bound its k-th distance, so leaves send on only what is as
+near, and of each id only its nearest row.
 Leaves are dealt out in blocks of `block` rows and queries in blocks too: one vector that a third of all rows share fills
 many tasks, not one. Every row is indexed and no leaf is cut.
 
 Vectors that are null, zero, hold nulls or non-finite numbers, or have not the most common length (the shortest, if
-lengths tie) take no part, nor do null ids. Rows that repeat an id count as one at the smaller distance. An empty table,
-or one without queries, gives an empty result.
+lengths tie) take no part, nor do null ids. Rows that repeat an id count as one at the smaller distance: equal rows
+are dropped first, others are reduced before any cut to `k`. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ class Forest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, trees: int, leaf: int, tries: int, recall: float, k: int, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.by = np.argsort(ids, kind="stable")  # rows of one id in a run
+        self.names, self.starts = np.unique(ids[self.by], return_index=True)
         self.trees = [self._grow(rng, leaf, tries) for _ in range(trees)]
         self.shares = []
         for t in range(trees):
@@ -111,17 +114,19 @@ class Forest:
         needed = []
         for q in rng.choice(n, min(200, n), replace=False):
             d = ((self.vectors - self.vectors[q]) ** 2).sum(axis=1)
-            d[q] = np.inf
-            nearest = np.argpartition(d, self.k)[: self.k]
-            found, seen = np.full(self.k, 1.0), 0.0
+            d[self.ids == self.ids[q]] = np.inf
+            nearest = first_of_each(self.ids, np.argsort(d, kind="stable"))[: self.k]
+            nearest = nearest[np.isfinite(d[nearest])]
+            found, seen = np.full(len(nearest), 1.0), 0.0
             for t, at in self.visit(self.vectors[q]):
                 seen += self.shares[t][at]
                 found = np.where(leaves[t][nearest] == at, np.minimum(found, seen), found)
             needed.append(found)
-        return float(np.quantile(np.concatenate(needed), recall))
+        needed = np.concatenate(needed)
+        return float(np.quantile(needed, recall)) if len(needed) else 1.0
 
     def search(self, query: int, x: np.ndarray) -> tuple[list[int], list[int], float, np.ndarray, np.ndarray]:
-        """Trees and leaves to visit, the bound on the k-th distance, and the nearest of the sample with their distances."""
+        """Trees and leaves to visit, the bound on the k-th distance, and the nearest ids of the sample with their distances."""
         trees, leaves, seen = [], [], 0.0
         for t, at in self.visit(x):
             trees.append(t)
@@ -131,9 +136,15 @@ class Forest:
                 break
         d = np.sqrt(((self.vectors - x) ** 2).sum(axis=1))
         d[self.ids == query] = np.inf
+        d = np.minimum.reduceat(d[self.by], self.starts)
         near = np.argsort(d, kind="stable")[: self.k]
         near = near[np.isfinite(d[near])]
-        return trees, leaves, float(d[near[-1]]) if len(near) == self.k else float("inf"), self.ids[near], d[near]
+        return trees, leaves, float(d[near[-1]]) if len(near) == self.k else float("inf"), self.names[near], d[near]
+
+
+def first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of the rows in this order, the first one of each id."""
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -148,7 +159,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_column: str = "vec_id",
     spark = vectors.sparkSession
     all_rows = usable(vectors, id_column, vector_column)
     lengths = all_rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = all_rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    rows = all_rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0)).distinct()
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()  # `sample` rows at most
     forest = spark.sparkContext.broadcast(Forest(chosen["id"].to_numpy(), matrix(chosen["v"]), trees=trees, leaf=leaf, tries=tries, recall=recall, k=k, seed=seed))
 
@@ -170,11 +181,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_column: str = "vec_id",
         if members.num_rows and queries.num_rows:
             x, ids = matrix(members["v"]), members["id"].to_numpy()
             square = (x * x).sum(axis=1)
+            repeated = len(np.unique(ids)) < len(ids)
             for q, y, bound in zip(queries["query"].to_numpy(), matrix(queries["v"]), queries["bound"].to_numpy(), strict=True):
                 rough = square - 2 * (x @ y) + y @ y
                 at = np.flatnonzero((rough <= bound * bound * (1 + 1e-6) + 1e-9 * (square + y @ y)) & (ids != q))
                 d = np.sqrt(((x[at] - y) ** 2).sum(axis=1))
-                best = np.lexsort((ids[at], d))[: 4 * k]  # an id may come more than once
+                best = np.lexsort((ids[at], d))
+                best = (first_of_each(ids[at], best) if repeated else best)[:k]
                 out[0].append(np.full(len(best), q))
                 out[1].append(ids[at][best])
                 out[2].append(d[best])

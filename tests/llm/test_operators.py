@@ -182,6 +182,23 @@ def test_nearest_on_odd_rows(spark):
     assert neighbours.nearest(df, F.col("id") == 77).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 4))
+    rows = [(k, v.tolist()) for k, v in enumerate(x) for _ in range(2)]
+    rows += [(7, (x[0] + rng.normal(0, 0.01, 4)).tolist()) for _ in range(100)]  # 100 rows of one id, nearer to id 0 than all others
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    for q in range(0, 400, 50):
+        best: dict = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = min(best.get(i, np.inf), float(np.linalg.norm(np.array(v) - x[q])))
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        want = sorted((s, i) for i, s in best.items())[:10]
+        assert [i for _, i, _ in got] == [i for _, i in want]
+        assert [s for *_, s in got] == pytest.approx([s for s, _ in want], rel=1e-9)
+
+
 def test_nearest_with_one_vector_over_and_over(spark):
     rng = np.random.default_rng(6)
     rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else rng.normal(size=3).astype(np.float32).tolist()) for k in range(3000)]
