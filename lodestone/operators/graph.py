@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +110,90 @@ def hydrated(relations: DataFrame, evidence: DataFrame, cap: int = 20) -> DataFr
     return relations.join(first.select("src", "tgt", "pos", "evidence_id"), ["src", "tgt"], "left")
 
 
-def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500_000, margin: int = 50_000, least: int = 800_000, most: int = 10) -> DataFrame:
-    """mention_id, status (linked, ambiguous, not_found), selected, score, margin, n_candidates.
+def _shared(a: list[set], b: list[set]) -> np.ndarray:
+    """How many members each of the sets a shares with each of b."""
+    number = {x: i for i, x in enumerate(set().union(*a) & set().union(*b))}
+    places = [np.array([(k, number[x]) for k, s in enumerate(side) for x in s if x in number], np.int64).reshape(-1, 2) for side in (a, b)]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(number), 2048):
+        parts = []
+        for side, at in zip((a, b), places, strict=True):
+            at = at[(at[:, 1] >= first) & (at[:, 1] < first + 2048)]
+            parts.append(np.zeros((len(side), 2048), np.float32))
+            parts[-1][at[:, 0], at[:, 1] - first] = 1
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
+    """The text functions' pair_score of each of a with each of b."""
+
+    def bigrams(x: str) -> set:
+        seen: Counter = Counter()
+        out = set()
+        for i in range(len(x) - 1):
+            seen[x[i : i + 2]] += 1
+            out.add((x[i : i + 2], seen[x[i : i + 2]]))
+        return out
+
+    def micros(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.where(d == 0, 0, (2 * n * 1_000_000 + d) // np.maximum(1, 2 * d))
+
+    x, y = [bigrams(t) for t in a], [bigrams(t) for t in b]
+    n, m, shared = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y]), _shared(x, y)
+    u, v = [set(t.split(" ")) - {""} for t in a], [set(t.split(" ")) - {""} for t in b]
+    both = _shared(u, v)
+    score = np.maximum(micros(2 * shared, n + m), micros(both, np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v]) - both))
+    p, q = np.array([len(t) for t in a])[:, None], np.array([len(t) for t in b])
+    inside = np.where((p > 0) & (q > 0), micros(np.minimum(p, q), np.maximum(p, q)), 0)
+    for i, j in zip(*np.nonzero((shared == np.minimum(n, m)) & (inside > score)), strict=True):  # one text holds all pairs of the other
+        if a[i] in b[j] or b[j] in a[i]:
+            score[i, j] = inside[i, j]
+    return score
+
+
+def lexical_candidates(texts: DataFrame, entities: DataFrame, *, floor: int, most: int, block: int = 1024) -> DataFrame:
+    """type_key, m, node_id, score: at least the `most` best entities of each text's type that score `floor` or more. texts: distinct type_key, m; entities: node_id, type_key, e.
+
+    All are scored against all of their type, blocks of texts against blocks of entities; each pair of blocks sends on its own best.
+    """
 
-    Equal normal forms are exact matches. Other mentions meet the entities of their type with the same first
-    `PREFIX` characters or the same last ones, and the greatest lexical similarity decides.
+    def best(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("node_id")
+        names, asked = known["node_id"].combine_chunks(), asked.select(["type_key", "m"])
+        i = j = score = np.zeros(0, np.int64)
+        if asked.num_rows and known.num_rows:
+            number = names.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            found = np.maximum.reduceat(pair_scores(asked["m"].to_pylist(), known["e"].to_pylist()), starts, axis=1)
+            order = np.argsort(-found, axis=1, kind="stable")[:, :most]
+            i, score = np.repeat(np.arange(len(order)), order.shape[1]), np.take_along_axis(found, order, 1).ravel()
+            i, j, score = i[score >= floor], starts[order.ravel()[score >= floor]], score[score >= floor]
+        return asked.take(i).append_column("node_id", pa.chunked_array([names.take(pa.array(j))])).append_column("score", pa.array(score))
+
+    blocks = lambda df, name: df.groupBy("type_key").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(texts, "tn").join(blocks(entities, "en"), "type_key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = texts.join(sizes, "type_key").select("type_key", F.pmod(F.xxhash64("m"), F.col("tn")).cast("int").alias("t"), every("en").alias("n"), "m")
+    known = entities.join(sizes, "type_key").select("type_key", every("tn").alias("t"), F.pmod(F.xxhash64("node_id", "e"), F.col("en")).cast("int").alias("n"), "node_id", "e")
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((texts, "type_key"), (texts, "m"), (entities, "node_id"))]
+    key = ["type_key", "t", "n"]
+    return asked.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(best, ", ".join([*kinds, "score long"]))
+
+
+def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500_000, margin: int = 50_000, least: int = 800_000, most: int = 10, block: int = 1024) -> DataFrame:
+    """mention_id, status (linked, ambiguous, not_found), selected, score, margin, n_candidates (`most` at most).
+
+    Equal normal forms are exact matches. Other mentions are scored against all entities of their type, and the greatest
+    lexical similarity decides.
     """
     m = mentions.select("mention_id", "type_key", tx.graph_name(F.col("text")).alias("m"))
     e = entities.select("node_id", "type_key", tx.graph_name(F.col("name")).alias("e"))
     exact = m.join(e, (m.m == e.e) & (m.type_key == e.type_key)).select("mention_id", "node_id", F.lit(1_000_000).cast("long").alias("score"))
     rest = m.join(exact.select("mention_id").distinct(), "mention_id", "left_anti")
-    key = lambda c: F.substring(F.regexp_replace(c, "[^a-z0-9]", ""), -PREFIX, PREFIX)
-    pairs = rest.withColumn("k", key(F.col("m"))).join(e.withColumn("k", key(F.col("e"))), ["k", "type_key"]).select("mention_id", "node_id", tx.pair_score(F.col("m"), F.col("e")).alias("score"))
+    known = e.where("node_id IS NOT NULL AND e IS NOT NULL")
+    found = lexical_candidates(rest.select("type_key", "m").dropna().distinct(), known, floor=floor, most=max(2, most), block=block)
+    pairs = rest.join(found, ["type_key", "m"]).select("mention_id", "node_id", "score")
     ranked = exact.unionByName(pairs).where(F.col("score") >= floor).groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "node_id")
     top = ranked.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where(F.col("n") <= most)
@@ -128,9 +204,6 @@ def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500
     return out.select("mention_id", status.alias("status"), F.when(status == "linked", F.col("best.node_id")).alias("selected"), F.col("best.score").alias("score"), gap.alias("margin"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-PREFIX = 6
-
-
 def publication_plan(nodes: DataFrame, edges: DataFrame, *, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Items with the first reason that blocks each (null: published); relations wait for both of their ends. nodes: node_id, status, confidence, evidence; edges: relation, src, tgt, status, confidence."""
     reason = scores.first_of((F.col("status") != "active", "not_active"), (F.col("confidence") < least, "low_confidence"), (F.col("evidence") == 0, "no_evidence"), otherwise="ok")

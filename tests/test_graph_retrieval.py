@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import within_budget
+from lodestone.functions import text as tx
+from lodestone.operators.graph import link_decisions, within_budget
 from lodestone.operators.retrieval import documents_holding, in_blocks
 
 
@@ -38,3 +39,37 @@ def test_blocks_of_queries_hold_each_query_once(spark):
     docs = spark.createDataFrame([("w1 w2 ",), ("w2 ",), (None,), ("",)], "doc string")
     found = {r.norm: r.documents for r in documents_holding(docs, queries.where("item_id IS NOT NULL"), block=7).collect()}
     assert (found["w1 "], found["w2 "], found["w3 "], len(found)) == (1, 2, 0, 49)
+
+
+def test_links_same_as_all_pairs(spark):
+    rng = random.Random(8)
+    names = [f"Customer#{k:09d}" for k in range(60)] + ["".join(rng.choice("ab é") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["red fox den", "fox", "x", "日本", "日本語", "aaaa", ""]
+    entities = [(f"N{k % 100}", "cd"[k % 7 == 0], n) for k, n in enumerate(names)]  # some ids have two names
+    texts = [n[:-1] for n in names[:60]] + [n.replace("#", " # ") for n in names[:60:7]] + [n[1:] for n in names[60:]] + ["den fox", "x y", "aaa", "nothing like it", None]
+    mentions = [(k, "cd"[k % 5 == 0], t) for k, t in enumerate(texts)]
+    m, e = spark.createDataFrame(mentions, "mention_id long, type_key string, text string"), spark.createDataFrame(entities, "node_id string, type_key string, name string")
+    a, b = m.select("mention_id", "type_key", tx.graph_name(F.col("text")).alias("m")), e.select("node_id", "type_key", tx.graph_name(F.col("name")).alias("e"))
+    scored: dict = {}
+    for r in a.join(b, "type_key").select("mention_id", "node_id", (F.col("m") == F.col("e")).alias("same"), tx.pair_score(F.col("m"), F.col("e")).alias("score")).collect():
+        scored.setdefault(r.mention_id, []).append(r)
+    want = {}
+    for k, *_ in mentions:
+        rows = scored.get(k, [])
+        if any(r.same for r in rows):
+            best = {r.node_id: 1_000_000 for r in rows if r.same}
+        else:
+            best = {}
+            for r in rows:
+                if r.score is not None and r.score >= 500_000:
+                    best[r.node_id] = max(r.score, best.get(r.node_id, 0))
+        top = sorted((-s, n) for n, s in best.items())[:10]
+        if not top:
+            want[k] = ("not_found", None, None, None, 0)
+            continue
+        score, gap = -top[0][0], -top[0][0] + (top[1][0] if len(top) > 1 else 0)
+        linked = score >= 800_000 and gap >= 50_000
+        want[k] = ("linked" if linked else "ambiguous", top[0][1] if linked else None, score, gap, len(top))
+    assert len({w[0] for w in want.values()}) == 3
+    for block in (16, 1024):
+        got = {r.mention_id: (r.status, r.selected, r.score, r.margin, r.n_candidates) for r in link_decisions(m, e, **({"block": block} if block < 1024 else {})).collect()}
+        assert got == want
