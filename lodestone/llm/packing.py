@@ -5,8 +5,8 @@ that padding each text up to its bucket's end costs the fewest tokens over the w
 as many texts as fit the token budget at the padded length; a text longer than the budget is a batch of its own.
 
 The histogram has a bin for each length up to `FINE`, and above that bins of a 1/512th of their power of two, so that its
-size is bounded whatever the table (a few thousand bins); a bin counts as its greatest length in it, which keeps every
-text within its bucket. Places inside a bucket come from counts of (bucket, salt) groups and places within these, so no
+size is bounded whatever the table (a few thousand bins); a bin counts as the greatest length of its texts, which keeps every
+text within its bucket and makes each bucket's end the length of a text in it. Places inside a bucket come from counts of (bucket, salt) groups and places within these, so no
 bucket meets in one task.
 
 Texts are counted in words between blanks. Null and empty texts have length 0; they get bucket -1, batch -1 and place -1,
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     else:
         measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
     measured = common.saved(measured, "lengths")
-    histogram = measured.where("n_tokens > 0").groupBy(rounded(F.col("n_tokens")).alias("end")).count().orderBy("end").collect()  # bounded by the bins
+    histogram = measured.where("n_tokens > 0").groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("end"), F.count("*").alias("n")).select("end", "n").orderBy("end").collect()  # bounded by the bins
     ends = bucket_ends(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
     total = sum(r[1] for r in histogram)
     salts = salts or max(1, total // 4000)

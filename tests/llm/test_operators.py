@@ -144,6 +144,12 @@ def test_packing(spark, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_long_texts_are_padded_to_a_length_among_them(spark):
+    rows = packing.pack(spark.createDataFrame([(k, n) for k, n in enumerate([5461, 5460, 5461, 3000, 10])], "doc_id long, n long"), length=F.col("n"), buckets=3).collect()
+    assert {r["n_tokens"]: r["padded_to"] for r in rows} == {5461: 5461, 5460: 5461, 3000: 3000, 10: 10}
+    assert len({(r["bucket"], r["batch"]) for r in rows if r["n_tokens"] > 5000}) == 1
+
+
 # Nearest neighbours
 
 
