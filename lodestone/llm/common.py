@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none (as in tests), a new local one."""
+    """The folder that driver and executors share. Where none is named, a new local one, but only if all run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -30,7 +32,47 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `saved` has written. Nothing that is still to be computed may come from them."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+BITS = 1 << 26
+
+
+def among(rows: DataFrame, key: str, need: DataFrame) -> DataFrame:
+    """The rows whose key is in need's only column, and a few others: as many as share one of BITS bits with one that is."""
+    bit = F.pmod(F.xxhash64(need.columns[0]), F.lit(BITS)) + 1
+    maps = need.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    own = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)")
+    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(own), "_place": F.bitmap_bit_position(own)})
+    found = placed.join(F.broadcast(maps), "_bucket").where(F.bit_get(byte, (F.col("_place") % 8).cast("int")) == 1)  # BITS / 8 bytes at most
+    return found.select(*rows.columns)
+
+
+def join_spread(rows: DataFrame, known: DataFrame, key: str, uses: str, most: int = 1000) -> DataFrame:
+    """rows left joined with known (one row for each key; `uses` is how many of rows have it), also if few keys hold most rows.
+
+    Keys that more than one in `most` of the rows have are fewer than `most`: these are broadcast, all others shuffled.
+    """
+    total = known.agg(F.sum(uses)).first()[0] or 0
+    often = F.col(uses) * most > total
+    heavy, light = known.where(often).drop(uses), known.where(~often).drop(uses)
+    one = rows.join(F.broadcast(heavy), key)
+    two = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    return one.unionByName(two)
 
 
 def fold(id_col: Column, modulus: int) -> Column:

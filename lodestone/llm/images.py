@@ -1,23 +1,29 @@
 """Copies of images by local descriptors, also cropped, turned or edited ones.
 
-The column holds 8-bit grey PNG images. Key points are corners (Harris) at full and half size, spread out so that each
-cell of `CELL` pixels square gives its strongest. Each is described by 64 comparisons of smoothed pixels, turned to the
-direction of the patch's centre of mass. Descriptors are joined by Hamming tables: of the `TABLES` parts of one, two that
-differ in fewer than TABLES bits share a part. Images that share `LEAST` parts meet; their key points are then matched in
-whole (at most `FAR` bits apart), each match proposes a turn, a scale and a shift, and the images are copies if enough key
-points agree on one of these.
-
-Equal images form a class that goes on as its smallest id. Each list of images with one part has a most central one, and
-an image is tied to the one that most of its lists have; what then lies in one list but in different groups is compared in full, as in `neardup`. Parts stand in one
-order, rarest first, and since a link needs LEAST shared ones, an image's LEAST - 1 most common parts are not posted: one
-of any LEAST that two images share remains in both.
+The column holds 8-bit grey PNG images. Key points are corners (Harris) at full and half size, each the strongest within
+`APART` pixels around. Each is described by 64 comparisons of smoothed pixels, turned to the direction of the patch's
+centre of mass. Descriptors are joined by Hamming tables: of the `TABLES` parts of one, two that differ in fewer than
+TABLES bits share a part. Two images are copies if
+
+* they share `LEAST` distinct parts and a fifth (`PARTS`) of the parts of the one with fewer, and
+* their key points with a part in common, at most `FAR` bits apart in all, agree on one turn, scale and shift (within
+  windows of `NEAR` pixels, half over each other): at least LEAST of them, and `SHARE` of the key points of the one with
+  fewer. A part that stands in several places of an image is matched in the order of the places, once from the top and
+  once from the bottom, so the work grows with the number of key points and not with its square.
+
+Equal images form a class. Classes with one minimum of a sketch of their parts are tied to one leader of its list, and
+what is confirmed gives groups. What the groups have left apart is then compared in full: of the parts that occur in
+several groups, each image in the order rarest first, a pair shares one among the first of the smaller image that
+leave a fifth of its parts behind it, and only such pairs meet. Lists are split into blocks of `BLOCK`.
 
 The tables at hand hold no media, so `render` draws each page: a square of 4 by 4 pixels for every word of the whole
 page, by the word's hash, 16 to a row. Equal passages of pages are then equal regions of images, shifted by other text.
+Edges are repeated outwards, so key points lie up to the border and pages of some dozen words have enough of them.
 
-Null, empty and unreadable images have no key points: they are linked with nothing. Null ids are left out of the links.
-Rows that repeat an id are versions of one image: their links join one group. Images without key points that are equal
-are one class all the same.
+Null, empty and unreadable images have no key points: they are linked with nothing. Images with fewer than LEAST key
+points are linked with equal ones only. Null ids are left out of the links. Rows that repeat an id are versions of one
+image: their links join one group. Very tall images are worked on in bands of rows that overlap, very many key points in
+runs. An empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import common, words
 from lodestone.llm.neardup import components
 
-CELL, TABLES, FAR, LEAST, SHARE, NEAR = 24, 3, 8, 5, 0.3, 4.0
-GAP, EDGE = 32, 8
+APART, TABLES, FAR, LEAST, PARTS, SHARE, NEAR = 7, 2, 8, 5, 0.2, 0.3, 8
+BLOCK, SKETCH, SALTS, TOGETHER = 1024, 8, 64, 64
+MARGIN, SUPPORT, RUN_PIXELS = 8, 32, 1 << 20
 _rng = np.random.default_rng(10)
 _PAIRS = np.clip(np.round(_rng.normal(0, 2.6, (64, 4))), -5, 5)
+_FACTORS = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Offsets of the compared pixels for each of the twelve turns: (turn, y and x of the first, y and x of the second, test).
+_TURNED = np.array([[np.round(f(t)) for px, py in ((_PAIRS[:, 0], _PAIRS[:, 1]), (_PAIRS[:, 2], _PAIRS[:, 3])) for f in (lambda a, px=px, py=py: np.sin(a) * px + np.cos(a) * py, lambda a, px=px, py=py: np.cos(a) * px - np.sin(a) * py)] for t in np.arange(12) * np.pi / 6]).astype(np.int64)
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -86,114 +96,190 @@ def pixels_of(content: bytes | None) -> np.ndarray | None:
     except (TypeError, ValueError, KeyError, struct.error, zlib.error):
         return None
 
+def _sum3(x: np.ndarray) -> np.ndarray:
+    """Sums over 3 by 3 pixels; the outermost pixels stay 0."""
+    out = np.zeros_like(x)
+    rows = x[:-2] + x[1:-1]
+    rows += x[2:]
+    inner = out[1:-1, 1:-1]
+    np.add(rows[:, :-2], rows[:, 1:-1], out=inner)
+    inner += rows[:, 2:]
+    return out
+
 
-def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Mean over (2 r + 1)^2 pixels, edges repeated."""
+def _highest(x: np.ndarray, r: int) -> np.ndarray:
+    """The maximum within r pixels around, both ways; x must be 0 near its edges."""
     for axis in (0, 1):
-        total = np.cumsum(np.concatenate([np.zeros_like(x[:1]), np.pad(x, [(r, r), (0, 0)], mode="edge")]), axis=0)
-        x = ((total[2 * r + 1 :] - total[: -2 * r - 1]) / (2 * r + 1)).T
+        n, wide, top = x.shape[axis], 1, x.copy()
+        while wide < 2 * r + 1:  # top[i] is the maximum over i .. i + wide - 1
+            step = min(wide, 2 * r + 1 - wide)
+            at, ahead = (slice(None), slice(0, n - step)), (slice(None), slice(step, n))
+            if axis == 0:
+                at, ahead = at[::-1], ahead[::-1]
+            moved = top.copy()
+            np.maximum(top[at], top[ahead], out=moved[at])
+            top, wide = moved, wide + step
+        x = np.roll(top, r, axis)
     return x
 
 
 def key_points(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each image x, y, scale and angle of its key points (in pixels of the full size), and their descriptors as 64-bit numbers.
-
-    Images of one width are worked on as one strip, GAP rows apart: nothing that is looked at around a point reaches over a gap.
-    """
-    out: list = [(np.zeros((0, 4)), np.zeros(0, np.uint64))] * len(images)
+    """For each image its key points in the order of rows and columns: x, y, scale and turn (0 to 11) of each, and their descriptors as 64-bit numbers."""
+    found: list[list] = [[] for _ in images]
     for width in {x.shape[1] for x in images}:
-        chosen = [k for k, x in enumerate(images) if x.shape[1] == width]
-        heights = np.array([images[k].shape[0] for k in chosen])
-        starts = np.concatenate([[0], np.cumsum((heights + 1) // 2 * 2 + GAP)])
-        strip = np.zeros((int(starts[-1]), width))
-        for k, at in zip(chosen, starts[:-1], strict=True):
-            strip[at : at + images[k].shape[0]] = images[k]
-        found = [_points(strip, starts, heights, 1)]
-        if width >= 32:
-            half = strip[:, : width // 2 * 2].reshape(len(strip) // 2, 2, width // 2, 2).mean(axis=(1, 3))
-            found.append(_points(half, starts // 2, heights // 2, 2))
-        owner, places, codes = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(owner, kind="stable")
-        bounds = np.searchsorted(owner[order], np.arange(len(chosen) + 1))
-        for n, k in enumerate(chosen):
-            own = order[bounds[n] : bounds[n + 1]]
-            out[k] = places[own], codes[own]
+        band = max(2 * SUPPORT, RUN_PIXELS // (width + 2 * MARGIN) // 2 * 2)
+        run: list[tuple[int, int, int, np.ndarray]] = []  # image, first row that counts, its place in the band, the band's rows
+        size = 0
+        for k, x in enumerate(images):
+            if x.shape[1] != width:
+                continue
+            for at in range(0, x.shape[0], band):
+                low = max(0, at - SUPPORT)
+                run.append((k, at, at - low, x[low : at + band + SUPPORT]))
+                size += (len(run[-1][3]) + 2 * MARGIN) * (width + 2 * MARGIN)
+                if size >= RUN_PIXELS:
+                    _add_points(run, band, found)
+                    run, size = [], 0
+        if run:
+            _add_points(run, band, found)
+    out = []
+    for parts in found:
+        places = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, 4), np.int64)
+        codes = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.uint64)
+        order = np.lexsort((places[:, 2], places[:, 0], places[:, 1]))
+        out.append((places[order], codes[order]))
     return out
 
 
-def _points(image: np.ndarray, starts: np.ndarray, heights: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a strip: the image that each key point is in, its place there, its descriptor."""
-    rows = np.arange(len(image))
-    owner = np.searchsorted(starts, rows, "right") - 1
-    owner[owner >= len(heights)] = 0
-    inner = (rows >= starts[owner] + EDGE) & (rows < starts[owner] + heights[owner] - EDGE) & (heights[owner] >= 16)
-    if image.shape[1] < 16 or not inner.any():
-        return np.zeros(0, int), np.zeros((0, 4)), np.zeros(0, np.uint64)
-    dy, dx = np.gradient(image)
-    a, b, c = _box(dx * dx, 1), _box(dx * dy, 1), _box(dy * dy, 1)
-    strength = a * c - b * b - 0.05 * (a + c) ** 2
-    strength[~inner] = strength[:, :EDGE] = strength[:, -EDGE:] = 0
-    top = strength.copy()
-    for sy in (-1, 0, 1):
-        for sx in (-1, 0, 1):
-            np.maximum(top, np.roll(strength, (sy, sx), (0, 1)), out=top)
-    y, x = np.nonzero((strength >= top) & (strength > 50.0))
-    # the strongest within half a cell around: no grid that a crop would shift
-    taken, keep, r = np.zeros(image.shape, bool), [], CELL // 2
-    for k in np.argsort(-strength[y, x], kind="stable"):
-        if not taken[y[k], x[k]]:
-            keep.append(k)
-            taken[y[k] - min(r, y[k]) : y[k] + r + 1, x[k] - min(r, x[k]) : x[k] + r + 1] = True
-    y, x = y[keep], x[keep]
-    smooth = _box(image, 1)
-    near = np.arange(-4, 5)
-    patch = smooth[y[:, None, None] + near[:, None], x[:, None, None] + near]
-    angle = np.arctan2((patch * near[:, None]).sum(axis=(1, 2)), (patch * near).sum(axis=(1, 2)))
-    turn = np.round(angle / (np.pi / 6)) * (np.pi / 6)
-    cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
-
-    def at(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-        return smooth[y[:, None] + np.round(sin * px + cos * py).astype(int), x[:, None] + np.round(cos * px - sin * py).astype(int)]
-
-    bits = at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3])
-    codes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0] if len(y) else np.zeros(0, np.uint64)
-    return owner[y], np.stack([x * scale, (y - starts[owner[y]]) * scale, np.full(len(x), scale), angle], axis=1), codes
-
-
-def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The most key points of a that one turn, scale and shift takes to their matches in b."""
-    (pa_, ca), (pb, cb) = a, b
-    if len(ca) < LEAST or len(cb) < LEAST:
-        return 0
-    i, j = np.nonzero(np.bitwise_count(ca[:, None] ^ cb[None]) <= FAR)
-    if len(i) < LEAST:
-        return 0
-    turn, scale = pb[j, 3] - pa_[i, 3], pb[j, 2] / pa_[i, 2]
-    turn = np.round(turn / (np.pi / 6)) * (np.pi / 6)
-    factor = scale * np.exp(1j * turn)
-    za, zb = pa_[:, 0] + 1j * pa_[:, 1], pb[:, 0] + 1j * pb[:, 1]
-    shift = zb[j] - factor * za[i]
-    # matches vote for their shift, turn and scale; the few with the most votes are tried on all matches
-    votes = np.stack([np.round(shift.real / (2 * NEAR)), np.round(shift.imag / (2 * NEAR)), np.round(turn * 6 / np.pi) % 12, scale], axis=1)
-    _, first, n = np.unique(votes, axis=0, return_index=True, return_counts=True)
-    best = 0
-    for k in first[np.argsort(-n, kind="stable")[:5]]:
-        fits = np.abs(factor[k] * za[i] + shift[k] - zb[j]) <= NEAR * max(1.0, scale[k])
-        best = max(best, min(len(np.unique(i[fits])), len(np.unique(j[fits]))))
-    return best
+def _add_points(run: list[tuple[int, int, int, np.ndarray]], band: int, found: list[list]) -> None:
+    packed = np.concatenate([x for *_, x in run])
+    heights = np.array([len(x) for *_, x in run])
+    starts = np.cumsum(heights) - heights
+    done = [_points(packed.astype(np.float32), starts, heights, 1)]
+    halves = heights // 2
+    if packed.shape[1] >= 2 and halves.sum():
+        nth = np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves)
+        top = np.repeat(starts, halves) + 2 * nth
+        wide = packed.shape[1] // 2 * 2
+        pairs = packed[top, :wide].astype(np.float32) + packed[top + 1, :wide]
+        done.append(_points((pairs[:, ::2] + pairs[:, 1::2]) / 4, np.cumsum(halves) - halves, halves, 2))
+    owner, places, codes = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[order], np.arange(len(run) + 1))
+    for n, (k, first, inside, _) in enumerate(run):
+        own = order[bounds[n] : bounds[n + 1]]
+        y = places[own, 1]
+        own = own[(y >= inside) & (y < inside + band)]
+        found[k].append((places[own] + [0, first - inside, 0, 0], codes[own]))
+
+
+def _points(packed: np.ndarray, starts: np.ndarray, heights: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of images that lie one below another: the one that each key point is in, its place there, its descriptor."""
+    width, tall = packed.shape[1], heights + 2 * MARGIN
+    begin = np.cumsum(tall) - tall
+    owner = np.repeat(np.arange(len(heights)), tall)
+    row = np.arange(len(owner)) - begin[owner] - MARGIN
+    last = heights[owner] - 1
+    source = np.minimum(starts[owner] + np.clip(row, 0, np.maximum(last, 0)), max(0, len(packed) - 1))
+    s = packed[source][:, np.clip(np.arange(-MARGIN, width + MARGIN), 0, width - 1)]  # edges repeated
+    dx, dy = np.zeros_like(s), np.zeros_like(s)
+    np.subtract(s[:, 2:], s[:, :-2], out=dx[:, 1:-1])
+    np.subtract(s[2:], s[:-2], out=dy[1:-1])
+    both = dx * dy
+    dx *= dx
+    dy *= dy
+    a, b, c = _sum3(dx), _sum3(both), _sum3(dy)
+    strength = a * c
+    b *= b
+    strength -= b
+    a += c
+    a *= a
+    a *= np.float32(0.05)
+    strength -= a
+    strength[(row < 0) | (row > last)] = 0
+    strength[:, :MARGIN] = 0
+    strength[:, -MARGIN:] = 0
+    y, x = np.nonzero((strength >= _highest(strength, APART)) & (strength > 65_000.0))
+    if not len(y):
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
+    smooth, across = _sum3(s).ravel(), s.shape[1]
+    near, at = np.arange(-4, 5), y * across + x
+    patch = smooth[at[:, None] + (near[:, None] * across + near).ravel()]
+    angle = np.arctan2(patch @ np.repeat(near, 9).astype(np.float32), patch @ np.tile(near, 9).astype(np.float32))
+    turn = np.round(angle / (np.pi / 6)).astype(np.int64) % 12
+    offsets = _TURNED[:, 0] * across + _TURNED[:, 1], _TURNED[:, 2] * across + _TURNED[:, 3]
+    bits = smooth[at[:, None] + offsets[0][turn]] < smooth[at[:, None] + offsets[1][turn]]
+    codes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    places = np.stack([(x - MARGIN) * scale, row[y] * scale, np.full(len(x), scale), turn], axis=1)
+    return owner[y], places, codes
 
 
 def parts_of(codes: np.ndarray) -> np.ndarray:
-    """The distinct parts of some descriptors, each with its table in the upper bits."""
+    """The TABLES parts of each descriptor, in a row of its own, with the table in the upper bits."""
     width = 64 // TABLES
     shifts = np.arange(TABLES, dtype=np.uint64)
-    return np.unique((codes[:, None] >> shifts * np.uint64(width)) & np.uint64((1 << width) - 1) | shifts << np.uint64(60))
+    return ((codes[:, None] >> shifts * np.uint64(width)) & np.uint64((1 << width) - 1) | shifts << np.uint64(width)).astype(np.int64)
+
 
+def packed_places(places: np.ndarray) -> np.ndarray:
+    """One number for each place: y, x (25 bits), turn (4 bits), scale (2 bits)."""
+    return places[:, 1] << 31 | places[:, 0] << 6 | places[:, 3] << 2 | places[:, 2]
 
-def copies_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
-    if len(np.intersect1d(parts_of(a[1]), parts_of(b[1]), assume_unique=True)) < LEAST:
-        return False
-    return agreeing(a, b) >= max(LEAST, SHARE * min(len(a[1]), len(b[1])))
+
+def unpacked_places(packed: np.ndarray) -> np.ndarray:
+    return np.stack([packed >> 6 & 0x1FFFFFF, packed >> 31, packed & 3, packed >> 2 & 15], axis=1)
+
+
+def copies_of(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether a[k] and b[k], each the places and descriptors of an image, are copies."""
+    n = len(a)
+    out = np.zeros(n, bool)
+    if not n:
+        return out
+    counts = [np.array([len(c) for _, c in side]) for side in (a, b)]
+    places = [np.concatenate([p for p, _ in side]) for side in (a, b)]
+    codes = [np.concatenate([c for _, c in side]) for side in (a, b)]
+    keys, points = [], []
+    for k in (0, 1):
+        owner = np.repeat(np.arange(n), counts[k])
+        key = (parts_of(codes[k]) | (owner << 34)[:, None]).ravel()
+        order = np.argsort(key, kind="stable")  # of equal parts in the order of their places
+        keys.append(key[order])
+        points.append(order // TABLES)
+    distinct = [np.flatnonzero(np.diff(x, prepend=-1)) for x in keys]
+    n_parts = [np.bincount(keys[k][distinct[k]] >> 34, minlength=n) for k in (0, 1)]
+    if not len(keys[0]) or not len(keys[1]):
+        return out
+    low, high = (np.searchsorted(keys[1], keys[0], side) for side in ("left", "right"))
+    met = high > low
+    shared = np.bincount(keys[0][distinct[0]][met[distinct[0]]] >> 34, minlength=n)
+    fine = shared >= np.maximum(LEAST, np.ceil(PARTS * np.minimum(*n_parts)))
+    from_top = np.arange(len(keys[0])) - np.searchsorted(keys[0], keys[0], "left")
+    from_end = np.searchsorted(keys[0], keys[0], "right") - 1 - np.arange(len(keys[0]))
+    met &= fine[keys[0] >> 34]
+    i = np.concatenate([np.flatnonzero(met & (low + from_top < high)), np.flatnonzero(met & (high - 1 - from_end >= low))])
+    split = int((met & (low + from_top < high)).sum())
+    j = np.concatenate([(low + from_top)[i[:split]], (high - 1 - from_end)[i[split:]]])
+    if not len(i):
+        return out
+    match = np.unique(np.stack([points[0][i], points[1][j]], axis=1), axis=0)
+    i, j = match[:, 0], match[:, 1]
+    close = np.bitwise_count(codes[0][i] ^ codes[1][j]) <= FAR
+    i, j = i[close], j[close]
+    pair = np.searchsorted(np.cumsum(counts[0]), i, "right")
+    p, q = places[0][i], places[1][j]
+    turn, scale = (q[:, 3] - p[:, 3]) % 12, q[:, 2] / p[:, 2]
+    shift = q[:, 0] + 1j * q[:, 1] - scale * np.exp(1j * np.pi / 6 * turn) * (p[:, 0] + 1j * p[:, 1])
+    least = np.maximum(LEAST, SHARE * np.minimum(*counts))
+    for across in (0, 0.5):
+        for down in (0, 0.5):
+            cell = np.stack([pair, turn, np.round(2 * scale), np.floor(shift.real / NEAR + across), np.floor(shift.imag / NEAR + down)], axis=1).astype(np.int64)
+            _, window = np.unique(cell, axis=0, return_inverse=True)
+            window = window.ravel()
+            number = [np.bincount(np.unique(window * (int(x.max()) + 1) + x) // (int(x.max()) + 1), minlength=window.max() + 1) for x in (i, j)] if len(window) else [np.zeros(0, int)] * 2
+            agree = np.minimum(*number)[window] if len(window) else number[0]
+            out[pair[agree >= least[pair]]] = True
+    return out
 
 
 def render(pages: DataFrame, id_column: str = "page_id", text_column: str = "html") -> DataFrame:
@@ -215,84 +301,139 @@ def render(pages: DataFrame, id_column: str = "page_id", text_column: str = "htm
 
     return pages.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, image binary")
 
-
 def described(images: DataFrame) -> DataFrame:
-    """id, h1 and h2 (digest of size and pixels; null if unreadable), places (x, y, scale, angle of each key point in turn), codes."""
+    """id, node (64 bits of the digest of size and pixels; null if unreadable), places and codes of the key points, n_parts (distinct ones) and sketch (minima of these)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                pixels = [pixels_of(x.as_py()) for x in part.column("image")]
-                good = [p for p in pixels if p is not None and p.size]
-                points = iter(key_points(good))
-                for i, p in zip(part.column("id").to_pylist(), pixels, strict=True):
-                    if p is None or not p.size:
-                        rows.append((i, None, None, [], []))
-                        continue
-                    digest = hashlib.sha256(repr(p.shape).encode() + p.tobytes()).digest()
-                    places, codes = next(points)
-                    rows.append((i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True), places.ravel().astype(np.float32), codes.view(np.int64)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64())), strict=True)], names=["id", "h1", "h2", "places", "codes"])
-
-    return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, "id long, h1 long, h2 long, places array<float>, codes array<long>")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that are copies."""
+            ids, held, size = [], [], 0
+            for i, content in zip(b.column("id").to_pylist(), b.column("image"), strict=True):
+                ids.append(i)
+                held.append(pixels_of(content.as_py()))
+                size += 0 if held[-1] is None else held[-1].size
+                if size >= RUN_PIXELS:
+                    yield _rows(ids, held)
+                    ids, held, size = [], [], 0
+            yield _rows(ids, held)
+
+    return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, "id long, node long, places array<long>, codes array<long>, n_parts int, sketch array<long>")
+
+
+def _rows(ids: list, pixels: list[np.ndarray | None]) -> pa.RecordBatch:
+    good = [k for k, p in enumerate(pixels) if p is not None and p.size]
+    points = key_points([pixels[k] for k in good])
+    nodes: list = [None] * len(ids)
+    counts, n_parts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    sketches: list = [None] * len(ids)
+    for k, (_, codes) in zip(good, points, strict=True):
+        nodes[k] = int.from_bytes(hashlib.sha256(repr(pixels[k].shape).encode() + pixels[k].tobytes()).digest()[:8], "little", signed=True)
+        counts[k] = len(codes)
+        if len(codes):
+            parts = np.unique(parts_of(codes))
+            n_parts[k] = len(parts)
+            mixed = words.mix(parts.view(np.uint64) + np.uint64(1))
+            sketches[k] = [int(x) for x in np.array([(mixed * f).min() for f in _FACTORS]).view(np.int64)]
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    places = np.concatenate([packed_places(p) for p, _ in points]) if points else np.zeros(0, np.int64)
+    codes = np.concatenate([c for _, c in points]) if points else np.zeros(0, np.uint64)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (places, codes.view(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), *lists, pa.array(n_parts, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "node", "places", "codes", "n_parts", "sketch"])
+
+
+def _confirmed(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes that are copies. Key points are joined once, to a's and b's together; a's then stand before those of TOGETHER or so partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def points(places: pa.Scalar, codes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-            return places.values.to_numpy().reshape(-1, 4).astype(float), codes.values.to_numpy().view(np.uint64)
-
+        last, head, one, two, who, size = None, None, [], [], [], 0
         for b in batches:
-            keep = pa.array([copies_of(points(*x[:2]), points(*x[2:])) for x in zip(b.column("pa"), b.column("ca"), b.column("pb"), b.column("cb"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    one = classes.select(F.col("rep").alias("a"), F.col("places").alias("pa"), F.col("codes").alias("ca"))
-    two = classes.select(F.col("rep").alias("b"), F.col("places").alias("pb"), F.col("codes").alias("cb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "ca", "pb", "cb").mapInArrow(run, "a long, b long")
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """key (table and part), rep, central: of all distinct parts that several images hold but the LEAST - 1 most common."""
+            data = [b.column(c) for c in ("a", "part", "role", "node")]
+            ends = b.column("codes").offsets.to_numpy()
+            places, codes = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("places", "codes"))
+            for k, (a, part, role, node) in enumerate(zip(*(c.to_pylist() for c in data), strict=True)):
+                own = unpacked_places(places[ends[k] : ends[k + 1]]), codes[ends[k] : ends[k + 1]].view(np.uint64)
+                if role == 0:
+                    last, head = (a, part), own
+                elif (a, part) == last:
+                    one.append(head)
+                    two.append(own)
+                    who.append((a, node))
+                    size += len(head[1]) + len(own[1])
+                if size >= 1 << 17:
+                    yield told(who, one, two)
+                    one, two, who, size = [], [], [], 0
+        yield told(who, one, two)
+
+    def told(who: list, one: list, two: list) -> pa.RecordBatch:
+        keep = copies_of(one, two)
+        return pa.RecordBatch.from_arrays([pa.array([w[k] for w, yes in zip(who, keep, strict=True) if yes], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    partners = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
+    need = partners.unionByName(heads)
+    dealt = need.join(common.among(table.select("node", "places", "codes"), "node", need.select("node")), "node").select("a", "part", "role", "node", "places", "codes")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _star(table: DataFrame) -> DataFrame:
+    """Pairs (a, b) that tie each image to the leaders of the lists of its sketch: its salted list's one, and that one to the whole list's."""
+    posted = table.select("node", "n_parts", F.posexplode("sketch").alias("nth", "value")).select("node", "n_parts", F.xxhash64("nth", "value").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    best = F.max(F.struct("n_parts", "node")).alias("best")
+    salted = posted.groupBy("key", "salt").agg(best, F.count("*").alias("n"))
+    whole = salted.groupBy("key").agg(F.max("best").alias("top"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    first = posted.join(salted.where("n > 1"), ["key", "salt"]).select("node", F.col("best.node").alias("a"), F.col("best.n_parts").alias("size"), F.lit(1).alias("level"))
+    second = salted.join(whole, "key").select(F.col("best.node").alias("node"), F.col("top.node").alias("a"), F.col("top.n_parts").alias("size"), F.lit(2).alias("level"))
+    met = first.unionByName(second).where("node <> a").groupBy("node", "level", "a").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return met.groupBy("node", "level").agg(F.max_by("a", F.struct("n", "size", "a")).alias("a")).select("a", F.col("node").alias("b")).distinct()
+
+
+def _left_apart(table: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different groups that share a part by which a link between them must show."""
     width = 64 // TABLES
-    codes = classes.select("rep", F.explode("codes").alias("code"))
-    parts = F.array(*[F.shiftrightunsigned(F.col("code"), t * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << 60)) for t in range(TABLES)])
-    every = codes.select("rep", F.explode(parts).alias("key")).distinct()
-    uses = every.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1")
-    by_image = every.join(uses, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("uses", "key"))).alias("of"))
-    central = F.aggregate("of", F.lit(0).cast("long"), lambda total, x: total + x["uses"])
-    kept = F.slice("of", F.lit(1), F.size("of") - (LEAST - 1))
-    return by_image.where(F.size("of") >= LEAST).select("rep", central.alias("central"), F.explode(kept).alias("x")).select("x.key", "rep", "central")
+    at = table.select("node", "codes").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "codes")
+    codes = at.select("node", "component", F.explode("codes").alias("code"))
+    parts = F.array(*[F.shiftrightunsigned(F.col("code"), t * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << width)) for t in range(TABLES)])
+    every = codes.select("node", "component", F.explode(parts).alias("key")).repartition("key")
+    stats = every.groupBy("key").agg(F.count("*").alias("uses"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.xxhash64("component", "key")).alias("head")).where("low < high").drop("low", "high")
+    mixed = every.join(stats.hint("shuffle_hash"), "key").distinct().join(table.select("node", "n_parts").distinct(), "node")
+    w = Window.partitionBy("node")
+    rows = mixed.withColumns({"m": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("uses", "key"))})
+    rows = rows.withColumns({"behind": F.col("m") - F.col("nth") + 1, "least": F.greatest(F.lit(LEAST), F.ceil(PARTS * F.col("n_parts")))})
+    rows = rows.where(F.col("behind") >= LEAST).select("key", "node", "component", "n_parts", "behind", "least", "uses", (F.col("component") == F.col("head")).alias("of_head"))
+    rows = common.saved(rows, "image-lists")
+    blocks = F.ceil(F.col("uses") / BLOCK).cast("int")
+    one = rows.where("NOT of_head").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    one = one.select("key", "block", *[F.col(c).alias(f"p_{c}") for c in ("node", "component", "n_parts", "behind", "least")])
+    two = two.select("key", "block", "of_head", *[F.col(c).alias(f"q_{c}") for c in ("node", "component", "n_parts", "behind", "least")])
+    # the one with fewer parts says how many must be shared; all of these stand from here on in both
+    needed = F.when(F.col("p_n_parts") < F.col("q_n_parts"), F.col("p_least")).when(F.col("p_n_parts") > F.col("q_n_parts"), F.col("q_least")).otherwise(F.least("p_least", "q_least"))
+    both = one.join(two, ["key", "block"]).where(F.expr("p_component <> q_component AND (of_head OR p_node < q_node)") & (F.least("p_behind", "q_behind") >= needed))
+    pairs = both.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+    out = common.saved(pairs, "image-rest")
+    common.drop(rows)
+    return out
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """id, class_id (smallest id with the same pixels), component_id (smallest id linked, itself included), n_links (of its class), n_key_points."""
+    """id, class_id (smallest id with the same pixels), component_id (smallest id linked, itself included) and n_key_points of every image."""
     table = common.saved(described(images), "key-points")
-    full = table.where("h1 IS NOT NULL AND id IS NOT NULL")
-    classes = common.saved(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("places", "id").alias("places"), F.min_by("codes", "id").alias("codes")), "image-classes")
-    posted = common.saved(_postings(classes), "image-postings")
-    leaders = posted.groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
-    met = posted.join(leaders, "key").where("rep <> a").groupBy("rep", "a").agg(F.count("*").alias("n"))
-    nearest = met.groupBy("rep").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    star = common.saved(nearest.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "image-star")
-    links = common.saved(_confirmed(star, classes), "image-links")
-    groups = components(links)
-    at = posted.join(groups, posted.rep == groups.node, "left").select("key", "rep", "central", F.coalesce("component", "rep").alias("component"))
-    heads = at.groupBy("key").agg(F.max_by("component", F.struct("central", -F.col("rep"))).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "head")
-    mixed = common.saved(at.join(heads, "key"), "image-mixed")
-    one = mixed.where("component <> head").select("key", F.col("rep").alias("p"), F.col("component").alias("cp"))
-    two = mixed.select("key", F.col("rep").alias("q"), F.col("component").alias("cq"), (F.col("component") == F.col("head")).alias("of_head"))
-    rest = one.join(two, "key").where("cp <> cq AND (of_head OR p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = common.saved(_confirmed(rest, classes), "image-more")
-    if more.limit(1).count():
-        links = common.saved(links.unionByName(more), "image-all-links")
-        groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = classes.join(groups, classes.rep == groups.node, "left").drop("node").join(degree, classes.rep == degree.node, "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = table.select("id", "h1", "h2", F.size("codes").cast("long").alias("n_key_points")).join(known, ["h1", "h2"], "left")
-    own = F.col("id").isNotNull()
-    return out.select("id", F.when(own, F.coalesce("rep", "id")).alias("class_id"), F.when(own, F.coalesce("component", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_key_points")
+    full = table.where("node IS NOT NULL AND id IS NOT NULL")
+    classes = common.saved(full.groupBy("node").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "image-classes")
+    again = full.select("node", "id").join(classes.where("copies > 1"), "node").where("id <> class_id").select("node", "id")  # equal images go on once
+    unique = full.join(again, ["node", "id"], "left_anti").where(F.size("codes") >= LEAST)
+    star = common.saved(_star(unique), "image-star")
+    links = common.saved(_confirmed(star, unique), "image-links")
+    common.drop(star)
+    rest = _left_apart(unique, components(links))
+    more = common.saved(_confirmed(rest, unique), "image-more")
+    names = classes.select("node", "class_id")
+    named = links.unionByName(more).join(names.withColumnRenamed("node", "a").withColumnRenamed("class_id", "x"), "a").join(names.withColumnRenamed("node", "b").withColumnRenamed("class_id", "y"), "b")
+    named = common.saved(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "image-pairs")
+    common.drop(rest, links, more)
+    groups = components(named)
+    known = classes.join(groups, classes.class_id == groups.node, "left").select(classes.node, "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")
+    known = common.saved(known, "image-groups")
+    rows = table.select("id", "node", F.size("codes").cast("long").alias("n_key_points"))
+    seen = common.join_spread(rows.where("node IS NOT NULL AND id IS NOT NULL"), known, "node", "copies").select("id", "class_id", "component_id", "n_key_points")
+    return seen.unionByName(rows.where("node IS NULL OR id IS NULL").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"), "n_key_points"))

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
 from lodestone.llm import bpe, common, images, neighbours, packing, queries, warc
-from tests.llm.conftest import ODD
+from tests.llm.conftest import CLASHING, ODD
 
 # WARC
 
@@ -228,34 +228,89 @@ def test_cropped_and_edited_copies(spark):
     for k, p in enumerate(originals):
         noisy = np.clip(p.astype(int) + rng.integers(-3, 4, p.shape), 0, 255).astype(np.uint8)
         brighter = np.clip(p.astype(int) * 0.9 + 15, 0, 255).astype(np.uint8)
-        for j, x in enumerate((p, p, p[20:, :], p[:100, 7:], noisy, brighter)):
+        for j, x in enumerate((p, p, p[20:, :], p[:100, 7:], noisy, brighter, p[::-1, ::-1], np.rot90(p))):
             rows.append((10 * k + j, images.png(np.ascontiguousarray(x))))
-    rows += [(200, None), (201, b""), (202, b"no picture"), (None, rows[0][1]), (203, images.png(np.zeros((40, 64), np.uint8)))]
-    found = {r["id"]: r for r in images.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    rows += [(200, None), (201, b""), (202, b"no picture"), (None, rows[0][1]), (203, images.png(np.zeros((40, 64), np.uint8))), (203, rows[0][1]), (204, images.png(np.zeros((40, 64), np.uint8)))]
+    df = spark.createDataFrame(rows, "id long, image binary")
+    for name in CLASHING:
+        df = df.withColumn(name, F.lit("clash"))
+    got = images.copies(df).collect()
+    assert len(got) == len(rows)
+    found = {r["id"]: r for r in got}
     for k in range(6):
-        assert [found[10 * k + j]["component_id"] for j in range(6)] == [10 * k] * 6
+        assert [found[10 * k + j]["component_id"] for j in range(8)] == [10 * k] * 8
         assert found[10 * k + 1]["class_id"] == 10 * k
-    assert all(found[i]["component_id"] == i and found[i]["n_links"] == 0 for i in (200, 201, 202, 203))
-    assert found[None]["component_id"] is None
+    assert all(found[i]["component_id"] == i for i in (200, 201, 202))
+    assert {r["component_id"] for r in got if r["id"] in (203, 204)} <= {0, 203}  # the two images of one id join one group
+    assert found[204]["class_id"] == 203 and found[None]["component_id"] is None
 
 
-def test_images_same_as_all_pairs(spark):
-    table = images.described(images.render(common.table(spark, SMALL, "pages"))).collect()
-    points = {r["id"]: (np.array(r["places"], np.float32).reshape(-1, 4).astype(float), np.array(r["codes"], np.int64).view(np.uint64)) for r in table}
-    pixels = {r["id"]: (r["h1"], r["h2"]) for r in table}
-    root = {i: i for i in points}
+def test_an_edited_copy_of_a_short_page(spark):
+    words = [f"word{k}" for k in range(60)]
+    edited = [*words[:50], *(f"other{k}" for k in range(10))]
+    pages = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(f"apart{k}" for k in range(60)))], "page_id long, html string")
+    assert {r["id"]: r["component_id"] for r in images.copies(images.render(pages)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_very_tall_images_and_repeated_patterns(spark):
+    """A page of 400,000 words, part of it again, and one row of words over and over: bands leave no seam."""
+    rng = np.random.default_rng(11)
+    long = [f"w{k}" for k in rng.integers(0, 10**9, 400_000)]
+    pages = [(1, " ".join(long)), (2, " ".join(long[160_000:320_000])), (3, "many words in a row " * 40_000), (4, "many words in a row " * 30_000)]
+    df = spark.createDataFrame(pages, "page_id long, html string").repartition(2)
+    assert {r["id"]: r["component_id"] for r in images.copies(images.render(df)).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_key_points_in_bands_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(12)
+    p = [picture(rng, rows, 16) for rows in (150, 3, 90)]
+    whole = images.key_points(p)
+    monkeypatch.setattr(images, "RUN_PIXELS", 4000)
+    for (x, a), (y, b) in zip(whole, images.key_points(p), strict=True):
+        assert (x == y).all() and (a == b).all() and len(a)
+    assert (images.unpacked_places(images.packed_places(whole[0][0])) == whole[0][0]).all()
+
+
+def all_pairs_of_images(rows):
+    """Component of each id by comparing all pairs. rows: id, node, places, codes."""
+    points = [(images.unpacked_places(np.array(r["places"], np.int64).reshape(-1)), np.array(r["codes"], np.int64).view(np.uint64)) for r in rows]
+    root = {r["id"]: r["id"] for r in rows}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in itertools.combinations(sorted(points), 2):
-        if pixels[a][0] is not None and pixels[a] == pixels[b] or images.copies_of(points[a], points[b]):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
+    for k in range(len(rows)):
+        same = images.copies_of([points[k]] * k, points[:k])
+        for m in range(k):
+            if same[m] or rows[k]["node"] is not None and rows[k]["node"] == rows[m]["node"]:
+                x, y = sorted((find(rows[k]["id"]), find(rows[m]["id"])))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def test_images_same_as_all_pairs(spark):
+    table = images.described(images.render(common.table(spark, SMALL, "pages"))).collect()
     found = {r["id"]: r["component_id"] for r in queries.op10_image_copies(spark, SMALL).collect()}
-    assert found == {i: find(i) for i in points}
+    assert found == all_pairs_of_images(table)
+
+
+def test_images_that_share_passages_same_as_all_pairs(spark, monkeypatch):
+    """Shared regions of all sizes around the least that makes a link, chains of crops, and lists split into blocks."""
+    monkeypatch.setattr(images, "BLOCK", 4)
+    rng = np.random.default_rng(13)
+    common_part, rows = picture(rng, 12), []
+    for k in range(60):
+        own = picture(rng, int(rng.integers(4, 40)))
+        x = [np.concatenate([own, common_part[: 4 * int(rng.integers(1, 13))]]), np.concatenate([common_part[4 * int(rng.integers(0, 8)) :], own]), own][k % 3]
+        rows.append((k, images.png(np.ascontiguousarray(x))))
+    tall = picture(rng, 200)
+    rows += [(100 + k, images.png(np.ascontiguousarray(tall[80 * k : 80 * k + 160]))) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, image binary")
+    want = all_pairs_of_images(images.described(df).collect())
+    assert {r["id"]: r["component_id"] for r in images.copies(df).collect()} == want
+    assert len(set(want.values())) > 10 and want[108] == 100 and sum(i != c for i, c in want.items()) > 20
 
 
 def test_images_of_nothing(spark):
