@@ -11,10 +11,10 @@ TABLES bits share a part. Two images are copies if
   fewer. A part that stands in several places of an image is matched in the order of the places, once from the top and
   once from the bottom, so the work grows with the number of key points and not with its square.
 
-Equal images form a class. Classes with one minimum of a sketch of their parts are tied to one leader of its list, and
-what is confirmed gives groups. What the groups have left apart is then compared in full: of the parts that occur in
-several groups, each image in the order rarest first, a pair shares one among the first of the smaller image that
-leave a fifth of its parts behind it, and only such pairs meet. Lists are split into blocks of `BLOCK`.
+Equal images form a class. Classes with two minima of a sketch of their parts in common with the leader of these minima's
+lists are tied to it, and what is confirmed gives groups. What the groups have left apart is then compared in full: of the parts that occur in
+several groups, in each image in the order rarest first, a pair shares `EXTRA` + 1 after which nearly a fifth of the
+smaller image's parts follow in both, and only such pairs meet. Lists are split into blocks of `BLOCK`.
 
 The tables at hand hold no media, so `render` draws each page: a square of 4 by 4 pixels for every word of the whole
 page, by the word's hash, 16 to a row. Equal passages of pages are then equal regions of images, shifted by other text.
@@ -42,8 +42,9 @@ from lodestone.llm import common, words
 from lodestone.llm.neardup import components
 
 APART, TABLES, FAR, LEAST, PARTS, SHARE, NEAR = 7, 2, 8, 5, 0.2, 0.3, 8
-BLOCK, SKETCH, SALTS, TOGETHER = 1024, 8, 64, 64
-MARGIN, SUPPORT, RUN_PIXELS = 8, 32, 1 << 20
+BLOCK, SKETCH, SALTS, TOGETHER, EXTRA = 1024, 8, 64, 64, 2
+MARGIN, SUPPORT, RUN_PIXELS = 9, 32, 1 << 18
+BITS = 26
 _rng = np.random.default_rng(10)
 _PAIRS = np.clip(np.round(_rng.normal(0, 2.6, (64, 4))), -5, 5)
 _FACTORS = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,7 +60,7 @@ def png(pixels: np.ndarray) -> bytes:
         return struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
 
     raw = np.concatenate([np.zeros((h, 1), np.uint8), pixels], axis=1).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 0)) + chunk(b"IEND", b"")
 
 
 def pixels_of(content: bytes | None) -> np.ndarray | None:
@@ -97,29 +98,22 @@ def pixels_of(content: bytes | None) -> np.ndarray | None:
         return None
 
 def _sum3(x: np.ndarray) -> np.ndarray:
-    """Sums over 3 by 3 pixels; the outermost pixels stay 0."""
-    out = np.zeros_like(x)
+    """Sums over 3 by 3 pixels, of all but the outermost pixels."""
     rows = x[:-2] + x[1:-1]
     rows += x[2:]
-    inner = out[1:-1, 1:-1]
-    np.add(rows[:, :-2], rows[:, 1:-1], out=inner)
-    inner += rows[:, 2:]
+    out = rows[:, :-2] + rows[:, 1:-1]
+    out += rows[:, 2:]
     return out
 
 
 def _highest(x: np.ndarray, r: int) -> np.ndarray:
-    """The maximum within r pixels around, both ways; x must be 0 near its edges."""
-    for axis in (0, 1):
-        n, wide, top = x.shape[axis], 1, x.copy()
-        while wide < 2 * r + 1:  # top[i] is the maximum over i .. i + wide - 1
+    """The maximum within r pixels around, both ways, of all pixels that have as many around them."""
+    for rows in (True, False):
+        wide = 1
+        while wide < 2 * r + 1:  # x[i] is the maximum over i .. i + wide - 1
             step = min(wide, 2 * r + 1 - wide)
-            at, ahead = (slice(None), slice(0, n - step)), (slice(None), slice(step, n))
-            if axis == 0:
-                at, ahead = at[::-1], ahead[::-1]
-            moved = top.copy()
-            np.maximum(top[at], top[ahead], out=moved[at])
-            top, wide = moved, wide + step
-        x = np.roll(top, r, axis)
+            x = np.maximum(x[:-step], x[step:]) if rows else np.maximum(x[:, :-step], x[:, step:])
+            wide += step
     return x
 
 
@@ -181,29 +175,36 @@ def _points(packed: np.ndarray, starts: np.ndarray, heights: np.ndarray, scale:
     row = np.arange(len(owner)) - begin[owner] - MARGIN
     last = heights[owner] - 1
     source = np.minimum(starts[owner] + np.clip(row, 0, np.maximum(last, 0)), max(0, len(packed) - 1))
-    s = packed[source][:, np.clip(np.arange(-MARGIN, width + MARGIN), 0, width - 1)]  # edges repeated
-    dx, dy = np.zeros_like(s), np.zeros_like(s)
-    np.subtract(s[:, 2:], s[:, :-2], out=dx[:, 1:-1])
-    np.subtract(s[2:], s[:-2], out=dy[1:-1])
-    both = dx * dy
+    s = np.empty((len(source), width + 2 * MARGIN), np.float32)  # edges repeated
+    s[:, MARGIN:-MARGIN] = packed[source]
+    s[:, :MARGIN] = s[:, MARGIN : MARGIN + 1]
+    s[:, -MARGIN:] = s[:, -MARGIN - 1 : -MARGIN]
+    dx = s[1:-1, 2:] - s[1:-1, :-2]
+    dy = s[2:, 1:-1] - s[:-2, 1:-1]
+    both = _sum3(dx * dy)
     dx *= dx
     dy *= dy
-    a, b, c = _sum3(dx), _sum3(both), _sum3(dy)
+    a, c = _sum3(dx), _sum3(dy)
     strength = a * c
-    b *= b
-    strength -= b
+    both *= both
+    strength -= both
     a += c
     a *= a
     a *= np.float32(0.05)
     strength -= a
-    strength[(row < 0) | (row > last)] = 0
-    strength[:, :MARGIN] = 0
-    strength[:, -MARGIN:] = 0
-    y, x = np.nonzero((strength >= _highest(strength, APART)) & (strength > 65_000.0))
+    strength[(row[2:-2] < 0) | (row[2:-2] > last[2:-2])] = 0
+    strength[:, : MARGIN - 2] = 0
+    strength[:, 2 - MARGIN :] = 0
+    centre = strength[APART:-APART, APART:-APART]
+    corner = centre == _highest(strength, APART)
+    corner &= centre > 65_000.0
+    y, x = np.nonzero(corner)
+    y += 2 + APART
+    x += 2 + APART
     if not len(y):
         return np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
-    smooth, across = _sum3(s).ravel(), s.shape[1]
-    near, at = np.arange(-4, 5), y * across + x
+    smooth, across = _sum3(s), s.shape[1] - 2
+    smooth, near, at = smooth.ravel(), np.arange(-4, 5), (y - 1) * across + x - 1
     patch = smooth[at[:, None] + (near[:, None] * across + near).ravel()]
     angle = np.arctan2(patch @ np.repeat(near, 9).astype(np.float32), patch @ np.tile(near, 9).astype(np.float32))
     turn = np.round(angle / (np.pi / 6)).astype(np.int64) % 12
@@ -262,8 +263,7 @@ def copies_of(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray,
     j = np.concatenate([(low + from_top)[i[:split]], (high - 1 - from_end)[i[split:]]])
     if not len(i):
         return out
-    match = np.unique(np.stack([points[0][i], points[1][j]], axis=1), axis=0)
-    i, j = match[:, 0], match[:, 1]
+    i, j = np.divmod(np.unique(points[0][i] * len(codes[1]) + points[1][j]), len(codes[1]))
     close = np.bitwise_count(codes[0][i] ^ codes[1][j]) <= FAR
     i, j = i[close], j[close]
     pair = np.searchsorted(np.cumsum(counts[0]), i, "right")
@@ -271,11 +271,11 @@ def copies_of(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray,
     turn, scale = (q[:, 3] - p[:, 3]) % 12, q[:, 2] / p[:, 2]
     shift = q[:, 0] + 1j * q[:, 1] - scale * np.exp(1j * np.pi / 6 * turn) * (p[:, 0] + 1j * p[:, 1])
     least = np.maximum(LEAST, SHARE * np.minimum(*counts))
+    kind = words.mix((pair << 6 | turn << 2 | np.round(2 * scale).astype(np.int64)).view(np.uint64))
     for across in (0, 0.5):
         for down in (0, 0.5):
-            cell = np.stack([pair, turn, np.round(2 * scale), np.floor(shift.real / NEAR + across), np.floor(shift.imag / NEAR + down)], axis=1).astype(np.int64)
-            _, window = np.unique(cell, axis=0, return_inverse=True)
-            window = window.ravel()
+            cell = [np.floor(x / NEAR + half).astype(np.int64).view(np.uint64) for x, half in ((shift.real, across), (shift.imag, down))]
+            _, window = np.unique(words.mix(words.mix(kind + cell[0]) + cell[1]), return_inverse=True)
             number = [np.bincount(np.unique(window * (int(x.max()) + 1) + x) // (int(x.max()) + 1), minlength=window.max() + 1) for x in (i, j)] if len(window) else [np.zeros(0, int)] * 2
             agree = np.minimum(*number)[window] if len(window) else number[0]
             out[pair[agree >= least[pair]]] = True
@@ -384,32 +384,129 @@ def _star(table: DataFrame) -> DataFrame:
     first = posted.join(salted.where("n > 1"), ["key", "salt"]).select("node", F.col("best.node").alias("a"), F.col("best.n_parts").alias("size"), F.lit(1).alias("level"))
     second = salted.join(whole, "key").select(F.col("best.node").alias("node"), F.col("top.node").alias("a"), F.col("top.n_parts").alias("size"), F.lit(2).alias("level"))
     met = first.unionByName(second).where("node <> a").groupBy("node", "level", "a").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    return met.groupBy("node", "level").agg(F.max_by("a", F.struct("n", "size", "a")).alias("a")).select("a", F.col("node").alias("b")).distinct()
+    return met.where("n > 1").groupBy("node", "level").agg(F.max_by("a", F.struct("n", "size", "a")).alias("a")).select("a", F.col("node").alias("b")).distinct()
+
+
+def _exploded(codes: pa.Array, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all parts of a column of lists, and the owner of each. A key is the part with its bits spread, one to one."""
+    flat = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    parts = parts_of(flat)
+    half = np.uint64(64 // TABLES)
+    low = np.uint64((1 << 64 // TABLES) - 1)
+    x = parts.view(np.uint64)
+    spread = (x & low) * np.uint64(0x9E3779B1) & low
+    spread ^= spread >> np.uint64(15)
+    spread = spread * np.uint64(0x85EBCA77) & low
+    keys = (x >> half << half | spread).view(np.int64)
+    sizes = np.diff(codes.offsets.to_numpy())
+    return keys.ravel(), np.repeat(np.repeat(owners, sizes), TABLES)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    change = np.ones(len(columns[0]), bool)
+    change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(change)
+
+
+def _heads(keys: np.ndarray, groups: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each key, ascending: how often it occurs, the group that has it most often, how often that is, whether others have it. n: how often each row counts."""
+    order = np.lexsort((groups, keys))
+    keys, groups, n = keys[order], groups[order], n[order]
+    at = _runs(keys, groups)
+    keys, groups, n = keys[at], groups[at], np.add.reduceat(n, at) if len(at) else n
+    order = np.lexsort((-n, keys))
+    keys, groups, n = keys[order], groups[order], n[order]
+    at = _runs(keys)
+    total = np.add.reduceat(n, at) if len(at) else n
+    return keys[at], total, groups[at], n[at]
+
+
+def _mixed_parts(table: DataFrame, n_parts: int) -> DataFrame:
+    """key, uses and head (the group that has it most often) of the parts that lie in several groups. table: component, codes.
+
+    Each batch of images counts its own parts and sends these counts on by ranges of the keys, as arrays; a range has
+    some hundred thousand keys, of which a very common one counts once a batch.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, n_parts) / (1 << 18)))))
+    width = 64 // TABLES
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, owners = _exploded(b.column("codes"), b.column("component").to_numpy())
+            keys, total, head, own = _heads(keys, owners, np.ones(len(keys), np.int64))
+            bounds = np.searchsorted(keys, np.arange((TABLES << bits) + 1) << (width - bits))
+            for k in np.flatnonzero(np.diff(bounds)):
+                part = slice(bounds[k], bounds[k + 1])
+                steps = np.diff(keys[part], prepend=int(k) << (width - bits)).astype(np.uint32)
+                more = np.flatnonzero(total[part] > 1)
+                extra = np.stack([more, total[part][more], own[part][more]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (steps, head[part], extra)]], names=["range", "steps", "heads", "extra"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, heads, n, own = [], [], [], []
+        for k, steps, head, extra in zip(*(rows[c].to_pylist() for c in ("range", "steps", "heads", "extra")), strict=True):
+            keys.append((k << (width - bits)) + np.cumsum(np.frombuffer(steps, np.uint32).astype(np.int64)))
+            heads.append(np.frombuffer(head, np.int64))
+            counts = np.ones((2, len(keys[-1])), np.int64)
+            at, *more = np.frombuffer(extra, np.int64).reshape(3, -1)
+            counts[:, at] = more
+            n.append(counts[0])
+            own.append(counts[1])
+        keys, heads, n, own = (np.concatenate(x) for x in (keys, heads, n, own))
+        key, most, head, best = _heads(keys, heads, own)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, np.searchsorted(key, keys), n)
+        mixed = best < total
+        return pa.table({"key": key[mixed], "uses": total[mixed], "head": head[mixed]})
+
+    return table.select("component", "codes").mapInArrow(tally, "range int, steps binary, heads binary, extra binary").groupBy("range").applyInArrow(merge, "key long, uses long, head long")
 
 
 def _left_apart(table: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) in different groups that share a part by which a link between them must show."""
-    width = 64 // TABLES
-    at = table.select("node", "codes").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "codes")
-    codes = at.select("node", "component", F.explode("codes").alias("code"))
-    parts = F.array(*[F.shiftrightunsigned(F.col("code"), t * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << width)) for t in range(TABLES)])
-    every = codes.select("node", "component", F.explode(parts).alias("key")).repartition("key")
-    stats = every.groupBy("key").agg(F.count("*").alias("uses"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.xxhash64("component", "key")).alias("head")).where("low < high").drop("low", "high")
-    mixed = every.join(stats.hint("shuffle_hash"), "key").distinct().join(table.select("node", "n_parts").distinct(), "node")
+    spark = table.sparkSession
+    at = common.saved(table.select("node", "n_parts", "codes").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n_parts", "codes"), "image-parts")
+    stats = common.saved(_mixed_parts(at, TABLES * (at.agg(F.sum(F.size("codes"))).first()[0] or 0)), "image-mixed-parts")
+    drop_bits = 64 // TABLES + (TABLES - 1).bit_length() - BITS
+    bit = F.shiftright("key", drop_bits) + 1
+    rows = stats.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bitmap = np.zeros((1 << BITS) // 8, np.uint8)  # of the upper bits of mixed parts: 8 MB whatever their number
+    for r in rows:
+        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, owners = _exploded(b.column("codes"), np.arange(b.num_rows))
+            place = keys >> drop_bits
+            may = (shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            keys, owners = keys[may], owners[may]
+            pairs = np.unique(np.stack([owners, keys]), axis=1) if len(keys) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), *[pa.array(b.column(c).to_numpy()[pairs[0]], t) for c, t in (("node", pa.int64()), ("component", pa.int64()), ("n_parts", pa.int32()))]], names=["key", "node", "component", "n_parts"])
+
+    mixed = at.mapInArrow(explode, "key long, node long, component long, n_parts int").join(stats, "key").distinct()
     w = Window.partitionBy("node")
     rows = mixed.withColumns({"m": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("uses", "key"))})
     rows = rows.withColumns({"behind": F.col("m") - F.col("nth") + 1, "least": F.greatest(F.lit(LEAST), F.ceil(PARTS * F.col("n_parts")))})
-    rows = rows.where(F.col("behind") >= LEAST).select("key", "node", "component", "n_parts", "behind", "least", "uses", (F.col("component") == F.col("head")).alias("of_head"))
+    rows = rows.where(F.col("behind") >= LEAST - EXTRA).select("key", "node", "component", "n_parts", "behind", "least", "uses", (F.col("component") == F.col("head")).alias("of_head"))
     rows = common.saved(rows, "image-lists")
+    common.drop(at, stats)
     blocks = F.ceil(F.col("uses") / BLOCK).cast("int")
     one = rows.where("NOT of_head").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     one = one.select("key", "block", *[F.col(c).alias(f"p_{c}") for c in ("node", "component", "n_parts", "behind", "least")])
     two = two.select("key", "block", "of_head", *[F.col(c).alias(f"q_{c}") for c in ("node", "component", "n_parts", "behind", "least")])
-    # the one with fewer parts says how many must be shared; all of these stand from here on in both
+    # the one with fewer parts says how many must be shared; of these the first has as many from there on in both, and so on
     needed = F.when(F.col("p_n_parts") < F.col("q_n_parts"), F.col("p_least")).when(F.col("p_n_parts") > F.col("q_n_parts"), F.col("q_least")).otherwise(F.least("p_least", "q_least"))
-    both = one.join(two, ["key", "block"]).where(F.expr("p_component <> q_component AND (of_head OR p_node < q_node)") & (F.least("p_behind", "q_behind") >= needed))
-    pairs = both.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+    left = F.least("p_behind", "q_behind")
+    both = one.join(two, ["key", "block"]).where(F.expr("p_component <> q_component AND (of_head OR p_node < q_node)") & (left >= needed - EXTRA))
+    met = both.groupBy(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).agg(F.count("*").alias("n"), F.bool_or(left >= needed).alias("enough"))
+    pairs = met.where((F.col("n") > EXTRA) & F.col("enough")).select("a", "b")
     out = common.saved(pairs, "image-rest")
     common.drop(rows)
     return out
