@@ -46,19 +46,22 @@ def drop(*tables: DataFrame) -> None:
         _, path = _paths.pop(id(df))
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:  # lets Spark's cleaner find the shuffles that nothing refers to any more
+        tables[0].sparkSession._jvm.System.gc()
 
 
 BITS = 1 << 26
 
 
-def among(rows: DataFrame, key: str, need: DataFrame) -> DataFrame:
-    """The rows whose key is in need's only column, and a few others: as many as share one of BITS bits with one that is."""
+def among(rows: DataFrame, key: str, need: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose key is in need's only column, and a few others: as many as share one of BITS bits with one that is. inside: false for all other rows."""
     bit = F.pmod(F.xxhash64(need.columns[0]), F.lit(BITS)) + 1
     maps = need.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
     own = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
     byte = F.expr("cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)")
     placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(own), "_place": F.bitmap_bit_position(own)})
-    found = placed.join(F.broadcast(maps), "_bucket").where(F.bit_get(byte, (F.col("_place") % 8).cast("int")) == 1)  # BITS / 8 bytes at most
+    hit = F.coalesce(F.bit_get(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False))
+    found = placed.join(F.broadcast(maps), "_bucket", "left").where(hit if inside else ~hit)  # BITS / 8 bytes at most
     return found.select(*rows.columns)
 
 

@@ -1,7 +1,8 @@
 """Copies of images by local descriptors, also cropped, turned or edited ones.
 
 The column holds 8-bit grey PNG images. Key points are corners (Harris) at full and half size, each the strongest within
-`APART` pixels around. Each is described by 64 comparisons of smoothed pixels, turned to the direction of the patch's
+`APART` pixels around, or within `CLOSE` in images of at most `SMALL` pixels, whose key points are thus all that a larger
+image has in the same region and more. Each is described by 64 comparisons of smoothed pixels, turned to the direction of the patch's
 centre of mass. Descriptors are joined by Hamming tables: of the `TABLES` parts of one, two that differ in fewer than
 TABLES bits share a part. Two images are copies if
 
@@ -11,8 +12,8 @@ TABLES bits share a part. Two images are copies if
   fewer. A part that stands in several places of an image is matched in the order of the places, once from the top and
   once from the bottom, so the work grows with the number of key points and not with its square.
 
-Equal images form a class. Classes with two minima of a sketch of their parts in common with the leader of these minima's
-lists are tied to it, and what is confirmed gives groups. What the groups have left apart is then compared in full: of the parts that occur in
+Equal images form a class. Sketches of their parts tie classes to leaders of groups in a few rounds, and what is
+confirmed gives groups. What the groups have left apart is then compared in full: of the parts that occur in
 several groups, in each image in the order rarest first, a pair shares `EXTRA` + 1 after which nearly a fifth of the
 smaller image's parts follow in both, and only such pairs meet. Lists are split into blocks of `BLOCK`.
 
@@ -35,15 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import common, words
 from lodestone.llm.neardup import components
 
-APART, TABLES, FAR, LEAST, PARTS, SHARE, NEAR = 7, 2, 8, 5, 0.2, 0.3, 8
-BLOCK, SKETCH, SALTS, TOGETHER, EXTRA = 1024, 8, 64, 64, 2
-MARGIN, SUPPORT, RUN_PIXELS = 9, 32, 1 << 18
+APART, CLOSE, SMALL, TABLES, FAR, LEAST, PARTS, SHARE, NEAR = 9, 6, 4096, 2, 8, 5, 0.2, 0.3, 8
+BLOCK, SKETCH, FEW, TOGETHER, EXTRA = 1024, 8, 16, 64, 2
+MARGIN, SUPPORT, RUN_PIXELS = 11, 32, 1 << 18
 BITS = 26
 _rng = np.random.default_rng(10)
 _PAIRS = np.clip(np.round(_rng.normal(0, 2.6, (64, 4))), -5, 5)
@@ -106,10 +108,10 @@ def _sum3(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _highest(x: np.ndarray, r: int) -> np.ndarray:
-    """The maximum within r pixels around, both ways, of all pixels that have as many around them."""
+def _highest(x: np.ndarray, r: int, known: int = 0) -> np.ndarray:
+    """The maximum within r pixels around, both ways, of all pixels that have as many around them. x may be that within `known`."""
     for rows in (True, False):
-        wide = 1
+        wide = 2 * known + 1
         while wide < 2 * r + 1:  # x[i] is the maximum over i .. i + wide - 1
             step = min(wide, 2 * r + 1 - wide)
             x = np.maximum(x[:-step], x[step:]) if rows else np.maximum(x[:, :-step], x[:, step:])
@@ -122,14 +124,14 @@ def key_points(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     found: list[list] = [[] for _ in images]
     for width in {x.shape[1] for x in images}:
         band = max(2 * SUPPORT, RUN_PIXELS // (width + 2 * MARGIN) // 2 * 2)
-        run: list[tuple[int, int, int, np.ndarray]] = []  # image, first row that counts, its place in the band, the band's rows
+        run: list[tuple[int, int, int, np.ndarray, bool]] = []  # image, first row that counts, its place in the band, the band's rows, whether it is small
         size = 0
         for k, x in enumerate(images):
             if x.shape[1] != width:
                 continue
             for at in range(0, x.shape[0], band):
                 low = max(0, at - SUPPORT)
-                run.append((k, at, at - low, x[low : at + band + SUPPORT]))
+                run.append((k, at, at - low, x[low : at + band + SUPPORT], x.size <= SMALL))
                 size += (len(run[-1][3]) + 2 * MARGIN) * (width + 2 * MARGIN)
                 if size >= RUN_PIXELS:
                     _add_points(run, band, found)
@@ -145,29 +147,30 @@ def key_points(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _add_points(run: list[tuple[int, int, int, np.ndarray]], band: int, found: list[list]) -> None:
-    packed = np.concatenate([x for *_, x in run])
-    heights = np.array([len(x) for *_, x in run])
+def _add_points(run: list[tuple[int, int, int, np.ndarray, bool]], band: int, found: list[list]) -> None:
+    packed = np.concatenate([x for *_, x, _ in run])
+    heights = np.array([len(x) for *_, x, _ in run])
     starts = np.cumsum(heights) - heights
-    done = [_points(packed.astype(np.float32), starts, heights, 1)]
+    small = np.array([x for *_, x in run])
+    done = [_points(packed.astype(np.float32), starts, heights, small, 1)]
     halves = heights // 2
     if packed.shape[1] >= 2 and halves.sum():
         nth = np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves)
         top = np.repeat(starts, halves) + 2 * nth
         wide = packed.shape[1] // 2 * 2
         pairs = packed[top, :wide].astype(np.float32) + packed[top + 1, :wide]
-        done.append(_points((pairs[:, ::2] + pairs[:, 1::2]) / 4, np.cumsum(halves) - halves, halves, 2))
+        done.append(_points((pairs[:, ::2] + pairs[:, 1::2]) / 4, np.cumsum(halves) - halves, halves, small, 2))
     owner, places, codes = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(len(run) + 1))
-    for n, (k, first, inside, _) in enumerate(run):
+    for n, (k, first, inside, *_) in enumerate(run):
         own = order[bounds[n] : bounds[n + 1]]
         y = places[own, 1]
         own = own[(y >= inside) & (y < inside + band)]
         found[k].append((places[own] + [0, first - inside, 0, 0], codes[own]))
 
 
-def _points(packed: np.ndarray, starts: np.ndarray, heights: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _points(packed: np.ndarray, starts: np.ndarray, heights: np.ndarray, small: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of images that lie one below another: the one that each key point is in, its place there, its descriptor."""
     width, tall = packed.shape[1], heights + 2 * MARGIN
     begin = np.cumsum(tall) - tall
@@ -195,8 +198,11 @@ def _points(packed: np.ndarray, starts: np.ndarray, heights: np.ndarray, scale:
     strength[(row[2:-2] < 0) | (row[2:-2] > last[2:-2])] = 0
     strength[:, : MARGIN - 2] = 0
     strength[:, 2 - MARGIN :] = 0
-    centre = strength[APART:-APART, APART:-APART]
-    corner = centre == _highest(strength, APART)
+    centre, more = strength[APART:-APART, APART:-APART], APART - CLOSE
+    close = _highest(strength, CLOSE)
+    corner = centre == _highest(close, APART, CLOSE)
+    few = small[owner][2 + APART : -2 - APART]
+    corner[few] = centre[few] == close[more:-more, more:-more][few]
     corner &= centre > 65_000.0
     y, x = np.nonzero(corner)
     y += 2 + APART
@@ -375,16 +381,43 @@ def _confirmed(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _star(table: DataFrame) -> DataFrame:
-    """Pairs (a, b) that tie each image to the leaders of the lists of its sketch: its salted list's one, and that one to the whole list's."""
-    posted = table.select("node", "n_parts", F.posexplode("sketch").alias("nth", "value")).select("node", "n_parts", F.xxhash64("nth", "value").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    best = F.max(F.struct("n_parts", "node")).alias("best")
-    salted = posted.groupBy("key", "salt").agg(best, F.count("*").alias("n"))
-    whole = salted.groupBy("key").agg(F.max("best").alias("top"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    first = posted.join(salted.where("n > 1"), ["key", "salt"]).select("node", F.col("best.node").alias("a"), F.col("best.n_parts").alias("size"), F.lit(1).alias("level"))
-    second = salted.join(whole, "key").select(F.col("best.node").alias("node"), F.col("top.node").alias("a"), F.col("top.n_parts").alias("size"), F.lit(2).alias("level"))
-    met = first.unionByName(second).where("node <> a").groupBy("node", "level", "a").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    return met.where("n > 1").groupBy("node", "level").agg(F.max_by("a", F.struct("n", "size", "a")).alias("a")).select("a", F.col("node").alias("b")).distinct()
+def _grouped(table: DataFrame, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Some links (a, b), and the groups (node, component) that they make: most groups of copies, found with few comparisons.
+
+    Images with one minimum in their sketches stand in a list. In each round every group but the list's largest proposes,
+    over all of its lists, the two of its images that meet a leader of a larger group most often; leaders are those that a
+    hash of the round puts first, so that the next round tries others. Later rounds leave lists of up to FEW images aside,
+    for which there is little to save.
+    """
+    posted = table.select("node", F.posexplode("sketch").alias("nth", "value")).select("node", F.xxhash64("nth", "value").alias("key"))
+    lists = common.saved(posted.join(posted.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "key"), "image-sketches")
+    links = groups = None
+    for k in range(rounds):
+        at = lists.withColumn("component", F.col("node")) if groups is None else lists.where(F.col("uses") > FEW).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node")).alias("first")
+        each = at.groupBy("key", "component").agg(F.count("*").alias("n"), first)
+        heads = each.groupBy("key").agg(F.max(F.struct("n", "first", "component")).alias("head"), F.count("*").alias("groups")).where("groups > 1")
+        met = at.join(heads.select("key", F.col("head.component").alias("other"), F.col("head.first.node").alias("leader")), "key").where("component <> other")
+        counts = met.groupBy("component", "node", "leader").agg(F.count("*").alias("n"))
+        nth = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "node", "leader"))
+        proposed = common.saved(counts.withColumn("nth", nth).where("nth <= 2").select(F.col("leader").alias("a"), F.col("node").alias("b")), "image-proposed")
+        new = common.saved(_confirmed(proposed, table), "image-links")
+        common.drop(proposed)
+        links = new if links is None else links.unionByName(new)
+        if not new.limit(1).count():
+            break
+        if groups is None:
+            groups = components(new)
+            continue
+        # only what the new links join changes: their ends' groups are the nodes of a small graph
+        named = new.join(groups.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+        named = common.saved(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b"), "image-named")
+        merged = components(named).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        every = groups.unionByName(merged.select(F.col("component").alias("node"), "component").join(groups.select("node"), "node", "left_anti"))
+        groups = common.saved(every.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "image-groups")
+        common.drop(named)
+    common.drop(lists)
+    return links, groups if groups is not None else components(links)
 
 
 def _exploded(codes: pa.Array, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,6 +457,15 @@ def _heads(keys: np.ndarray, groups: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return keys[at], total, groups[at], n[at]
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _spread(x: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def _mixed_parts(table: DataFrame, n_parts: int) -> DataFrame:
     """key, uses and head (the group that has it most often) of the parts that lie in several groups. table: component, codes.
 
@@ -443,17 +485,20 @@ def _mixed_parts(table: DataFrame, n_parts: int) -> DataFrame:
             for k in np.flatnonzero(np.diff(bounds)):
                 part = slice(bounds[k], bounds[k + 1])
                 steps = np.diff(keys[part], prepend=int(k) << (width - bits)).astype(np.uint32)
+                names, who = np.unique(head[part], return_inverse=True)
                 more = np.flatnonzero(total[part] > 1)
                 extra = np.stack([more, total[part][more], own[part][more]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (steps, head[part], extra)]], names=["range", "steps", "heads", "extra"])
+                # the bytes of small numbers one place after another, so that those that are mostly 0 take no room
+                columns = [_squeezed(x) for x in (steps, names, who.astype(np.uint32), extra)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x], pa.binary()) for x in columns]], names=["range", "steps", "names", "heads", "extra"])
 
     def merge(rows: pa.Table) -> pa.Table:
         keys, heads, n, own = [], [], [], []
-        for k, steps, head, extra in zip(*(rows[c].to_pylist() for c in ("range", "steps", "heads", "extra")), strict=True):
-            keys.append((k << (width - bits)) + np.cumsum(np.frombuffer(steps, np.uint32).astype(np.int64)))
-            heads.append(np.frombuffer(head, np.int64))
+        for k, steps, names, head, extra in zip(*(rows[c].to_pylist() for c in ("range", "steps", "names", "heads", "extra")), strict=True):
+            keys.append((k << (width - bits)) + np.cumsum(_spread(steps, np.uint32).astype(np.int64)))
+            heads.append(_spread(names, np.int64)[_spread(head, np.uint32)])
             counts = np.ones((2, len(keys[-1])), np.int64)
-            at, *more = np.frombuffer(extra, np.int64).reshape(3, -1)
+            at, *more = _spread(extra, np.int64).reshape(3, -1)
             counts[:, at] = more
             n.append(counts[0])
             own.append(counts[1])
@@ -464,13 +509,15 @@ def _mixed_parts(table: DataFrame, n_parts: int) -> DataFrame:
         mixed = best < total
         return pa.table({"key": key[mixed], "uses": total[mixed], "head": head[mixed]})
 
-    return table.select("component", "codes").mapInArrow(tally, "range int, steps binary, heads binary, extra binary").groupBy("range").applyInArrow(merge, "key long, uses long, head long")
+    return table.select("component", "codes").mapInArrow(tally, "range int, steps binary, names binary, heads binary, extra binary").groupBy("range").applyInArrow(merge, "key long, uses long, head long")
 
 
 def _left_apart(table: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) in different groups that share a part by which a link between them must show."""
     spark = table.sparkSession
-    at = common.saved(table.select("node", "n_parts", "codes").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n_parts", "codes"), "image-parts")
+    rows = table.select("node", "n_parts", "codes")
+    grouped, alone = (common.among(rows, "node", groups.select("node"), inside) for inside in (True, False))
+    at = grouped.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).unionByName(alone.withColumn("component", F.col("node")))
     stats = common.saved(_mixed_parts(at, TABLES * (at.agg(F.sum(F.size("codes"))).first()[0] or 0)), "image-mixed-parts")
     drop_bits = 64 // TABLES + (TABLES - 1).bit_length() - BITS
     bit = F.shiftright("key", drop_bits) + 1
@@ -495,7 +542,7 @@ def _left_apart(table: DataFrame, groups: DataFrame) -> DataFrame:
     rows = rows.withColumns({"behind": F.col("m") - F.col("nth") + 1, "least": F.greatest(F.lit(LEAST), F.ceil(PARTS * F.col("n_parts")))})
     rows = rows.where(F.col("behind") >= LEAST - EXTRA).select("key", "node", "component", "n_parts", "behind", "least", "uses", (F.col("component") == F.col("head")).alias("of_head"))
     rows = common.saved(rows, "image-lists")
-    common.drop(at, stats)
+    common.drop(stats)
     blocks = F.ceil(F.col("uses") / BLOCK).cast("int")
     one = rows.where("NOT of_head").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -519,15 +566,13 @@ def copies(images: DataFrame) -> DataFrame:
     classes = common.saved(full.groupBy("node").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "image-classes")
     again = full.select("node", "id").join(classes.where("copies > 1"), "node").where("id <> class_id").select("node", "id")  # equal images go on once
     unique = full.join(again, ["node", "id"], "left_anti").where(F.size("codes") >= LEAST)
-    star = common.saved(_star(unique), "image-star")
-    links = common.saved(_confirmed(star, unique), "image-links")
-    common.drop(star)
-    rest = _left_apart(unique, components(links))
+    links, groups = _grouped(unique)
+    rest = _left_apart(unique, groups)
     more = common.saved(_confirmed(rest, unique), "image-more")
     names = classes.select("node", "class_id")
     named = links.unionByName(more).join(names.withColumnRenamed("node", "a").withColumnRenamed("class_id", "x"), "a").join(names.withColumnRenamed("node", "b").withColumnRenamed("class_id", "y"), "b")
     named = common.saved(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "image-pairs")
-    common.drop(rest, links, more)
+    common.drop(rest, more)
     groups = components(named)
     known = classes.join(groups, classes.class_id == groups.node, "left").select(classes.node, "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")
     known = common.saved(known, "image-groups")
