@@ -5,13 +5,18 @@ word itself if it is in the lexicon of the training sample; together with learne
 neighbouring words they give, by forward-backward, the probability of each language for each word. The score of a
 language for a text is the mean over all of its words, and the text's language is the one with the greatest score.
 
-Training takes at most `per_language` documents of each language and `segments` pieces of RUN words of each: a bounded,
-documented sample of labelled rows. Training sequences join pieces of several documents, so that there are switches to
-learn the transitions from. Texts are then labelled in whole, each as one chain: blocks of words are first multiplied
-into matrices, which carry the messages across, and then run side by side.
+Every language that occurs is learned. Training takes at most `per_language` documents of each, fewer if all together
+would be over `most_documents`, and `segments` pieces of RUN words of each: a bounded, documented sample of labelled
+rows. Documents of fewer words make pieces together with others of their language. Training sequences join several
+pieces, so that there are switches to learn the transitions from. The numbers of features times languages is bounded by
+`WEIGHTS`. Texts are then labelled in whole, each as one chain: blocks of words are first multiplied into matrices, which
+carry the messages across, and then run side by side.
 
-A text that is null or has no letter gets `und` and score 0. Null languages and held-out rows are never learned from.
-With one language known, all texts with letters get it, with score 1; with none, `und`.
+A text that is null or has no letter gets `und` and score 0. Null languages, null ids and held-out rows are never learned
+from. With one language known, or no word to learn from, all texts with letters get one language, with score 1; with
+none, `und`. Of languages with equal scores the first by name is taken. Rows that repeat an id are labelled each by their
+own text; an empty table gives an empty result; further columns, whatever their names, are ignored. Very long texts are
+labelled in whole, in memory that grows with the text alone.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import common, words
 
-RUN, BLOCK, BITS = 8, 32, 17
+RUN, BLOCK, BITS, WEIGHTS, MANY = 8, 32, 17, 1 << 23, 16
 _LETTERS = words.LETTERS.copy()
 _LETTERS[48:58] = False
 
@@ -48,8 +53,8 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return b, at, to, np.searchsorted(at, offsets)
 
 
-def features(b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words, and the bounds of each word's. The last bucket is for the whole word."""
+def features(b: np.ndarray, at: np.ndarray, to: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, below 2 ** bits, and the bounds of each word's."""
     n = to - at
     padded = np.concatenate([b.astype(np.uint64), np.zeros(4, np.uint64)])
     grams = {1: padded[: len(b)]}
@@ -58,7 +63,7 @@ def features(b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray,
     found, owner = [], []
 
     def add(values: np.ndarray, kind: int, who: np.ndarray) -> None:
-        found.append(words.mix(values + np.uint64(kind << 40)) >> np.uint64(64 - BITS))
+        found.append(words.mix(values + np.uint64(kind << 40)) >> np.uint64(64 - bits))
         owner.append(who)
 
     every = np.arange(len(at))
@@ -85,20 +90,23 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], lexicon: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> None:
         self.languages, self.lexicon, self.weights, self.transitions = languages, lexicon, weights, transitions
+        self.bits = max(0, (len(weights) - len(lexicon)).bit_length() - 1)
 
     def emissions(self, b: np.ndarray, at: np.ndarray, to: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """A score of each language for each word; equal words are worked out once."""
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        numbers, bounds = features(b, at[first], to[first])
+        numbers, bounds = features(b, at[first], to[first], self.bits)
         scores = np.add.reduceat(self.weights[numbers], bounds[:-1], axis=0) if len(numbers) else np.zeros((len(first), len(self.languages)))
         if len(self.lexicon):
             place = np.minimum(np.searchsorted(self.lexicon, hashes[first]), len(self.lexicon) - 1)
-            scores = scores + np.where((self.lexicon[place] == hashes[first])[:, None], self.weights[(1 << BITS) + place], 0)
+            scores = scores + np.where((self.lexicon[place] == hashes[first])[:, None], self.weights[(1 << self.bits) + place], 0)
         return scores[back]
 
     def posteriors(self, emissions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Probability of each language for each word; text i has the words bounds[i] to bounds[i + 1]."""
         k = emissions.shape[1]
+        if k > MANY:
+            return self.word_by_word(emissions, bounds)
         local = np.exp(emissions - emissions.max(axis=1, keepdims=True))
         step = np.exp(self.transitions - self.transitions.max())
         n = np.diff(bounds)
@@ -148,11 +156,34 @@ class LanguageModel:
         p = forward[inside]
         return p / p.sum(axis=1, keepdims=True)
 
+    def word_by_word(self, emissions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The same without matrices of the blocks, for which many languages would need much room: nth words of all texts together."""
+        local = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+        step = np.exp(self.transitions - self.transitions.max())
+        n = np.diff(bounds)
+        order = np.argsort(-n, kind="stable")
+        starts, n = bounds[:-1][order], n[order]
+        out = np.empty_like(local)
+        message = None
+        for t in range(int(n.max(initial=0))):
+            at = starts[: np.searchsorted(-n, -t, "left")] + t  # the texts with more than t words come first
+            message = local[at] if message is None else message[: len(at)] @ step * local[at]
+            message = message / message.sum(axis=1, keepdims=True)
+            out[at] = message
+        message = np.zeros((0, local.shape[1]))
+        for t in range(int(n.max(initial=0)) - 1, -1, -1):
+            at = starts[: np.searchsorted(-n, -t, "left")] + t
+            message = np.concatenate([message, np.ones((len(at) - len(message), local.shape[1]))])
+            out[at] *= message
+            message = (message * local[at]) @ step.T
+            message = message / message.sum(axis=1, keepdims=True)
+        return out / out.sum(axis=1, keepdims=True)
+
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         labels, scores = ["und"] * len(column), np.zeros(len(column))
         if not self.languages:
             return labels, scores
-        for first, end, data, offsets in common.slices(column, 1 << 20):
+        for first, end, data, offsets in common.slices(column, max(1 << 14, (1 << 22) // max(4, len(self.languages)))):
             b, at, to, bounds = word_parts(data, offsets)
             if not len(at):
                 continue
@@ -197,8 +228,9 @@ def crf_fit(emission_rows: list[np.ndarray], sequences: np.ndarray, truth: np.nd
             beta[:, t] = b / b.sum(axis=1, keepdims=True)
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * step * (local[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        # the expected moves, summed: for each place the outer product of what comes before and after, over its total
+        before, behind = alpha[:, :-1].reshape(-1, k), (local[:, 1:] * beta[:, 1:]).reshape(-1, k)
+        expected = step * ((before / ((before @ step) * behind).sum(axis=1, keepdims=True)).T @ behind)
         g = -p
         np.put_along_axis(g, y[..., None], np.take_along_axis(g, y[..., None], 2) + 1, 2)
         seen, back = np.unique(rows[s], return_inverse=True)
@@ -210,51 +242,67 @@ def crf_fit(emission_rows: list[np.ndarray], sequences: np.ndarray, truth: np.nd
         weights[n_rows] = 0
         moves = np.zeros((k, k))
         np.add.at(moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        moves = (moves - pair.sum(axis=(0, 1))) / batch
+        moves = (moves - expected) / batch
         step_squares += moves * moves
         steps_log += rate * moves / np.sqrt(step_squares)
     return weights[:n_rows], steps_log
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, segments: int = 40, max_languages: int = 64, max_lexicon: int = 4096, folds: int = 4, held_out: int = 2) -> LanguageModel:
-    usable = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    languages = sorted(r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+def fit(docs: DataFrame, *, per_language: int = 300, most_documents: int = 20_000, segments: int = 40, max_lexicon: int = 4096, folds: int = 4, held_out: int = 2) -> LanguageModel:
+    usable = docs.where(F.col("lang").isNotNull() & F.coalesce(common.fold(F.col("doc_id"), folds) != held_out, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    counts = usable.groupBy("lang").count()
+    languages = [r[0] for r in counts.orderBy(F.desc("count"), "lang").collect()]  # the distinct languages
     if not languages:
         return LanguageModel([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
-    chosen = None
-    for language in languages:
-        part = usable.where(F.col("lang") == language).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    per_language = max(1, min(per_language, most_documents // len(languages)))
+    # a language's documents with the least hashes: those of twice as many by expectation first, then these in order
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    few = usable.select("doc_id", "lang", place.alias("place")).join(counts, "lang").where(F.col("place") < F.lit(float(1 << 40) * (2 * per_language + 20)) / F.col("count"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 b, at, to, _ = word_parts(*common.utf8(pa.array([text or ""])))
-                starts = np.arange(0, max(0, len(at) - RUN + 1), RUN)
+                starts = np.arange(0, max(1, len(at) - RUN + 1), RUN)
                 if len(starts) > segments:
                     starts = np.random.default_rng(doc & 0xFFFFFFFF).choice(starts, segments, replace=False)
-                out += [(lang, b" ".join(b[at[i] : to[i]].tobytes() for i in range(s, s + RUN))) for s in np.sort(starts)]
+                out += [(lang, b" ".join(b[at[i] : to[i]].tobytes() for i in range(s, min(s + RUN, len(at))))) for s in np.sort(starts) if len(at)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "words"])
 
-    # max_languages * per_language ids at most; the sample is max_languages * per_language * segments * RUN words at most
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(cut, "lang string, words binary").collect()
-    sample.sort(key=lambda r: (r[0], bytes(r[1])))
+    # about most_documents ids; the sample is as many * segments * RUN words at most
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(cut, "lang string, words binary").collect()
+    sample: list[tuple[str, list[bytes]]] = []
+    held: dict[str, list[bytes]] = {}
+    for lang, words_ in sorted((r[0], bytes(r[1])) for r in rows):
+        found = words_.split(b" ")
+        if len(found) < RUN:  # short documents of one language make pieces together
+            found = held.get(lang, []) + found
+            held[lang] = found[RUN:]
+            if len(found) < RUN:
+                held[lang] = found
+                continue
+        sample.append((lang, found[:RUN]))
+    sample += [(lang, (found * RUN)[:RUN]) for lang, found in held.items() if found]
+    languages.sort()
     k = len(languages)
+    bits = min(BITS, (max(1, WEIGHTS // k)).bit_length() - 1)
     if k == 1 or not sample:
-        return LanguageModel(languages[:1], np.zeros(0, np.uint64), np.zeros((1 << BITS, 1)), np.zeros((1, 1)))
+        return LanguageModel(languages[:1], np.zeros(0, np.uint64), np.zeros((1 << bits, 1)), np.zeros((1, 1)))
     number = {x: i for i, x in enumerate(languages)}
     vocabulary: dict[bytes, int] = {}
-    pieces = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in bytes(r[1]).split(b" ")] for r in sample])
+    pieces = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in found] for _, found in sample])
     of = np.array([number[r[0]] for r in sample])
     data, offsets = common.utf8(pa.array(list(vocabulary), pa.binary()))
     b, at, to, bounds = word_parts(data, offsets)
     hashes, _ = words.hash_words(data, offsets, _LETTERS)
-    numbers, ends = features(b, at, to)
+    numbers, ends = features(b, at, to, bits)
     uses = np.bincount(pieces.ravel(), minlength=len(vocabulary))
-    often = [int(w) for w in np.argsort(-uses, kind="stable")[:max_lexicon] if uses[w] >= 5]
+    often = [int(w) for w in np.argsort(-uses, kind="stable")[: min(max_lexicon, 1 << bits)] if uses[w] >= 5]
     lexicon = np.sort(hashes[often])
-    slot = {w: (1 << BITS) + int(np.searchsorted(lexicon, hashes[w])) for w in often}
+    slot = {w: (1 << bits) + int(np.searchsorted(lexicon, hashes[w])) for w in often}
     emission_rows = [np.append(numbers[ends[w] : ends[w + 1]], [slot[w]] if w in slot else []).astype(np.int64) for w in range(len(vocabulary))]
     rng = np.random.default_rng(8)
     by = [np.flatnonzero(of == i) for i in range(k)]
@@ -264,14 +312,14 @@ def fit(docs: DataFrame, *, per_language: int = 300, segments: int = 40, max_lan
     which = rng.choice(kinds, (n, joined))
     which[same] = which[same][:, :1]  # most texts keep to one language
     picks = np.array([[rng.choice(by[c]) for c in row] for row in which])
-    weights, transitions = crf_fit(emission_rows, pieces[picks].reshape(n, -1), np.repeat(which, RUN, axis=1), (1 << BITS) + len(lexicon), k)
+    weights, transitions = crf_fit(emission_rows, pieces[picks].reshape(n, -1), np.repeat(which, RUN, axis=1), (1 << bits) + len(lexicon), k, steps=max(300, 15 * k))
     return LanguageModel(languages, lexicon, weights, transitions)
 
 
 def languages_of(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = fit(docs, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS + max_lexicon rows of max_languages numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * WEIGHTS numbers at most, unless there are more languages than that
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,8 +1,9 @@
 """Deterministic sharded WARC archives.
 
-Records are dealt to shards by ranges of their key; the ranges' borders are quantiles of the keys whose hash falls in a
-fixed slice, so they depend on the rows and the number of shards alone, not on how the input is partitioned. A shard is
-one sorted run, written record by record into gzip members; a file is closed once it has `roll_bytes` compressed bytes.
+Records are dealt to shards by ranges of their key, as many as the payloads' bytes ask for; the ranges' borders are
+quantiles, by bytes, of the keys of rows whose hash falls in a fixed slice, so they depend on the rows and the number of
+shards alone, not on how the input is partitioned. A key that many rows repeat is split further by its rows' digests. A
+shard is one sorted run, written record by record into gzip members; a file is closed once it has `roll_bytes` compressed bytes.
 Headers (lengths, SHA-256 digests, record types, references) are made anew from the payloads, dates are a parameter:
 the same rows give the same bytes.
 
@@ -38,19 +39,21 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
+NO_KEY = -(1 << 63)
 MANIFEST = "shard int, file string, bytes long, records long, sha256 string"
 RECORD = "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record as WARC/1.1, uncompressed."""
+def record(key: int | None, nth: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One record as WARC/1.1, uncompressed; nth: of those with this key and digest."""
+    name = lambda k, n: f"<urn:page:{'' if k is None else k}:{digest[:16]}:{n}>"
     revisit = refers_to is not None
     body = b"" if revisit else payload
     block = hashlib.sha256(body).hexdigest()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
+        f"WARC-Record-ID: {name(key, nth)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {base64.b64encode((url or '').encode()).decode() if not (url or '').isprintable() else (url or '')}",
         f"X-URI-Encoding: {'none' if url is None else 'base64' if not url.isprintable() else 'plain'}",
@@ -59,7 +62,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to, 0)}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -109,22 +112,25 @@ class _Rolling:
         return {"shard": self.shard, "file": name, "bytes": self.size, "records": self.records, "sha256": self.hash.hexdigest()}
 
 
-def borders(keys: DataFrame, shards: int, most: int = 100_000) -> np.ndarray:
-    """Keys at which shards 1, 2, ... begin, from at most about `most` keys of a slice of the hash values."""
-    n = keys.count()
-    take = max(1, -(-n // most))
-    seen = np.sort(np.array([r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(take)) == 0).select("key").collect()], np.int64))
-    return np.unique(seen[[len(seen) * k // shards for k in range(1, shards)]]) if len(seen) else seen
+def borders(rows: DataFrame, shards: int, most: int = 100_000) -> np.ndarray:
+    """Keys at which shards 1, 2, ... begin, each of about the same bytes, from about `most` rows (key, size) of a slice of the hash values. A null key is the least."""
+    take = max(1, -(-rows.count() // most))
+    key = F.coalesce("key", F.lit(NO_KEY))
+    seen = rows.where(F.pmod(F.xxhash64("key", "digest"), F.lit(take)) == 0).select(key, F.col("size") + 1).collect()
+    keys, sizes = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float)
+    order = np.argsort(keys, kind="stable")
+    ends = np.cumsum(sizes[order])
+    return keys[order][np.minimum(np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards), len(keys) - 1)] if len(keys) else keys
 
 
-def write(pages: DataFrame, folder: str, *, shards: int | None = None, roll_bytes: int = 64 << 20, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes the archive of pages (key, url, payload) into a new folder, and returns its manifest. shards: the session's shuffle partitions if not given."""
+def write(pages: DataFrame, folder: str, *, shards: int | None = None, shard_bytes: int = 64 << 20, roll_bytes: int = 64 << 20, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Writes the archive of pages (key, url, payload) into a new folder, and returns its manifest. shards: as many as hold `shard_bytes` of payload each, if not given."""
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = F.coalesce(F.col("payload"), F.lit(""))
     pages = pages.select(F.col("key").cast("long").alias("key"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
     narrow = common.saved(pages.select("key", "digest", F.octet_length("payload").alias("size")), "warc-digests")
-    starts = borders(narrow.where("key IS NOT NULL"), shards)
+    shards = shards or max(1, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // shard_bytes))
+    starts = borders(narrow, shards)
     long_ones = narrow.where(F.col("size") >= least)
     first = long_ones.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("uses")).where("uses > 1 AND first IS NOT NULL").drop("uses")
     # one row for each key and digest that revisits; "all" if the key itself is not the response
@@ -133,11 +139,15 @@ def write(pages: DataFrame, folder: str, *, shards: int | None = None, roll_byte
     rows = notes.unionByName(pages.select("*", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first")))
 
     @F.pandas_udf("int")
-    def shard_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, key.to_numpy(), "right").astype(np.int32))
+    def shard_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        # a key that is several borders at once is dealt to all of their shards by ranges of the digest
+        low, high = (np.searchsorted(starts, key.to_numpy(), side) for side in ("left", "right"))
+        low = np.where(high > low, low + 1, high)
+        part = digest.str[:8].map(lambda x: int(x, 16)).to_numpy(np.int64) if len(digest) else np.zeros(0, np.int64)
+        return pd.Series((low + (part * (high - low + 1) >> 32)).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, note, seen, done = None, None, {}, False, []
+        out, last, note, seen, done = None, None, None, 0, []
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("shard", "key", "digest", "kind", "first", "url")]
             for k, (shard, key, digest, kind, of, url) in enumerate(zip(*columns, strict=True)):
@@ -146,13 +156,13 @@ def write(pages: DataFrame, folder: str, *, shards: int | None = None, roll_byte
                         done.append(out.close())
                     out = _Rolling(folder, shard, roll_bytes)
                 if (shard, key, digest) != last:
-                    last, note, seen = (shard, key, digest), None, False
+                    last, note, seen = (shard, key, digest), None, 0
                 if kind == 0:
                     note = of
                     continue
                 refers = note if note is not None and (note != key or seen) else None
-                seen = True
-                done.append(out.write(record(key, url, b.column("payload")[k].as_py().encode(), digest, refers, date)))
+                done.append(out.write(record(key, seen, url, b.column("payload")[k].as_py().encode(), digest, refers, date)))
+                seen += 1
             done = [x for x in done if x]
             yield pa.RecordBatch.from_pylist(done, schema=manifest)
             done = []
@@ -160,7 +170,7 @@ def write(pages: DataFrame, folder: str, *, shards: int | None = None, roll_byte
             yield pa.RecordBatch.from_pylist([x], schema=manifest)
 
     manifest = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
-    dealt = rows.withColumn("shard", shard_of(F.coalesce("key", F.lit(-(1 << 63))))).repartition(max(1, len(starts) + 1), "shard")
+    dealt = rows.withColumn("shard", shard_of(F.coalesce("key", F.lit(NO_KEY)), "digest")).repartitionByRange(len(starts) + 1, "shard")
     dealt.sortWithinPartitions("shard", "key", "digest", "kind", "url").select("shard", "key", "digest", "kind", "first", "url", "payload").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -189,11 +199,11 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
                 yield _batch(rows)
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "sha256")
-    return files.repartition("file").mapInArrow(run, RECORD)
+    return files.repartition(max(1, files.count())).mapInArrow(run, RECORD)  # a task for each file
 
 
 def _number(urn: str) -> int | None:
-    digits = urn.removeprefix("<urn:page:").removesuffix(">")
+    digits = urn.split(":")[2]
     return int(digits) if digits else None
 
 

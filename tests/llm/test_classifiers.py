@@ -112,6 +112,35 @@ def test_forward_backward_is_that_of_one_chain():
         assert found[a:z] == pytest.approx(p, abs=1e-9)
 
 
+def test_many_languages_take_the_same_messages():
+    rng = np.random.default_rng(31)
+    model = langid.LanguageModel(list("abcde"), np.zeros(0, np.uint64), np.zeros((1, 5)), rng.normal(size=(5, 5)))
+    bounds = np.cumsum([0, 3, 0, 70, 1, 33, 0, 200])
+    e = rng.normal(0, 3, (bounds[-1], 5))
+    assert model.posteriors(e, bounds) == pytest.approx(model.word_by_word(e, bounds), abs=1e-9)
+
+
+def test_short_documents_are_learned_from(spark):
+    """Forty texts of four words, half in each of two languages."""
+    rng = np.random.default_rng(32)
+    own = {"de": "der die und nicht auch eine haus zeit wird über".split(), "fr": "le la et pas aussi une maison temps sera sur".split()}
+    rows = [(i, " ".join(rng.choice(own[x], 4)), x) for i in range(40) for x in [("de", "fr")[i % 2]]]
+    found = {r["doc_id"]: r for r in langid.languages_of(documents(spark, rows)).collect()}
+    assert all(found[i]["lang_pred"] == x for i, _, x in rows)
+
+
+def test_any_number_of_languages(spark):
+    """Eighty made languages of six words each: none is left out."""
+    rng = np.random.default_rng(33)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    own = [["".join(rng.choice(letters, 6)) for _ in range(6)] for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(own[i % 80], 12)), f"x{i % 80:02d}") for i in range(1600)]
+    found = langid.languages_of(documents(spark, rows)).collect()
+    right = [r["lang_pred"] == f"x{r['doc_id'] % 80:02d}" for r in found if r["held_out"]]
+    assert len(right) > 300 and np.mean(right) > 0.95
+    assert len({r["lang_pred"] for r in found}) == 80
+
+
 def test_code_switched_words(spark):
     docs = common.table(spark, SMALL, "documents")
     model = langid.fit(docs)
@@ -129,27 +158,76 @@ def test_code_switched_words(spark):
 
 def test_pseudo_likelihood(spark, odd, empty):
     docs = common.table(spark, SMALL, "documents")
-    vocabulary = lm.vocabulary_of(docs, 512)
-    net = lm.train(docs, vocabulary)
-    # over all classes, and over the tokens of each class (other words in one token share its mass), probabilities sum to one
-    context = np.tile(np.arange(4)[:, None], (1, lm.CLASSES))
-    assert np.exp(net.log_probabilities(context, np.arange(lm.CLASSES))).sum() == pytest.approx(1, abs=1e-4)
+    vocabulary, n_words = lm.vocabulary_of(docs, 512)
+    net = lm.train(docs, vocabulary, n_words)
+    # whatever the context, the probabilities of all tokens sum to one
+    context = np.array([5, 3, vocabulary.size, 8])
+    every = np.arange(vocabulary.size)
+    assert np.exp(net.log_probabilities(np.repeat(context[:, None], len(every), axis=1), every)).sum() == pytest.approx(1, abs=1e-3)
     rows = lm.score(docs, vocabulary, net).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(r["n_tokens"] == len((texts[r["doc_id"]] or "").translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ")) - (texts[r["doc_id"]] or "").translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ").count("") for r in rows)
+    plain = {i: [w for w in (t or "").translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ") if w] for i, t in texts.items()}
+    assert all(r["n_tokens"] == len(plain[r["doc_id"]]) for r in rows) and sum(map(len, plain.values())) == n_words
     trained = sum(r["log_likelihood"] for r in rows)
-    untrained = sum(r["log_likelihood"] for r in lm.score(docs, vocabulary, lm.Network(vocabulary.size)).collect())
+    untrained = sum(r["log_likelihood"] for r in lm.score(docs, vocabulary, lm.Network(vocabulary)).collect())
     assert trained > untrained
     one = max((r for r in rows if 10 < r["n_tokens"] < 60), key=lambda r: r["n_tokens"])
-    found, bounds = lm.words.hash_words(*common.utf8(pa.array([texts[one["doc_id"]]])))
+    found, _ = lm.words.hash_words(*common.utf8(pa.array([texts[one["doc_id"]]])))
     tokens = vocabulary.tokens(found)
     total = 0.0
     for i in range(len(tokens)):
         around = [tokens[i + d] if 0 <= i + d < len(tokens) else vocabulary.size for d in (-2, -1, 1, 2)]
-        z = np.tanh(sum(net.embed[j][around[j]] for j in range(4))) @ net.out[:-1] + net.out[-1]
-        total += z[vocabulary.of[tokens[i]]] - np.log(np.exp(z).sum()) + vocabulary.within[tokens[i]]
+        h = np.tanh(sum(net.embed[j][around[j]] for j in range(4)))
+        z = h @ net.out[:-1] + net.out[-1]
+        total += z[vocabulary.of[tokens[i]]] - np.log(np.exp(z).sum())
+        for k in range(vocabulary.begins[tokens[i]], vocabulary.begins[tokens[i]] + vocabulary.depths[tokens[i]]):
+            total -= np.log1p(np.exp(-vocabulary.signs[k] * (net.nodes[vocabulary.nodes[k]] @ np.append(h, 1))))
+    total += vocabulary.within(found, tokens).sum()
     assert one["log_likelihood"] == pytest.approx(total, rel=1e-4)
     odd_rows = {r["doc_id"]: r for r in lm.pseudo_likelihood(odd).collect()}
     assert odd_rows[1]["n_tokens"] == 0 and odd_rows[2]["log_likelihood"] == 0 and odd_rows[3]["mean_log_likelihood"] is None
     assert odd_rows[5]["n_tokens"] == 40000 and np.isfinite(odd_rows[5]["log_likelihood"])
     assert lm.pseudo_likelihood(empty).count() == 0
+
+
+def test_a_step_of_training_goes_down_the_slope():
+    """The network's own gradients against differences of the negative log-probability."""
+    rng = np.random.default_rng(41)
+    vocabulary = lm.Vocabulary(np.arange(300, dtype=np.uint64) * np.uint64(7919), rng.integers(1, 500, 300).astype(float), np.ones(lm.BUCKETS, np.float32), np.ones(lm.OTHER))
+    net = lm.Network(vocabulary)
+    start = [rng.normal(0, 0.3, x.shape) for x in (net.embed, net.out, net.nodes)]
+    context, tokens = rng.integers(0, vocabulary.size + 1, (4, 20)), rng.integers(0, vocabulary.size, 20)
+
+    def loss() -> float:
+        return -net.log_probabilities(context, tokens).sum()
+
+    net.embed, net.out, net.nodes = (x.copy() for x in start)
+    huge = 1e12  # squares this large make steps of rate / 1e6 times the gradient
+    net.train(context, tokens, [np.full(x.shape, huge) for x in start], rate=1.0)
+    moved = [(a - b) * 1e6 for a, b in zip(start, (net.embed, net.out, net.nodes), strict=True)]
+    for k, name in enumerate(("embed", "out", "nodes")):
+        for place in [tuple(int(rng.choice(np.flatnonzero(np.any(moved[k] != 0, axis=tuple(j for j in range(moved[k].ndim) if j != axis)))) ) for axis in range(moved[k].ndim)) for _ in range(12)]:
+            values = []
+            for step in (1e-4, -1e-4):
+                net.embed, net.out, net.nodes = (x.copy() for x in start)
+                getattr(net, name)[place] += step
+                values.append(loss())
+            assert moved[k][place] == pytest.approx((values[0] - values[1]) / 2e-4, rel=1e-3, abs=1e-5)
+
+
+def test_the_model_does_not_depend_on_how_rows_lie(spark):
+    docs = common.table(spark, SMALL, "documents")
+    vocabulary, n_words = lm.vocabulary_of(docs, 256)
+    one, two = (lm.train(d, vocabulary, n_words, shard_tokens=10_000).flat() for d in (docs.coalesce(1), docs.repartition(7, "lang", "source")))
+    assert (one == two).all()
+
+
+def test_words_that_occur_more_often_are_likelier(spark):
+    """Words too rare to be tokens keep their counts: a text of words that occur twice scores above one of words that occur once."""
+    rng = np.random.default_rng(42)
+    made = lambda k: " ".join(f"rare{k}x{i}" for i in range(50))
+    rows = [(k, " ".join(rng.choice(["the", "of", "and", "to"], 200))) for k in range(100)] + [(200, made(0)), (201, made(0)), (202, made(1))]
+    found = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.pseudo_likelihood(documents(spark, rows)).collect()}
+    assert found[200] == found[201] > found[202]
+
+

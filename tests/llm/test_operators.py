@@ -178,6 +178,42 @@ def test_nearest_finds_nine_in_ten(spark):
     assert all(s == pytest.approx(np.linalg.norm(more[q] - more[i]), rel=1e-12, abs=1e-12) for (q, i), s in exact.items())
 
 
+def recall_of(spark, x, **options):
+    """Recall of the ten nearest of every hundredth row, and the share of rows that the forest ranks for one."""
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, F.col("id") % 100 == 0, **options).collect()
+    best = brute_nearest(ids, x, ids[::100].tolist(), 10)
+    got: dict = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(got[q]) == 10 for q in best)
+    sample = np.sort(np.random.default_rng(1).choice(len(x), options["sample"], replace=False))
+    forest = neighbours.Forest(ids[sample], x[sample], trees=8, leaf=32, cell=1024, tries=4, recall=0.94, k=10)
+    return sum(len(got[q] & {i for _, i in best[q]}) for q in best) / (10 * len(best)), neighbours.ranked_share(x, ids, ids[::100], forest)
+
+
+def test_forest_alone_on_points_with_structure(spark):
+    """Twenty times as many rows as the sample has: nothing is found but in leaves, and these hold a small share of the rows."""
+    rng = np.random.default_rng(20)
+    x = (rng.normal(size=(200, 8))[rng.integers(0, 200, 20_000)] + 0.3 * rng.normal(size=(20_000, 8))) @ rng.normal(size=(8, 32)) + 0.05 * rng.normal(size=(20_000, 32))
+    recall, share = recall_of(spark, x, sample=1000)
+    assert recall >= 0.9 and share < 0.25
+
+
+def test_forest_alone_on_points_without_structure(spark):
+    table = common.table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()
+    recall, share = recall_of(spark, np.array([r["embedding"] for r in table], float), sample=1000)
+    assert recall >= 0.9 and share < 0.8
+
+
+def test_nearest_returns_all_of_few_candidates(spark):
+    rng = np.random.default_rng(21)
+    df = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(0, 90, 10)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, F.col("id") >= 0, leaf=2, cell=2).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).collect()
+    assert len(found) == 9 and all(r["n"] == 8 for r in found)
+
+
 def test_nearest_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 2.0, 3.0]), (9, []), (None, [1.0, 1.0]), (10, [0.5, 0.5]), (10, [0.5, 0.5])]
@@ -193,7 +229,8 @@ def test_nearest_with_repeated_ids(spark):
     x = rng.normal(size=(400, 4))
     rows = [(k, v.tolist()) for k, v in enumerate(x) for _ in range(2)]
     rows += [(7, (x[0] + rng.normal(0, 0.01, 4)).tolist()) for _ in range(100)]  # 100 rows of one id, nearer to id 0 than all others
-    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    # one leaf holds all rows, so the answer is exact
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, leaf=1000, block=100).collect()
     for q in range(0, 400, 50):
         best: dict = {}
         for i, v in rows:
