@@ -2,8 +2,8 @@
 
 1. Each text becomes the set of its distinct `size`-word shingles (64-bit hashes) and a signature of `COORDINATES`
    minima. Texts with equal sets form a class; only its smallest id goes on.
-2. A pair of similarity s agrees in about s * COORDINATES places. Pairs that agree in fewer than `matches(s)`, 4.5
-   standard deviations below, are given up: about one in 100,000 pairs right at the threshold, and far fewer above it.
+2. A pair of similarity s agrees in about s * COORDINATES places. Pairs that agree in fewer than `matches(s)` are not
+   looked at: of pairs right at the threshold about one in 10 ** 12, and far fewer above it.
 3. Prefix: with every class's coordinate-value pairs in one global order, rarest first, two classes that agree in m
    places share one among their first COORDINATES - m + 1. Only those are posted, so the long lists of common
    passages are skipped unless most of a text is made of them; a value of one class alone is not posted either.
@@ -15,7 +15,7 @@
    pair that could join two groups stays untested. Members of lists of over `LONG` instead meet by whole shingles, again
    by their prefixes, rarest first: a pair goes on if a shared shingle stands so early in both that enough can follow.
 
-Texts are joined by id only after a filter that keeps the documents of a bitmap of `BITS` hashed ids, of bounded size.
+Texts are joined by id only after a filter that keeps the documents of a bitmap of hashed ids, of bounded size.
 
 Groups are the components of the links, found by joins that pass the smallest id on.
 
@@ -26,6 +26,7 @@ kept is true.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,19 @@ from pyspark.sql import functions as F
 from lodestone.llm import common, words
 
 COORDINATES = 48
-TOGETHER, LONG, BITS = 64, 32, 1 << 26
+TOGETHER, LONG, BLOCK = 64, 32, 512
 _FACTORS = np.random.default_rng(48).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def matches(percent: int) -> int:
-    s = percent / 100
-    return max(1, int(COORDINATES * s - 4.5 * (COORDINATES * s * (1 - s)) ** 0.5))
+    """The greatest number of coordinates in which a pair right at the threshold agrees but for one case in 10 ** 12."""
+    s, below = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)
+        if below > 1e-12:
+            return max(1, m)
+    return COORDINATES
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -136,20 +142,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     partners = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("doc"))
     need = partners.unionByName(heads)
-    dealt = need.join(_among(texts, need.select("doc")), F.col("doc") == F.col("doc_id")).select("a", "part", "role", "doc", "text")
+    dealt = need.join(common.among(texts, "doc_id", need.select("doc")), F.col("doc") == F.col("doc_id")).select("a", "part", "role", "doc", "text")
     return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role", "doc").mapInArrow(run, "a long, b long")
 
 
-def _among(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """Texts whose id is in need's only column, and a few others: as many as share one of BITS bits with one that is."""
-    bit = F.pmod(F.xxhash64(need.columns[0]), F.lit(BITS)) + 1
-    maps = need.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
-    byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
-    placed = texts.withColumns({"bucket": F.bitmap_bucket_number(own), "place": F.bitmap_bit_position(own)})
-    return placed.join(F.broadcast(maps), "bucket").where(F.bit_get(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "text")  # BITS / 8 bytes at most
-
-
 def _crowd_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members (rep, component, n) in different groups whose sets can be similar enough.
 
@@ -166,7 +162,7 @@ def _crowd_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["rep", "shingle"])
 
     reps = crowd.select("rep")
-    every = reps.join(_among(texts, reps), F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(run, "rep long, shingle long")
+    every = reps.join(common.among(texts, "doc_id", reps), F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(run, "rep long, shingle long")
     several = every.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
     ordered = every.join(several, "shingle").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("uses", "shingle"))).alias("of")).join(crowd, "rep")
     alone = F.col("n") - F.size("of")  # shingles of this member only come first
@@ -174,12 +170,13 @@ def _crowd_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) ->
     posted = ordered.withColumn("room", room.cast("int")).where("room > 0").select("rep", "component", "n", alone.alias("alone"), F.posexplode(F.slice("of", F.lit(1), F.col("room"))).alias("nth", "x"))
     posted = posted.select(F.col("x.shingle").alias("shingle"), "rep", "component", "n", (F.col("n") - F.col("alone") - F.col("nth")).alias("left"))
     posted = common.saved(posted.where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100))), "crowd")  # no partner can be smaller
-    heads = posted.groupBy("shingle").agg(F.max_by("component", F.struct("left", "rep")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "head")
+    heads = posted.groupBy("shingle").agg(F.max_by("component", F.struct("left", "rep")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("shingle", "head", "blocks")
     lists = posted.join(heads, "shingle")
-    one = lists.where("component <> head").select("shingle", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("left").alias("lp"))
-    two = lists.select("shingle", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("left").alias("lq"), (F.col("component") == F.col("head")).alias("of_head"))
+    # a long list is dealt into blocks, each of which meets the whole list
+    one = lists.where("component <> head").select("shingle", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("left").alias("lp"))
+    two = lists.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("left").alias("lq"), (F.col("component") == F.col("head")).alias("of_head"))
     possible = (100 + percent) * F.least("lp", "lq") >= percent * (F.col("np") + F.col("nq"))
-    return one.join(two, "shingle").where(F.expr("cp <> cq AND (of_head OR p < q)") & possible).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return one.join(two, ["shingle", "block"]).where(F.expr("cp <> cq AND (of_head OR p < q)") & possible).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id and kept of every document; further columns of docs are ignored."""
     sets = common.saved(sets_table(docs, size), "sets")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
+    classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("copies"))
     classes = common.saved(classes, "classes")
     posted = common.saved(_postings(classes, matches(percent)), "postings")
     leaders = posted.groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
@@ -235,10 +232,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     more = common.saved(_confirmed(rest, texts, size, percent), "more")
     if more.limit(1).count():
         groups = components(common.saved(links.unionByName(more), "all-links"))
-    reps = classes.join(groups, classes.rep == groups.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    reps = classes.join(groups, classes.rep == groups.node, "left").select(F.struct("n", "h1", "h2").alias("set"), F.coalesce("component", "rep").alias("component"), "copies")
+    out = sets.select("doc_id", F.struct("n", "h1", "h2").alias("set"))
+    linked = F.expr("set.n > 0 AND doc_id IS NOT NULL")
+    found = common.join_spread(out.where(linked), common.saved(reps, "set-groups"), "set", "copies").select("doc_id", "set", "component")
+    found = found.unionByName(out.where(~linked).withColumn("component", F.col("doc_id")))
+    return found.select("doc_id", F.col("set.n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:

@@ -40,22 +40,22 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class Forest:
-    """Trees as arrays of nodes. Leaves are numbered; a cell is a subtree with at most `cell` vectors of the sample."""
+    """Trees as arrays of nodes. Leaves are numbered; a cell is a subtree with at most `cell` points of the sample."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, trees: int, leaf: int, cell: int, tries: int, recall: float, k: int, seed: int = 0) -> None:
+    def __init__(self, ids: np.ndarray, points: np.ndarray, *, trees: int, leaf: int, cell: int, tries: int, recall: float, k: int, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         self.k = k
-        self.trees = [self._grow(vectors, rng, leaf, cell, tries) for _ in range(trees)]
-        own = [self.leaves(vectors, t) for t in range(trees)]
-        self.shares = [np.bincount(own[t], minlength=len(self.trees[t][0])) / max(1, len(vectors)) / max(1, trees) for t in range(trees)]
+        self.trees = [self._grow(points, rng, leaf, cell, tries) for _ in range(trees)]
+        own = [self.leaves(points, t) for t in range(trees)]
+        self.shares = [np.bincount(own[t], minlength=len(self.trees[t][0])) / max(1, len(points)) / max(1, trees) for t in range(trees)]
         self.known = [{int(at): np.unique(ids[own[t] == at]) for at in np.unique(own[t])} for t in range(trees)]
-        self.budget = self._measure(ids, vectors, own, rng, recall)
+        self.budget = self._measure(ids, points, own, rng, recall)
 
     @staticmethod
-    def _grow(vectors: np.ndarray, rng: np.random.Generator, leaf: int, cell: int, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(points: np.ndarray, rng: np.random.Generator, leaf: int, cell: int, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each node: direction, border, left child (the right one follows; 0: a leaf), cell."""
-        ways, borders, lefts, cells = [np.zeros(vectors.shape[1])], [0.0], [0], [-1]
-        todo = [(0, np.arange(len(vectors)), -1)]
+        ways, borders, lefts, cells = [np.zeros(points.shape[1])], [0.0], [0], [-1]
+        todo = [(0, np.arange(len(points)), -1)]
         while todo:
             at, rows, inside = todo.pop()
             if inside < 0 and len(rows) <= max(cell, leaf):
@@ -64,16 +64,16 @@ class Forest:
             best = None
             for _ in range(tries if len(rows) > leaf else 0):
                 a, b = rng.choice(rows, 2, replace=False)
-                w = vectors[a] - vectors[b]
+                w = points[a] - points[b]
                 length = np.linalg.norm(w)
                 if length:
-                    p = vectors[rows] @ (w / length)
+                    p = points[rows] @ (w / length)
                     if best is None or p.var() > best[0]:
                         best = p.var(), w / length, p
             if best is not None:
                 border = float(np.median(best[2]))
                 left = best[2] <= border
-                if left.all():  # over half of the vectors lie on the border
+                if left.all():  # over half of the points lie on the border
                     left = best[2] < border
                     border = float(np.nextafter(border, -np.inf))
             if best is None or left.all() or not left.any():
@@ -112,16 +112,16 @@ class Forest:
                 at = near
             yield t, at
 
-    def _measure(self, ids: np.ndarray, vectors: np.ndarray, own: list[np.ndarray], rng: np.random.Generator, recall: float) -> float:
-        n = len(vectors)
+    def _measure(self, ids: np.ndarray, points: np.ndarray, own: list[np.ndarray], rng: np.random.Generator, recall: float) -> float:
+        n = len(points)
         needed = [np.zeros(0)]
         for q in rng.choice(n, min(200, n), replace=False):
-            d = ((vectors - vectors[q]) ** 2).sum(axis=1)
+            d = ((points - points[q]) ** 2).sum(axis=1)
             d[ids == ids[q]] = np.inf
             nearest = first_of_each(ids, np.argsort(d, kind="stable"))[: self.k]
             nearest = nearest[np.isfinite(d[nearest])]
             found, seen = np.full(len(nearest), 1.0), 0.0
-            for t, at in self.visit(vectors[q]):
+            for t, at in self.visit(points[q]):
                 seen += self.shares[t][at]
                 found = np.where(own[t][nearest] == at, np.minimum(found, seen), found)
                 if found.max(initial=0.0) < seen:
@@ -149,17 +149,17 @@ def first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.sort(np.unique(ids[order], return_index=True)[1])]
 
 
-def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+def usable(points: DataFrame, id_column: str, point_column: str) -> DataFrame:
     """id and v (array<double>) of the rows that take part."""
-    v = F.col(vector_column).cast("array<double>")
+    v = F.col(point_column).cast("array<double>")
     ok = F.col(id_column).isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(x.between(-1.7e308, 1.7e308) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(ok).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
+    return points.where(ok).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, trees: int = 8, leaf: int = 32, cell: int = 1024, tries: int = 4, sample: int = 20000, recall: float = 0.94, block: int = 4096, query_block: int = 2048, seed: int = 0) -> DataFrame:
+def nearest(points: DataFrame, is_query: Column, *, id_column: str = "vec_id", point_column: str = "embedding", k: int = 10, trees: int = 8, leaf: int = 32, cell: int = 1024, tries: int = 4, sample: int = 20000, recall: float = 0.94, block: int = 4096, query_block: int = 2048, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: of each row for which is_query (over the column id) holds, the k nearest found among the others."""
-    spark = vectors.sparkSession
-    all_rows = usable(vectors, id_column, vector_column)
+    spark = points.sparkSession
+    all_rows = usable(points, id_column, point_column)
     lengths = all_rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = all_rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0)).distinct()
     chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()  # `sample` rows at most
@@ -212,13 +212,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_column: str = "vec_id",
     return once.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
-def ranked_share(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, forest: Forest) -> float:
+def ranked_share(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, forest: Forest) -> float:
     """The mean share of all rows that the leaves visited for some queries (row numbers) hold, each row once."""
-    own = [forest.leaves(vectors, t) for t in range(len(forest.trees))]
+    own = [forest.leaves(points, t) for t in range(len(forest.trees))]
     shares = []
     for q in queries:
-        seen = np.zeros(len(vectors), bool)
-        for (t, _), at in forest.search(int(ids[q]), vectors[q]).items():
+        seen = np.zeros(len(points), bool)
+        for (t, _), at in forest.search(int(ids[q]), points[q]).items():
             seen |= np.isin(own[t], at)
         shares.append(seen.mean())
     return float(np.mean(shares))

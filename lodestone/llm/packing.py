@@ -4,13 +4,14 @@ The histogram of all lengths goes into a dynamic programme that chooses the uppe
 that padding each text up to its bucket's end costs the fewest tokens over the whole table. Inside a bucket, batches hold
 as many texts as fit the token budget at the padded length; a text longer than the budget is a batch of its own.
 
-The histogram has a bin for each length up to `FINE`, and above that bins of a 1/512th of their power of two, so that its
-size is bounded whatever the table (a few thousand bins); a bin counts as the greatest length of its texts, which keeps every
-text within its bucket and makes each bucket's end the length of a text in it. Places inside a bucket come from counts of (bucket, salt) groups and places within these, so no
-bucket meets in one task.
+The histogram has a row for each length that occurs, at most as many as the longest text has words, and every bucket ends
+at the length of a text in it. Places inside a bucket come from counts of (bucket, salt) groups and places within these,
+so no bucket meets in one task.
 
 Texts are counted in words between blanks. Null and empty texts have length 0; they get bucket -1, batch -1 and place -1,
-as there is nothing to pack. An empty table gives an empty result.
+as there is nothing to pack. Rows are placed by length and id; rows that repeat an id have each a place of their own, and
+which of rows equal in both comes first does not matter. A null id is placed as all others. A text however long is one
+row, in a batch of its own if it is over the budget. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +25,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common, words
 
-FINE = 1024
-
 
 def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Ends of at most `buckets` buckets with the least padding. lengths: ascending, above 0; the last one is always an end.
 
-    With a[j] the count of texts up to bin j, cost of a bucket of bins i+1..j is lengths[j] * (a[j] - a[i]) less a part
-    that all choices share. The loop over ends is one array expression for each j.
+    With a[j] the count of texts up to the jth length, a bucket of lengths i+1..j costs lengths[j] * (a[j] - a[i]) less a part
+    that all choices share. The best i never falls as j grows, so the middle j of a range bounds the choices of both halves;
+    all ranges of one depth are worked out in one array expression.
     """
     n = len(lengths)
     if not n:
@@ -42,12 +42,23 @@ def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     best[0] = 0
     choices = []
     for _ in range(min(buckets, n)):
-        now, choice = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        now, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         now[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] - lengths[j - 1] * a[:j]
-            choice[j] = k = int(cost.argmin())
-            now[j] = cost[k] + lengths[j - 1] * a[j]
+        low, high, least, most = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(low):
+            j = (low + high) // 2
+            sizes = np.minimum(most, j - 1) - least + 1
+            begin = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(j)), sizes)
+            i = np.arange(len(owner)) - (begin - least)[owner]
+            cost = best[i] - lengths[j - 1][owner] * a[i]
+            found = np.minimum.reduceat(cost, begin)
+            at = np.flatnonzero(cost == found[owner])
+            choice[j] = i[at[np.unique(owner[at], return_index=True)[1]]]
+            now[j] = found + lengths[j - 1] * a[j]
+            low, high, least, most = (np.concatenate(x) for x in ((low, j + 1), (j - 1, high), (least, choice[j]), (choice[j], most)))
+            some = low <= high
+            low, high, least, most = low[some], high[some], least[some], most[some]
         best = now
         choices.append(choice)
     ends, j = [], n
@@ -59,12 +70,6 @@ def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return ends[::-1]
 
 
-def rounded(n: Column) -> Column:
-    """The end of the histogram bin of a length."""
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 9))
-    return F.when(n <= FINE, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts = [np.zeros(0, np.int64)]
@@ -86,9 +91,10 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     else:
         measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
     measured = common.saved(measured, "lengths")
-    histogram = measured.where("n_tokens > 0").groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("end"), F.count("*").alias("n")).select("end", "n").orderBy("end").collect()  # bounded by the bins
-    ends = bucket_ends(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
-    total = sum(r[1] for r in histogram)
+    histogram = measured.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()  # a row for each length that occurs
+    counts = histogram["n"].to_numpy()
+    ends = bucket_ends(histogram["n_tokens"].to_numpy(), counts, buckets)
+    total = int(counts.sum())
     salts = salts or max(1, total // 4000)
     array = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast("array<bigint>")
     bucket = F.when(F.col("n_tokens") > 0, F.size(F.filter(array, lambda e: e < F.col("n_tokens")))).otherwise(F.lit(-1))

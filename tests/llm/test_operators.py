@@ -242,7 +242,7 @@ def test_nearest_with_repeated_ids(spark):
         assert [s for *_, s in got] == pytest.approx([s for s, _ in want], rel=1e-9)
 
 
-def test_nearest_with_one_vector_over_and_over(spark):
+def test_nearest_with_one_point_over_and_over(spark):
     rng = np.random.default_rng(6)
     rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else rng.normal(size=3).astype(np.float32).tolist()) for k in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
