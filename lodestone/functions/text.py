@@ -59,9 +59,9 @@ def micros(n: Column, d: Column) -> Column:
 
 
 def bigrams(x: Column) -> Column:
-    """Character pairs of a text, each with its number of occurrence: "aa1", "aa2". The multiset as a set."""
+    """Character pairs of a text (of a single character, itself), each with its number of occurrence: "aa1", "aa2". The multiset as a set."""
     n = F.length(x)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(x, i, F.lit(2)))).when(n == 1, F.array(x)).otherwise(F.array().cast("array<string>"))
     return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
 
 

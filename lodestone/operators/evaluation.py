@@ -34,10 +34,13 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFr
 
 def threshold_grid(cases: DataFrame, scores: list[int], margins: list[int]) -> DataFrame:
     """For each pair of thresholds: cases linked, linked right, wrong, not linked. cases: score, margin, right."""
-    spark = cases.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(s, m) for s in scores for m in margins], "min_score long, min_margin long"))
-    linked = (F.col("score") >= F.col("min_score")) & (F.col("margin") >= F.col("min_margin"))
-    return cases.join(grid, F.lit(True)).groupBy("min_score", "min_margin").agg(F.count_if(linked).alias("linked"), F.count_if(linked & F.col("right")).alias("right"), F.count_if(linked & ~F.col("right")).alias("wrong"), F.count_if(~linked).alias("abstained"))
+    points = []
+    for low in scores:
+        for gap in margins:
+            linked = F.coalesce((F.col("score") >= low) & (F.col("margin") >= gap), F.lit(False))
+            counts = {"linked": linked, "right": linked & F.col("right"), "wrong": linked & ~F.col("right"), "abstained": ~linked}
+            points.append(F.struct(F.lit(low).cast("long").alias("min_score"), F.lit(gap).cast("long").alias("min_margin"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    return cases.agg(F.array(*points).alias("points")).select(F.inline("points"))  # one pass over the cases
 
 
 def best_of_grid(grid: DataFrame, max_wrong: int) -> DataFrame:
@@ -47,14 +50,16 @@ def best_of_grid(grid: DataFrame, max_wrong: int) -> DataFrame:
     return ok.agg(best.alias("b"), F.count("*").alias("eligible")).select("b.*", "eligible").where("linked IS NOT NULL")
 
 
-def paired_bootstrap(cases: DataFrame, stratum: str, a: str, b: str, *, replicates: int = 10_000, seed: int = 0, parallelism: int = 16) -> DataFrame:
+def paired_bootstrap(cases: DataFrame, stratum: str, a: str, b: str, *, replicates: int = 10_000, seed: int = 0, parallelism: int = 16, most: int = 100_000) -> DataFrame:
     """replicate, difference: mean of a - b over cases drawn anew within each stratum.
 
-    Cases enter by the counts of each distinct difference in a stratum, a table of bounded size for scores in steps (an
-    evaluation set's rates); replicates are dealt out to tasks, each with a generator seeded by its own number.
+    Cases enter by the counts of each distinct difference, to six digits, in a stratum: at most `most` of them, as scores in
+    steps (an evaluation set's rates) have; more are an error. Replicates are dealt out to tasks, each with a generator seeded by its own number.
     """
     diff = (F.col(a) - F.col(b)).cast("double")
-    counts = cases.groupBy(F.col(stratum).cast("string").alias("s"), F.round(diff, 6).alias("d")).count().orderBy("s", "d").toPandas()
+    counts = cases.groupBy(F.col(stratum).cast("string").alias("s"), F.round(diff, 6).alias("d")).count().limit(most + 1).toPandas().sort_values(["s", "d"])
+    if len(counts) > most:
+        raise ValueError(f"over {most} distinct differences: round the scores first")
     strata = [(g["d"].to_numpy(float), g["count"].to_numpy(np.int64)) for _, g in counts.groupby("s", sort=True)]
     total = int(counts["count"].sum()) if len(counts) else 0
 

@@ -41,6 +41,32 @@ def route(confidence: Column, schema: Column, evidence: Column, conflict: Column
     return scores.first_of((schema == 0, "reject"), (conflict, "review_conflict"), (evidence == 0, "review_evidence"), (confidence < 0.5, "review_low"), (schema < 1, "review_schema"), (confidence >= threshold, "auto"), otherwise="review")
 
 
+#: Reasons that reject a candidate; any other reason leaves it to a review.
+REJECTING = ("schema_invalid", "evidence_invalid", "endpoint_rejected")
+
+
+def _routed(*rules: tuple[Column, str]) -> tuple[Column, Column]:
+    """Status and reason by the first rule that holds; without any the candidate is validated. A flag that is null does not hold."""
+    reason = scores.first_of(*[(F.coalesce(flag, F.lit(False)), name) for flag, name in rules], otherwise="")
+    return F.when(reason == "", "validated").when(reason.isin(*REJECTING), "rejected").otherwise("pending_review"), F.nullif(reason, F.lit(""))
+
+
+def route_entity(schema_invalid: Column, evidence_invalid: Column, evidence_ambiguous: Column, match_ambiguous: Column, conflict_open: Column, matched: Column, confidence: Column, threshold: float = 0.85) -> tuple[Column, Column]:
+    """Status and reason of an entity candidate; the confidence matters only where no entity is matched."""
+    return _routed(
+        (schema_invalid, "schema_invalid"), (evidence_invalid, "evidence_invalid"), (evidence_ambiguous, "evidence_ambiguous"), (match_ambiguous, "entity_match_ambiguous"), (conflict_open, "conflict_open"),
+        (~F.coalesce(matched, F.lit(False)) & (confidence < threshold), "low_confidence"),
+    )
+
+
+def route_relation(schema_invalid: Column, evidence_invalid: Column, endpoint_rejected: Column, evidence_ambiguous: Column, boundary_unclear: Column, conflict_open: Column, endpoint_pending: Column, support: Column) -> tuple[Column, Column]:
+    """Status and reason of a relation candidate; evidence in groups is always reviewed."""
+    return _routed(
+        (schema_invalid, "schema_invalid"), (evidence_invalid, "evidence_invalid"), (endpoint_rejected, "endpoint_rejected"), (evidence_ambiguous, "evidence_ambiguous"),
+        (boundary_unclear, "schema_boundary_unclear"), (conflict_open, "conflict_open"), (endpoint_pending, "endpoint_pending_review"), (support == "group", "evidence_group"),
+    )
+
+
 def expand(edges: DataFrame, frontier: DataFrame, *, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """query, relation, src, tgt, node (the end reached) of the edges at each query's frontier (query, node)."""
     e = edges if relations is None else edges.where(F.col("relation").isin(*relations))
@@ -129,6 +155,8 @@ def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
     """The text functions' pair_score of each of a with each of b."""
 
     def bigrams(x: str) -> set:
+        if len(x) == 1:
+            return {(x, 1)}
         seen: Counter = Counter()
         out = set()
         for i in range(len(x) - 1):
@@ -153,49 +181,60 @@ def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def lexical_candidates(texts: DataFrame, entities: DataFrame, *, floor: int, most: int, block: int = 1024) -> DataFrame:
-    """type_key, m, node_id, score: at least the `most` best entities of each text's type that score `floor` or more. texts: distinct type_key, m; entities: node_id, type_key, e.
+    """scope, m, node_id, etype, e, score: the `most` best entities of each text's scope that score `floor` or more. texts: distinct scope, m; entities: scope, node_id, etype, e.
 
-    All are scored against all of their type, blocks of texts against blocks of entities; each pair of blocks sends on its own best.
+    All are scored against all of their scope, blocks of texts against blocks of entities; each pair of blocks sends on its
+    own best, in the order of score, type, name and id.
     """
 
     def best(asked: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.sort_by("node_id")
-        names, asked = known["node_id"].combine_chunks(), asked.select(["type_key", "m"])
+        known = known.sort_by([(c, "ascending") for c in ("etype", "e", "node_id")]).select(["node_id", "etype", "e"]).combine_chunks()
+        asked = asked.select(["scope", "m"])
         i = j = score = np.zeros(0, np.int64)
         if asked.num_rows and known.num_rows:
-            number = names.dictionary_encode().indices.to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            found = np.maximum.reduceat(pair_scores(asked["m"].to_pylist(), known["e"].to_pylist()), starts, axis=1)
+            found = pair_scores(asked["m"].to_pylist(), known["e"].to_pylist())
+            number = known["node_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+            for n in np.flatnonzero(np.bincount(number) > 1):  # of several names of one entity the best counts
+                own = np.flatnonzero(number == n)
+                rest = np.ones((len(found), len(own)), bool)
+                np.put_along_axis(rest, found[:, own].argmax(axis=1)[:, None], False, 1)
+                found[:, own] = np.where(rest, -1, found[:, own])
             order = np.argsort(-found, axis=1, kind="stable")[:, :most]
-            i, score = np.repeat(np.arange(len(order)), order.shape[1]), np.take_along_axis(found, order, 1).ravel()
-            i, j, score = i[score >= floor], starts[order.ravel()[score >= floor]], score[score >= floor]
-        return asked.take(i).append_column("node_id", pa.chunked_array([names.take(pa.array(j))])).append_column("score", pa.array(score))
-
-    blocks = lambda df, name: df.groupBy("type_key").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = blocks(texts, "tn").join(blocks(entities, "en"), "type_key")
+            score = np.take_along_axis(found, order, 1).ravel()
+            i, j = np.repeat(np.arange(len(order)), order.shape[1])[score >= floor], order.ravel()[score >= floor]
+            score = score[score >= floor]
+        out = asked.take(pa.array(i))
+        for name in ("node_id", "etype", "e"):
+            out = out.append_column(name, known[name].take(pa.array(j)))
+        return out.append_column("score", pa.array(score, pa.int64()))
+
+    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(texts, "tn").join(blocks(entities, "en"), "scope")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = texts.join(sizes, "type_key").select("type_key", F.pmod(F.xxhash64("m"), F.col("tn")).cast("int").alias("t"), every("en").alias("n"), "m")
-    known = entities.join(sizes, "type_key").select("type_key", every("tn").alias("t"), F.pmod(F.xxhash64("node_id", "e"), F.col("en")).cast("int").alias("n"), "node_id", "e")
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((texts, "type_key"), (texts, "m"), (entities, "node_id"))]
-    key = ["type_key", "t", "n"]
-    return asked.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(best, ", ".join([*kinds, "score long"]))
+    asked = texts.join(sizes, "scope").select("scope", F.pmod(F.xxhash64("m"), F.col("tn")).cast("int").alias("t"), every("en").alias("n"), "m")
+    known = entities.join(sizes, "scope").select("scope", every("tn").alias("t"), F.pmod(F.xxhash64("node_id", "e"), F.col("en")).cast("int").alias("n"), "node_id", "etype", "e")
+    key = ["scope", "t", "n"]
+    kind = entities.schema["node_id"].dataType.simpleString()
+    return asked.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(best, f"scope string, m string, node_id {kind}, etype string, e string, score long")
 
 
 def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500_000, margin: int = 50_000, least: int = 800_000, most: int = 10, block: int = 1024) -> DataFrame:
     """mention_id, status (linked, ambiguous, not_found), selected, score, margin, n_candidates (`most` at most).
 
-    Equal normal forms are exact matches. Other mentions are scored against all entities of their type, and the greatest
-    lexical similarity decides.
+    Equal normal forms are exact matches: one is linked, several are ambiguous. Other mentions are scored against all
+    entities of their type, or of all types if they have none, and the greatest lexical similarity decides. Candidates stand
+    in the order of score, type, name and id. A mention whose normal form is empty is not found.
     """
-    m = mentions.select("mention_id", "type_key", tx.graph_name(F.col("text")).alias("m"))
-    e = entities.select("node_id", "type_key", tx.graph_name(F.col("name")).alias("e"))
-    exact = m.join(e, (m.m == e.e) & (m.type_key == e.type_key)).select("mention_id", "node_id", F.lit(1_000_000).cast("long").alias("score"))
-    rest = m.join(exact.select("mention_id").distinct(), "mention_id", "left_anti")
-    known = e.where("node_id IS NOT NULL AND e IS NOT NULL")
-    found = lexical_candidates(rest.select("type_key", "m").dropna().distinct(), known, floor=floor, most=max(2, most), block=block)
-    pairs = rest.join(found, ["type_key", "m"]).select("mention_id", "node_id", "score")
-    ranked = exact.unionByName(pairs).where(F.col("score") >= floor).groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "node_id")
+    m = mentions.select("mention_id", F.coalesce(F.concat(F.lit("="), "type_key"), F.lit("")).alias("scope"), tx.graph_name(F.col("text")).alias("m"))
+    every = entities.select("node_id", F.col("type_key").alias("etype"), tx.graph_name(F.col("name")).alias("e")).where("node_id IS NOT NULL AND e <> ''")
+    known = every.withColumn("scope", F.explode(F.array(F.lit(""), F.concat(F.lit("="), "etype")))).where("scope IS NOT NULL")
+    exact = m.join(known, (m.m == known.e) & (m.scope == known.scope)).select("mention_id", "node_id", "etype", "e", F.lit(1_000_000).cast("long").alias("score"))
+    rest = m.where("m <> ''").join(exact.select("mention_id").distinct(), "mention_id", "left_anti")
+    found = lexical_candidates(rest.select("scope", "m").distinct(), known, floor=floor, most=max(2, most), block=block)
+    pairs = rest.join(found, ["scope", "m"]).select("mention_id", "node_id", "etype", "e", "score")
+    one = exact.unionByName(pairs).where(F.col("score") >= floor).groupBy("mention_id", "node_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "etype", "e")).alias("at"))
+    w = Window.partitionBy("mention_id").orderBy("at", "node_id")
+    ranked = one.withColumn("score", -F.col("at.minus"))
     top = ranked.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where(F.col("n") <= most)
     best = top.groupBy("mention_id").agg(F.count("*").alias("n_candidates"), F.min_by(F.struct("node_id", "score", "next"), "n").alias("best"))
     out = m.select("mention_id").join(best, "mention_id", "left")

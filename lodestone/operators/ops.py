@@ -40,7 +40,7 @@ def service_states(beats: DataFrame, service: str, at: Column, now: Column, onli
 
 def permitted(rows: DataFrame, grants: DataFrame, library: str, action: str) -> DataFrame:
     """user_id and the rows of the libraries in which the user may do the action. grants: user_id, library, action."""
-    return rows.join(F.broadcast(grants.where(F.col("action") == action).select("user_id", F.col("library").alias(library)).distinct()), library)
+    return rows.join(grants.where(F.col("action") == action).select("user_id", F.col("library").alias(library)).distinct(), library)
 
 
 def recent_turns(messages: DataFrame, n: int) -> DataFrame:

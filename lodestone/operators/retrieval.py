@@ -1,4 +1,4 @@
-"""Batch retrieval: exact vector search, keyword recall, fusion, filters, visibility, enrichment and reranking."""
+"""Batch retrieval: exact search of embeddings, keyword recall, fusion, filters, visibility, enrichment and reranking."""
 
 from __future__ import annotations
 
@@ -24,43 +24,61 @@ def in_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(part == i) for i in range(n)]
 
 
-def exact_topk(points: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector_column: str = "embedding", query_id: str = "vec_id", query_vector: str = "embedding", min_score: float | None = None, block: int = 4096) -> DataFrame:
+def exact_topk(points: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", point_column: str = "embedding", query_id: str = "vec_id", query_column: str = "embedding", min_score: float | None = None, block: int = 4096) -> DataFrame:
     """query_id, id, score (cosine, 9 digits) and rank of the k points most similar to each query.
 
     Queries go to the points in blocks of about `block`. Each task keeps its own k best for a query, so k rows a task and
-    query are shuffled. Ties go to the smaller id.
+    query are shuffled. Ties go to the smaller id. Points and queries that are null, empty, zero or hold a null take no
+    part, nor do null ids; a query meets the points of its own length.
     """
-    best = None
-    for part in in_blocks(queries, query_id, block):
-        table = part.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).toArrow()
-        ids = table["q"].to_numpy()
-        matrix = np.array(table["v"].to_pylist(), float).reshape(len(ids), -1)
-        found = points.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).mapInArrow(_local_best(ids, matrix, k, min_score), "query_id long, id long, score double")
+    usable = lambda df, key, column, name: df.select(F.col(key).cast("long").alias(name), F.col(column).cast("array<double>").alias("v")).where(F.expr(f"{name} IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL) AND exists(v, x -> x <> 0)"))
+    rows, best = usable(points, id_column, point_column, "id"), None
+    for part in in_blocks(usable(queries, query_id, query_column, "q"), "q", block):
+        found = rows.mapInArrow(_local_best(part.toArrow(), k, min_score), "query_id long, id long, score double")
         best = found if best is None else best.unionByName(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return best.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _local_best(ids: np.ndarray, queries: np.ndarray, k: int, min_score: float | None):  # noqa: ANN202
+def _by_length(table: pa.Table | pa.RecordBatch, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the rows of each length of the column v."""
+    v = table["v"].combine_chunks() if isinstance(table, pa.Table) else table["v"]
+    ids, flat, ends = table[key].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[key].to_numpy(), v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+    sizes, begins = np.diff(ends), ends[:-1] - (ends[0] if len(ends) else 0)
+    return {int(n): (ids[sizes == n], flat[begins[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)}
+
+
+class _Best:
+    """The k best points of each query so far; ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.points, self.scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each query, a column for each of ids; those that are not finite do not count."""
+        points = np.concatenate([self.points, np.broadcast_to(ids, scores.shape)], axis=1)
+        scores = np.concatenate([self.scores, scores], axis=1)
+        order = np.lexsort((points, -scores), axis=1)[:, : self.k]
+        self.points, self.scores = np.take_along_axis(points, order, 1), np.take_along_axis(scores, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        ok = np.isfinite(self.scores.ravel())
+        columns = np.repeat(self.ids, self.points.shape[1])[ok], self.points.ravel()[ok], self.scores.ravel()[ok]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+
+def _local_best(asked: pa.Table, k: int, min_score: float | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = np.sqrt((queries**2).sum(axis=1))
-        held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        queries = _by_length(asked, "q")
+        best = {n: _Best(ids, k) for n, (ids, _) in queries.items()}
         for b in batches:
-            x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)
-            if not b.num_rows or not len(ids):
-                continue
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.round(queries @ x.T / (norms[:, None] * np.sqrt((x**2).sum(axis=1))), 9)
-            s = np.where(np.isnan(s), -np.inf, s)
-            if min_score is not None:
-                s = np.where(s >= min_score, s, -np.inf)
-            point = np.concatenate([held[0], np.broadcast_to(b.column("id").to_numpy(), s.shape)], axis=1)
-            score = np.concatenate([held[1], s], axis=1)
-            order = np.lexsort((point, -score), axis=1)[:, :k]
-            held = np.take_along_axis(point, order, 1), np.take_along_axis(score, order, 1)
-        q = np.repeat(ids, held[0].shape[1])
-        ok = np.isfinite(held[1].ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(held[0].ravel()[ok]), pa.array(held[1].ravel()[ok])], names=["query_id", "id", "score"])
+            for n, (ids, x) in _by_length(b, "id").items() if b.num_rows else ():
+                if n in queries:
+                    y = queries[n][1]
+                    s = np.round(y @ x.T / (np.sqrt((y**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))), 9)
+                    best[n].add(ids, np.where(np.isfinite(s) & (True if min_score is None else s >= min_score), s, -np.inf))
+        yield from (found.rows() for found in best.values())
 
     return run
 
@@ -68,26 +86,85 @@ def _local_best(ids: np.ndarray, queries: np.ndarray, k: int, min_score: float |
 def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, *, title_boost: float = 1.5, id_boost: float = 2.0, block: int = 4096) -> DataFrame:
     """query_id, id, score and rank of the k documents with the best token score for each query.
 
-    queries: query_id, query; they go to the documents in blocks of about `block`, each of a few words. docs: id, text,
-    title, external_id.
+    queries: query_id, query; docs: id, text, title, external_id. Queries go to the documents in blocks of about `block`.
+    All words of a block are sought at once in one pass over each document, and each task keeps its own k best.
     """
-    score = tx.fallback_score(F.col("words"), F.col("text"), F.col("title"), F.col("external_id"), title_boost, id_boost)
-    found = [docs.crossJoin(F.broadcast(part.select("query_id", tx.tokens(F.col("query")).alias("words")))).select("query_id", "id", score.alias("score")) for part in in_blocks(queries, "query_id", block)]
-    scored = functools.reduce(DataFrame.unionByName, found).where("score > 0")
+    low = docs.select(F.col("id").cast("long").alias("id"), *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in ("text", "title", "external_id")]).where("id IS NOT NULL")
+    words, best = queries.select(F.col("query_id").cast("long").alias("q"), tx.tokens(F.col("query")).alias("words")).where("q IS NOT NULL AND size(words) > 0"), None
+    for part in in_blocks(words, "q", block):
+        found = low.mapInArrow(_local_hits(part.toArrow(), k, (1.0, title_boost, id_boost)), "query_id long, id long, score double")
+        best = found if best is None else best.unionByName(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _local_hits(asked: pa.Table, k: int, boosts: tuple[float, ...]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        users: dict[str, list[int]] = {}
+        for i, found in enumerate(asked["words"].to_pylist()):
+            for w in found:
+                users.setdefault(w, []).append(i)
+        machine = ahocorasick.Automaton()
+        for w, who in users.items():
+            machine.add_word(w, (w, np.array(who)))
+        if users:
+            machine.make_automaton()
+        best = _Best(asked["q"].to_numpy(), k)
+        for b in batches:
+            for at in range(0, b.num_rows if users else 0, 256):
+                part = b.slice(at, 256)
+                scores = np.zeros((part.num_rows, asked.num_rows))
+                for column, boost in zip(("text", "title", "external_id"), boosts, strict=True):
+                    for n, text in enumerate(part.column(column).to_pylist()):
+                        for who in dict(x for _, x in machine.iter(text)).values():
+                            scores[n, who] += boost
+                some = scores.any(axis=1)
+                best.add(part.column("id").to_numpy()[some], np.where(scores[some] > 0, scores[some], -np.inf).T)
+        yield best.rows()
+
+    return run
 
 
 def documents_holding(docs: DataFrame, passages: DataFrame, *, block: int = 4096) -> DataFrame:
-    """item_id, norm and the number of documents (doc) that hold each passage (item_id, norm); passages go in blocks of about `block`."""
-    found = [docs.join(F.broadcast(part), F.contains("doc", "norm")).groupBy("item_id").agg(F.count("*").alias("n")) for part in in_blocks(passages, "item_id", block)]
-    counts = functools.reduce(DataFrame.unionByName, found)
-    return passages.join(counts, "item_id", "left").select("item_id", "norm", F.coalesce("n", F.lit(0)).alias("documents"))
+    """item_id, norm and the number of documents (doc) that hold each passage (item_id, norm). Passages go in blocks of about `block`, all of which are sought in one pass over each document."""
+    counts = None
+    for part in in_blocks(passages.where("norm IS NOT NULL"), "item_id", block):
+        found = docs.select("doc").where("doc IS NOT NULL").mapInArrow(_holders(part.select("item_id", "norm").toArrow()), f"item_id {passages.schema['item_id'].dataType.simpleString()}, n long")
+        counts = found if counts is None else counts.unionByName(found)
+    total = counts.groupBy("item_id").agg(F.sum("n").alias("n"))
+    return passages.join(total, "item_id", "left").select("item_id", "norm", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
+def _holders(asked: pa.Table):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for i, norm in enumerate(asked["norm"].to_pylist()):
+            places.setdefault(norm, []).append(i)
+        everywhere = places.pop("", [])
+        machine = ahocorasick.Automaton()
+        for norm, rows in places.items():
+            machine.add_word(norm, rows)
+        if places:
+            machine.make_automaton()
+        n = np.zeros(asked.num_rows, np.int64)
+        for b in batches:
+            n[everywhere] += b.num_rows
+            for text in b.column("doc").to_pylist() if places else ():
+                for i in {i for _, rows in machine.iter(text) for i in rows}:
+                    n[i] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([asked["item_id"].combine_chunks().take(pa.array(at)), pa.array(n[at])], names=["item_id", "n"])
+
+    return run
 
 
 def reciprocal_rank_fusion(dense: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
-    """query_id, id, score, dense_rank, keyword_rank, vector_score of hits of either list, best first by rank."""
-    d = dense.select("query_id", "id", F.col("rank").alias("dense_rank"), F.col("score").alias("vector_score"))
+    """query_id, id, score, dense_rank, keyword_rank, dense_score of hits of either list, best first by rank."""
+    d = dense.select("query_id", "id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
     w = keyword.select("query_id", "id", F.col("rank").alias("keyword_rank"))
     score = F.coalesce(1.0 / (k + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("keyword_rank")), F.lit(0.0))
     fused = d.join(w, ["query_id", "id"], "full_outer").withColumn("score", F.round(score, 12))

@@ -104,7 +104,7 @@ def _confidence(t: Tables) -> DataFrame:
 
 @query(f"WITH {_CONF} SELECT l_orderkey, l_linenumber, confidence, {_ROUTE} AS route FROM c")
 def graph_confidence_route(t: Tables) -> DataFrame:
-    """MTH-02, 03, 09, 10, DOM-18."""
+    """MTH-02, MTH-03."""
     return _confidence(t).select("l_orderkey", "l_linenumber", "confidence", gr.route(F.col("confidence"), F.col("schema"), F.col("evidence"), F.col("conflict")).alias("route"))
 
 
@@ -270,6 +270,31 @@ def graph_bfs_2hop(t: Tables) -> DataFrame:
     return gr.bounded_bfs(t.edges_v, _bfs_seeds(t), hops=2, direction="outbound", relations=["belongs_to"])
 
 
+def _hop_sql(k: int, found: str, max_nodes: int, max_relations: int) -> str:
+    """CTEs of hop k over n{k} (query, node) and s{k} (query, nodes, relations): c{k} has its edges in order and where the caps cut."""
+    w = "(PARTITION BY query ORDER BY relation, src, tgt ROWS UNBOUNDED PRECEDING)"
+    return f"""d{k} AS ({found}), x{k} AS (SELECT *, unnest(list_distinct([src, tgt])) AS node FROM d{k}),
+    e{k} AS (SELECT query, relation, src, tgt, old IS NULL AND row_number() OVER (PARTITION BY query, node ORDER BY relation, src, tgt) = 1 AS fresh FROM x{k} LEFT JOIN (SELECT query, node, true AS old FROM n{k}) USING (query, node)),
+    p{k} AS (SELECT query, relation, src, tgt, count(*) FILTER (fresh) AS new FROM e{k} GROUP BY ALL),
+    r{k} AS (SELECT query, relation, src, tgt, new, nodes + sum(new) OVER {w} AS nodes, relations + count(*) OVER {w} AS relations FROM p{k} JOIN s{k} USING (query)),
+    c{k} AS (SELECT query, relation, src, tgt, bool_or(nodes > {max_nodes} AND new > 0 OR relations > {max_relations}) OVER {w} AS cut FROM r{k})"""
+
+
+@query(
+    f"""WITH {_SEED_SQL}, n1 AS (SELECT query, node FROM q), s1 AS (SELECT query, count(*) AS nodes, 0 AS relations FROM n1 GROUP BY query),
+    {_hop_sql(1, "SELECT DISTINCT query, relation, src, tgt FROM q JOIN edges_v e ON e.src = q.node OR e.tgt = q.node", 30, 45)},
+    k1 AS (SELECT * FROM c1 WHERE NOT cut), f1 AS (SELECT DISTINCT query, unnest([src, tgt]) AS node FROM k1 EXCEPT SELECT query, node FROM n1), n2 AS (SELECT * FROM n1 UNION ALL SELECT * FROM f1),
+    s2 AS (SELECT query, count(*) AS nodes, (SELECT count(*) FROM k1 WHERE k1.query = n2.query) AS relations FROM n2 GROUP BY query),
+    {_hop_sql(2, "SELECT DISTINCT query, relation, src, tgt FROM (SELECT query, relation, src, tgt FROM f1 JOIN edges_v e ON e.src = f1.node UNION ALL SELECT query, relation, src, tgt FROM f1 JOIN edges_v e ON e.tgt = f1.node) ANTI JOIN k1 USING (query, relation, src, tgt)", 30, 45)},
+    t AS (SELECT query, bool_or(cut) AS truncated FROM (SELECT query, cut FROM c1 UNION ALL SELECT query, cut FROM c2) GROUP BY query)
+    SELECT query, hop, relation, src, tgt, truncated FROM (SELECT query, 1::BIGINT AS hop, relation, src, tgt FROM k1 UNION ALL SELECT query, 2, relation, src, tgt FROM c2 WHERE NOT cut) JOIN t USING (query)""",
+    views="edges_v",
+)
+def graph_bfs_2hop_capped(t: Tables) -> DataFrame:
+    """WIN-11, JN-12, DOM-28: both directions, all relations, and caps that the first hop of some seeds and the second of others meet."""
+    return gr.bounded_bfs(t.edges_v, _bfs_seeds(t), hops=2, max_nodes=30, max_relations=45)
+
+
 @query(
     f"""WITH {_SEED_SQL}, f AS (SELECT DISTINCT query, relation, src, tgt FROM q JOIN edges_v e ON e.src = q.node OR e.tgt = q.node), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relation, src, tgt) AS k, count(*) OVER (PARTITION BY query) AS total FROM f)
     SELECT query, 1::BIGINT AS hop, relation, src, tgt, total > 24 AS truncated FROM n WHERE k <= 24""",
@@ -323,12 +348,57 @@ def link_exact(t: Tables) -> DataFrame:
     return m.join(e, "form", "left").groupBy("mention_id").agg(F.when(n == 0, "not_found").when(n == 1, "linked").otherwise("ambiguous").alias("status"), F.bool_or(F.coalesce(F.col("node_id") == F.col("gold"), F.lit(False))).alias("right_"))
 
 
-@query()
+_GRAMS = "SELECT {key}, g, count(*) AS c FROM (SELECT {key}, unnest(CASE WHEN length(form) = 1 THEN [form] ELSE [substr(form, i, 2) FOR i IN range(1, length(form))] END) AS g FROM {table}) GROUP BY ALL"
+
+
+@query(
+    f"""WITH m AS (SELECT mention_id, type_key, {_NORM.format('text')} AS form FROM mentions_v), e AS (SELECT node_id, type_key, {_NORM.format('name')} AS form FROM nodes_v WHERE type_key IN (SELECT type_key FROM m)),
+    mg AS ({_GRAMS.format(key='mention_id', table='m')}), eg AS ({_GRAMS.format(key='node_id', table='e')}), s AS (SELECT mention_id, node_id, sum(least(mg.c, eg.c)) AS shared FROM mg JOIN eg USING (g) GROUP BY ALL),
+    p AS (SELECT m.mention_id, e.node_id, e.type_key, m.form AS x, e.form AS y, coalesce(shared, 0) AS shared, greatest(1, length(m.form) - 1) + greatest(1, length(e.form) - 1) AS grams, list_distinct(string_split(m.form, ' ')) AS u, list_distinct(string_split(e.form, ' ')) AS v
+        FROM m JOIN e USING (type_key) LEFT JOIN s USING (mention_id, node_id)),
+    w AS (SELECT *, len(list_intersect(u, v)) AS both_ FROM p),
+    r AS (SELECT mention_id, node_id, type_key, x, y, greatest((2 * (2 * shared) * 1000000 + grams) // (2 * grams), (2 * both_ * 1000000 + len(u) + len(v) - both_) // (2 * (len(u) + len(v) - both_)),
+        CASE WHEN contains(x, y) OR contains(y, x) THEN (2 * least(length(x), length(y)) * 1000000 + greatest(length(x), length(y))) // (2 * greatest(length(x), length(y))) ELSE 0 END)::BIGINT AS score FROM w),
+    k AS (SELECT *, max(x = y) OVER (PARTITION BY mention_id) AS has_exact FROM r), c AS (SELECT *, row_number() OVER o AS n, lead(score) OVER o AS next_ FROM k WHERE score >= 500000 AND (x = y OR NOT has_exact) WINDOW o AS (PARTITION BY mention_id ORDER BY score DESC, type_key, y, node_id)),
+    b AS (SELECT mention_id, least(count(*), 10) AS n_candidates, arg_min(node_id, n) AS node_id, arg_min(score, n) AS score, arg_min(score - coalesce(next_, 0), n) AS margin FROM c GROUP BY mention_id),
+    d AS (SELECT m.mention_id, b.*, CASE WHEN b.node_id IS NULL THEN 'not_found' WHEN score >= 800000 AND margin >= 50000 THEN 'linked' ELSE 'ambiguous' END AS status FROM m LEFT JOIN b USING (mention_id))
+    SELECT mention_id, status, CASE WHEN status = 'linked' THEN node_id END AS selected, score, margin, coalesce(n_candidates, 0) AS n_candidates FROM d""",
+    views="mentions_v nodes_v",
+)
 def link_decision(t: Tables) -> DataFrame:
     """WIN-05, MTH-12, TOP-08, TOP-14, DOM-31: lexical candidates, the margin between the best two, and what follows."""
     return gr.link_decisions(t.mentions_v, t.nodes_v)
 
 
+_FLAGS = f"WITH {_CONF.replace(' FROM lineitem)', ', l_quantity AS quantity FROM lineitem)')}, x AS (SELECT c.*, quantity = 1 AS schema_invalid, f = 'R' AND l_linenumber = 1 AS evidence_invalid, f = 'R' AND l_linenumber = 2 AS evidence_ambiguous, l_partkey % 7 = 0 AS match_ambiguous, conflict AS conflict_open, p_partkey IS NOT NULL AS matched, quantity = 2 AS endpoint_rejected, quantity = 3 AS endpoint_pending, s = 'O' AND l_linenumber = 3 AS boundary_unclear, l_linenumber = 4 AS grouped FROM c LEFT JOIN part ON p_partkey = l_partkey AND p_size < 10)"
+_OUTCOME = "SELECT l_orderkey, l_linenumber, CASE WHEN reason IS NULL THEN 'validated' WHEN reason IN ('schema_invalid', 'evidence_invalid', 'endpoint_rejected') THEN 'rejected' ELSE 'pending_review' END AS status, reason FROM r"
+
+
+def _flagged(t: Tables) -> DataFrame:
+    """Lines as candidates, with what their routes hang on."""
+    there = t.part.where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("matched"))
+    n, returned, quantity = F.col("l_linenumber"), F.col("l_returnflag") == "R", F.col("l_quantity")
+    flags = {
+        "schema_invalid": quantity == 1, "evidence_invalid": returned & (n == 1), "evidence_ambiguous": returned & (n == 2), "match_ambiguous": F.col("l_partkey") % 7 == 0, "conflict_open": F.col("l_tax") > 0.07,
+        "endpoint_rejected": quantity == 2, "endpoint_pending": quantity == 3, "boundary_unclear": (F.col("l_linestatus") == "O") & (n == 3), "support": F.when(n == 4, "group").otherwise("single"),
+    }
+    return _confidence(t).join(there, "l_partkey", "left").withColumns(flags)
+
+
+@query(f"{_FLAGS}, r AS (SELECT *, CASE WHEN schema_invalid THEN 'schema_invalid' WHEN evidence_invalid THEN 'evidence_invalid' WHEN evidence_ambiguous THEN 'evidence_ambiguous' WHEN match_ambiguous THEN 'entity_match_ambiguous' WHEN conflict_open THEN 'conflict_open' WHEN NOT matched AND confidence < 0.85 THEN 'low_confidence' END AS reason FROM x) {_OUTCOME}")
+def graph_route_entity(t: Tables) -> DataFrame:
+    """MTH-09, DOM-18."""
+    status, reason = gr.route_entity(*map(F.col, ("schema_invalid", "evidence_invalid", "evidence_ambiguous", "match_ambiguous", "conflict_open", "matched", "confidence")))
+    return _flagged(t).select("l_orderkey", "l_linenumber", status.alias("status"), reason.alias("reason"))
+
+
+@query(f"{_FLAGS}, r AS (SELECT *, CASE WHEN schema_invalid THEN 'schema_invalid' WHEN evidence_invalid THEN 'evidence_invalid' WHEN endpoint_rejected THEN 'endpoint_rejected' WHEN evidence_ambiguous THEN 'evidence_ambiguous' WHEN boundary_unclear THEN 'schema_boundary_unclear' WHEN conflict_open THEN 'conflict_open' WHEN endpoint_pending THEN 'endpoint_pending_review' WHEN grouped THEN 'evidence_group' END AS reason FROM x) {_OUTCOME}")
+def graph_route_relation(t: Tables) -> DataFrame:
+    """MTH-10, DOM-18."""
+    status, reason = gr.route_relation(*map(F.col, ("schema_invalid", "evidence_invalid", "endpoint_rejected", "evidence_ambiguous", "boundary_unclear", "conflict_open", "endpoint_pending", "support")))
+    return _flagged(t).select("l_orderkey", "l_linenumber", status.alias("status"), reason.alias("reason"))
+
+
 @query("SELECT mention_id, list_filter([CASE WHEN text = name THEN 'exact' END, CASE WHEN text <> name AND lower(trim(text)) = lower(name) THEN 'case_whitespace' END, CASE WHEN starts_with(name, text) AND text <> name THEN 'suffix_omission' END], lambda x: x IS NOT NULL) AS categories FROM mentions_v JOIN nodes_v ON node_id = gold", views="mentions_v nodes_v")
 def link_case_categories(t: Tables) -> DataFrame:
     """DOM-49."""

@@ -216,7 +216,7 @@ def evidence_source_window(t: Tables) -> DataFrame:
 
 
 @query("SELECT user_id, arg_max(event_id, {'ts': ts, 'event_id': event_id}) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
-def sink_vector_upsert(t: Tables) -> DataFrame:
+def sink_embedding_upsert(t: Tables) -> DataFrame:
     """SRC-15: the last writer of each key wins."""
     return lc.newest(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"])
 

@@ -80,20 +80,20 @@ def retrieval_keyword_tokens(t: Tables) -> DataFrame:
 
 
 _HYBRID = f"""{_KEYWORD}, {_DENSE}, dr AS (SELECT *, {_RANKED} AS rank FROM s), d AS (SELECT * FROM dr WHERE rank <= 50), kk AS (SELECT * FROM kr WHERE rank <= 50)"""
-_FUSE = """f AS (SELECT coalesce(d.query_id, kk.query_id) AS query_id, coalesce(d.id, kk.id) AS id, d.rank AS dense_rank, d.score AS vector_score, kk.rank AS keyword_rank,
+_FUSE = """f AS (SELECT coalesce(d.query_id, kk.query_id) AS query_id, coalesce(d.id, kk.id) AS id, d.rank AS dense_rank, d.score AS dense_score, kk.rank AS keyword_rank,
         round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + kk.rank), 0), 12) AS score FROM d FULL JOIN kk ON d.query_id = kk.query_id AND d.id = kk.id),
     fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, keyword_rank NULLS LAST, id) AS rank FROM f)"""
 
 
-@query(f"WITH {_HYBRID}, {_FUSE} SELECT query_id, id, dense_rank, vector_score, keyword_rank, score, rank FROM fr WHERE rank <= 20", views="docs_v")
+@query(f"WITH {_HYBRID}, {_FUSE} SELECT query_id, id, dense_rank, dense_score, keyword_rank, score, rank FROM fr WHERE rank <= 20", views="docs_v")
 def retrieval_hybrid_rrf(t: Tables) -> DataFrame:
-    """JN-03, AGG-08, WIN-01, SET-02: the vector of a query's number stands for its text."""
+    """JN-03, AGG-08, WIN-01, SET-02: the embedding of a query's number stands for its text."""
     dense = rt.exact_topk(t.embeddings, asked(t), 50)
     return rt.reciprocal_rank_fusion(dense, rt.keyword_recall(keyword_docs(t), keyword_queries(t), 50)).where("rank <= 20")
 
 
 @query(
-    f"WITH {_HYBRID.replace('kk AS (SELECT * FROM kr WHERE rank <= 50)', 'ks AS (SELECT query_id, id, score FROM kr WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = kr.id AND e.label IN (1, 2, 3))), kk AS (SELECT *, ' + _RANKED + ' AS rank FROM ks)').replace('AS rank FROM s)', 'AS rank FROM s WHERE label IN (1, 2, 3))')}, {_FUSE} SELECT query_id, id, dense_rank, vector_score, keyword_rank, score, rank FROM fr WHERE rank <= 20",
+    f"WITH {_HYBRID.replace('kk AS (SELECT * FROM kr WHERE rank <= 50)', 'ks AS (SELECT query_id, id, score FROM kr WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = kr.id AND e.label IN (1, 2, 3))), kq AS (SELECT *, ' + _RANKED + ' AS rank FROM ks), kk AS (SELECT * FROM kq WHERE rank <= 50)').replace('AS rank FROM s)', 'AS rank FROM s WHERE label IN (1, 2, 3))')}, {_FUSE} SELECT query_id, id, dense_rank, dense_score, keyword_rank, score, rank FROM fr WHERE rank <= 20",
     views="docs_v",
 )
 def retrieval_hybrid_filtered(t: Tables) -> DataFrame:
@@ -101,7 +101,7 @@ def retrieval_hybrid_filtered(t: Tables) -> DataFrame:
     where = rt.Where((rt.Condition(("label",), "in", [1, 2, 3]),))
     points = t.embeddings.where(rt.predicate(where))
     allowed = points.select(F.col("vec_id").alias("id"))
-    keyword = rt.keyword_recall(keyword_docs(t).join(allowed, "id", "left_semi"), keyword_queries(t), 1 << 30)
+    keyword = rt.keyword_recall(keyword_docs(t).join(allowed, "id", "left_semi"), keyword_queries(t), 50)
     return rt.reciprocal_rank_fusion(rt.exact_topk(points, asked(t), 50), keyword).where("rank <= 20")
 
 
@@ -144,7 +144,7 @@ def retrieval_filter_group(t: Tables) -> DataFrame:
     views="docs_v",
 )
 def retrieval_enrich_left_join(t: Tables) -> DataFrame:
-    """JN-05, SRC-13, MTH-04, MTH-08: text by key from another table, else the hit's own; a rerank score before the vector's."""
+    """JN-05, SRC-13, MTH-04, MTH-08: text by key from another table, else the hit's own; a rerank score before the embedding's."""
     hits = rt.exact_topk(t.embeddings, asked(t), 10).join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label")), "id")
     source = t.docs_v.select(F.col("doc_id").alias("key"), F.col("title").alias("text"))
     found = rt.enriched(hits.withColumn("key", F.col("id").cast("string")), source, "key", "text", "label")

@@ -12,7 +12,7 @@ CHUNK = 500
 #: The derived views in SQL, for the queries' twins.
 VIEWS_SQL = {
     "docs_v": "SELECT *, sha256(text) AS content_hash, 'ext-' || (doc_id % 700) AS external_id, left(text, 60) AS title, source AS library_id FROM documents",
-    "chunks_v": f"SELECT doc_id, seq, doc_id * 1000 + seq AS chunk_id, source, substr(text, 1 + {CHUNK} * seq, {CHUNK}) AS text, {CHUNK} * seq AS source_start, least({CHUNK} * seq + {CHUNK}, length(text)) AS source_end "
+    "chunks_v": f"SELECT doc_id, seq, doc_id * 1000000 + seq AS chunk_id, source, substr(text, 1 + {CHUNK} * seq, {CHUNK}) AS text, {CHUNK} * seq AS source_start, least({CHUNK} * seq + {CHUNK}, length(text)) AS source_end "
     f"FROM (SELECT *, unnest(range(0, (length(text) + {CHUNK - 1}) // {CHUNK})) AS seq FROM documents)",
     "jobs_v": "SELECT event_id, user_id, ts, value, props, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision, "
     "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'superseded' END AS status FROM events",
@@ -51,7 +51,7 @@ class Tables:
         seqs = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
         rows = self.documents.withColumn("seq", F.explode(seqs))
         return rows.select(
-            "doc_id", "seq", (F.col("doc_id") * 1000 + F.col("seq")).alias("chunk_id"), "source",
+            "doc_id", "seq", (F.col("doc_id") * 1000000 + F.col("seq")).alias("chunk_id"), "source",
             F.expr(f"substring(text, cast(1 + {CHUNK} * seq as int), {CHUNK})").alias("text"), (F.col("seq") * CHUNK).alias("source_start"), F.least(F.col("seq") * CHUNK + CHUNK, F.length("text").cast("long")).alias("source_end"),
         )
 

@@ -28,4 +28,4 @@ def test_entry_point(spark):
 
     assert set(plans.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "dense_rank", "vector_score", "keyword_rank", "score", "rank"]
+    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "dense_rank", "dense_score", "keyword_rank", "score", "rank"]
