@@ -218,20 +218,20 @@ def eval_bootstrap(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, lower(regexp_extract('doc' || doc_id || '.TXT', '\\.([^.]+)$', 1)) AS suffix, strlen(text) AS bytes FROM documents WHERE strlen(text) <= 50000")
 def scan_text_size_cap(t: Tables) -> DataFrame:
-    """SRC-01, SRC-02, SRC-12."""
+    """The size cap over a table of texts; the readers of files are in `files`."""
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".TXT"))
     return t.documents.where(F.octet_length("text") <= 50000).select("doc_id", F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("suffix"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id FROM documents WHERE trim(text) <> ''")
 def scan_text_nonblank(t: Tables) -> DataFrame:
-    """SRC-05."""
+    """Blank texts left out of a table."""
     return t.documents.where(F.trim("text") != "").select("doc_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def scan_json_props(t: Tables) -> DataFrame:
-    """SRC-03, SRC-19, FLT-15: fields of JSON by a schema."""
+    """FLT-15: fields of JSON by a schema."""
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 

@@ -6,6 +6,7 @@ Each reader is a Spark scan; a document has external_id, title (the file's name
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -158,3 +159,35 @@ def store(found: DataFrame, folder: str, library: Column) -> DataFrame:
     keyed = found.select(library.alias("library"), F.sha2("content", 256).alias("sha256"), "length", "name", "content").dropDuplicates(["library", "sha256"])
     keyed.write.partitionBy("library").mode("errorifexists").parquet(folder)
     return found.sparkSession.read.parquet(folder).select("library", "sha256", "length", "name")
+
+
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """term, ordinal (from 0) and synonym of a dictionary in JSON. A value is a string or a list of them; names that begin with an underscore and blank synonyms are left out."""
+    whole = spark.read.option("wholetext", "true").text(path)
+    entries = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("term", "value")).where(~F.startswith("term", F.lit("_")))
+    many = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    kept = F.filter(many, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return entries.select("term", F.posexplode(kept).alias("ordinal", "synonym")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def canonical_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, line_hash (SHA-256) and canonical of each line: whether it is JSON in its one form, keys sorted, without blanks, and nothing escaped that need not be."""
+
+    def same(lines: pd.Series) -> pd.Series:
+        return lines.map(_is_canonical)
+
+    line = F.col("value")
+    return spark.read.text(path).select(line.alias("line"), F.sha2(line, 256).alias("line_hash"), F.pandas_udf(same, "boolean")(line).alias("canonical"))
+
+
+def _is_canonical(line: str) -> bool:
+    try:
+        return json.dumps(json.loads(line), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False) == line
+    except ValueError:
+        return False
+
+
+def write_once(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder that must not be there yet, and read again."""
+    df.write.mode("errorifexists").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
