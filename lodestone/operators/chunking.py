@@ -8,6 +8,9 @@ before, and a piece that is too long by itself is cut by the next separator. Eve
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,6 +126,101 @@ def sections(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     return bodies.where(F.trim(F.regexp_replace("body", "\\s", "")) != "").select(F.col("id").alias(id_column), "section", "path", "source_start", "source_end", "body")
 
 
+HEADING = re.compile(r"(#{1,4})(?: (.*))?$", re.DOTALL)
+
+
+def _blocks(text: str) -> Iterator[tuple[tuple[str, ...], list[tuple[str, int]]]]:
+    """(headings above, pieces) of each run of lines without a blank line or a heading between them.
+
+    A piece is a stretch of printable characters of a line, without the blanks at the line's ends, and its place in the text;
+    a piece that begins a line has the line end before it as a piece of its own, with place -1.
+    """
+    path: dict[int, str] = {}
+    fence, at, held = "", 0, []
+    for line in text.split("\n"):
+        body = line.strip()
+        begin = at + len(line) - len(line.lstrip())
+        at += len(line) + 1
+        shown = "".join(c for c in body if c.isprintable())
+        was = fence
+        if fence:
+            fence = "" if shown.startswith(fence) else fence
+        elif shown.startswith("```") and shown.count("```") == 1 or shown.startswith("~~~"):
+            fence = shown[:3]
+        heading = None if fence else HEADING.match(shown)
+        if heading or not shown and not (was and fence):
+            if held:
+                yield tuple(path[k] for k in sorted(path)), held
+                held = []
+            if heading:
+                level = len(heading[1])
+                path = {k: v for k, v in path.items() if k < level} | {level: (heading[2] or "").strip()}
+            continue
+        if held:
+            held.append(("\n", -1))
+        for run in re.finditer(r"[^\x00]+", "".join(c if c.isprintable() else "\0" for c in body)):
+            held.append((run[0], begin + run.start()))
+        if not shown:
+            held.append(("", -1))
+    if held:
+        yield tuple(path[k] for k in sorted(path)), held
+
+
+def markdown_spans(text: str, size: int = 1000, overlap: int = 120) -> Iterator[tuple[tuple[str, ...], str, list[Span]]]:
+    """(headings, chunk, source ranges) of a Markdown text.
+
+    Lines under the same headings make one section, blocks of it with two blanks and a line end between them; a section of
+    over `size` characters is cut as plain text is. A chunk's ranges are where its characters stand in the text.
+    """
+    for path, group in itertools.groupby(_blocks(text), key=lambda x: x[0]):
+        pieces = [p for k, (_, block) in enumerate(group) for p in ([("  \n", -1)] if k else []) + block]
+        content = "".join(x for x, _ in pieces)
+        if not content.strip():
+            continue
+        found = [(0, len(content))] if len(content) <= size else [x for x in spans(content, size, overlap) if x[0] < x[1]]
+        places = list(itertools.accumulate((len(x) for x, _ in pieces), initial=0))
+        for a, z in found:
+            ranges: list[Span] = []
+            for (x, source), place in zip(pieces, places, strict=False):
+                low, high = max(a, place), min(z, place + len(x))
+                if source >= 0 and low < high:
+                    start, end = source + low - place, source + high - place
+                    if ranges and ranges[-1][1] == start:
+                        start = ranges.pop()[0]
+                    ranges.append((start, end))
+            if ranges:
+                yield path, content[a:z], ranges
+
+
+def markdown_chunks(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = 1000, overlap: int = 120) -> DataFrame:
+    """The id, seq (from 0), path (headings), chunk, source_start, source_end and source_ranges (start, end, hash) of each chunk of Markdown texts.
+
+    Headings have one to four number signs; what lies between fences of ``` or ~~~ holds none. Null and blank texts have no chunk.
+    """
+    if overlap >= size:
+        raise ValueError(f"overlap {overlap} must be less than size {size}")
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    ranges = "array<struct<start:bigint,end:bigint,hash:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column("text")[k].as_py() or ""
+                found = list(markdown_spans(text, size, overlap))
+                if not found:
+                    continue
+                hashed = [[{"start": a, "end": z, "hash": hashlib.sha256(text[a:z].encode()).hexdigest()[:16]} for a, z in r] for *_, r in found]
+                spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string())]))
+                ids = pa.array([batch.column("id")[k].as_py()] * len(found), batch.schema.field("id").type)
+                columns = [ids, pa.array(range(len(found)), pa.int64()), pa.array([list(p) for p, *_ in found], pa.list_(pa.string())), pa.array([c for _, c, _ in found], pa.string()), pa.array(hashed, spans_type)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "seq", "path", "chunk", "source_ranges"])
+
+    found = source.mapInArrow(run, f"id {kind}, seq long, path array<string>, chunk string, source_ranges {ranges}")
+    first, last = F.col("source_ranges")[0]["start"], F.element_at("source_ranges", -1)["end"]
+    return found.select(F.col("id").alias(id_column), "seq", "path", "chunk", first.alias("source_start"), last.alias("source_end"), "source_ranges")
+
+
 def packed(rows: Column, room: Column) -> Column:
     """An array of strings as an array of arrays: consecutive rows, each with a line end, that fit in room characters together. A longer row stands alone."""
     done, held = F.array().cast("array<array<string>>"), F.array().cast("array<string>")

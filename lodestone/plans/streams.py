@@ -57,6 +57,14 @@ def chunk_markdown_sections(t: Tables) -> DataFrame:
     return chunking.sections(t.documents.select("doc_id", text.alias("text"))).withColumn("body", F.sha2("body", 256))
 
 
+@query()
+def chunk_markdown(t: Tables) -> DataFrame:
+    """CHK-02, CHK-06: sections of Markdown cut by size, with all of their source ranges; held against plain texts in the tests."""
+    mark = F.when(F.col("doc_id") % 3 == 0, "## ").when(F.col("doc_id") % 3 == 1, "\n~~~\n").otherwise("")
+    text = F.concat(F.lit("intro\n# "), F.col("source"), F.lit("\n"), F.regexp_replace("text", F.lit("\\. "), F.concat(F.lit(".\n"), mark)), F.lit("\n### end\ntail"))
+    return chunking.markdown_chunks(t.documents.select("doc_id", text.alias("text"))).drop("chunk")
+
+
 @query()
 def chunk_table_rows(t: Tables) -> DataFrame:
     """CHK-07, CHK-08, WIN-07: a supplier's parts as a table; held against a plain version in the tests."""

@@ -91,3 +91,25 @@ def test_table_chunks_same_as_a_loop(spark):
     for v in found.values():
         assert [r["first_row"] for r in v] == [0, *[r["last_row"] + 1 for r in v[:-1]]]
         assert all(len(r["chunk"]) <= 400 for r in v)
+
+
+def test_markdown_chunks_of_made_texts():
+    text = "before\n\n# One \n  first\x00line  \nsecond\n\nthird\n## Two\n~~~\n# no heading\n\n``` \n~~~\n# \n#Three\n```\n## fenced\n```\n##### five\n"
+    assert [(p, c) for p, c, _ in chunking.markdown_spans(text)] == [
+        ((), "before"), (("One",), "firstline\nsecond  \nthird"), (("One", "Two"), "~~~\n# no heading\n\n```\n~~~"), (("",), "#Three\n```\n## fenced\n```\n##### five"),
+    ]
+    for _, chunk, ranges in chunking.markdown_spans(text):
+        assert "".join(text[a:z] for a, z in ranges).replace("\n", "") == chunk.replace("  \n", "").replace("\n", "")
+    assert [[text[a:z] for a, z in r] for _, _, r in chunking.markdown_spans(text)][1] == ["first", "line", "second", "third"]
+
+
+def test_markdown_sections_over_the_size_are_cut_as_plain_text(spark):
+    body = " ".join(f"word{k}" for k in range(200))
+    text = f"# A\n{body}\n\n# B\nshort\n\nrest"
+    found = chunking.markdown_chunks(spark.createDataFrame([(1, text), (2, None), (3, " \n")], "doc_id long, text string"), size=300, overlap=50).orderBy("seq").collect()
+    plain = [body[a:z] for a, z in chunking.spans(body, 300, 50)]
+    assert [r["chunk"] for r in found] == [*plain, "short  \nrest"] and [r["path"] for r in found] == [["A"]] * len(plain) + [["B"]]
+    assert all(text[r["source_start"] : r["source_end"]] == r["chunk"] for r in found[:-1])
+    assert [(x["start"], x["end"]) for x in found[-1]["source_ranges"]] == [(text.index("short"), text.index("short") + 5), (text.index("rest"), len(text))]
+    with pytest.raises(ValueError, match="overlap"):
+        chunking.markdown_chunks(spark.createDataFrame([], "doc_id long, text string"), size=10, overlap=10)
