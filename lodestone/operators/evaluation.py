@@ -16,10 +16,10 @@ def first_hits(ranked: DataFrame, hit: Column) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first_hit"))
 
 
-def hit_rates(first: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """queries, hit_at_k of each k, and mrr; a query without a hit counts as a miss."""
+def hit_rates(first: DataFrame, ks: tuple[int, ...] = (1, 3, 5), by: list[str] | None = None) -> DataFrame:
+    """by, queries, hit_at_k of each k, and mrr; a query without a hit counts as a miss."""
     hits = [F.round(F.avg(F.coalesce(F.col("first_hit") <= k, F.lit(False)).cast("double")), 9).alias(f"hit_at_{k}") for k in ks]
-    return first.agg(F.count("*").alias("queries"), *hits, F.round(F.sum(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))) / F.count("*"), 9).alias("mrr"))
+    return first.groupBy(*(by or [])).agg(F.count("*").alias("queries"), *hits, F.round(F.sum(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))) / F.count("*"), 9).alias("mrr"))
 
 
 def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,6 +32,13 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFr
     return counts.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 9).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 9).alias("recall"))
 
 
+def latency_summary(samples: DataFrame, by: str, size: int = 30) -> DataFrame:
+    """by, p50, p95 and most of groups of exactly `size` samples (the 15th, the 29th and the last of 30); groups of another size have nulls. samples: by, micros."""
+    each = samples.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("micros")).alias("_all"))
+    at = lambda k: F.when(F.col("n") == size, F.try_element_at("_all", F.lit(k)))
+    return each.select(by, "n", at(size // 2).alias("p50"), at(size - size // 30).alias("p95"), at(size).alias("most"))
+
+
 def threshold_grid(cases: DataFrame, scores: list[int], margins: list[int]) -> DataFrame:
     """For each pair of thresholds: cases linked, linked right, wrong, not linked. cases: score, margin, right."""
     points = []

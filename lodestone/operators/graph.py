@@ -118,6 +118,19 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, direction:
     return kept.join(truncated, "query").select("query", F.col("hop").cast("long").alias("hop"), "relation", "src", "tgt", "truncated")
 
 
+def same_title_neighbours(chunks: DataFrame) -> DataFrame:
+    """chunk_id, path, before_, after_: the nearest chunks of a document with the same title path. chunks: chunk_id, doc_id, seq, own, block, linked titles, of which the first that is there counts."""
+    rows = chunks.select("chunk_id", "doc_id", "seq", F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("own", "block", "linked")]).alias("path"))
+    w = Window.partitionBy("doc_id", "path").orderBy("seq")
+    return rows.select("chunk_id", "path", F.lag("chunk_id").over(w).alias("before_"), F.lead("chunk_id").over(w).alias("after_"))
+
+
+def primary_evidence(chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """chunk_id, evidence_id: its direct one, else the first of its links by (seq, evidence_id), else null. chunks: chunk_id, direct; links: chunk_id, seq, evidence_id."""
+    first = links.groupBy("chunk_id").agg(F.min_by("evidence_id", F.struct("seq", "evidence_id")).alias("first"))
+    return chunks.join(first, "chunk_id", "left").select("chunk_id", F.coalesce("direct", "first").alias("evidence_id"))
+
+
 def within_budget(neighbours: Column, size: Column, budget: int) -> Column:
     """The neighbours that stay when the farthest is dropped until all and the text of `size` characters fit: of two as far, the following one goes first.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scores
 from lodestone.functions import text as tx
 from lodestone.operators import graph as gr
+from lodestone.operators import ontology
 from lodestone.plans.catalog import query
 from lodestone.sources.tables import Tables
 
@@ -123,6 +124,50 @@ def math_relation_status(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", why.alias("reasons"), F.when(F.size(why) > 0, "pending").otherwise("active").alias("status"))
 
 
+_ONTOLOGY = "o AS (SELECT relation, unnest(a) AS src_type, b, cardinality, requires_review FROM (VALUES " + ", ".join(f"('{r}', {list(a)}, {list(b)}, '{c}', {str(review).lower()})" for r, a, b, c, review in ontology.RULES) + ") t(relation, a, b, cardinality, requires_review)), k AS (SELECT relation, src_type, unnest(b) AS tgt_type, cardinality, requires_review FROM o)"
+
+
+@query(f"WITH {_ONTOLOGY} SELECT * FROM k")
+def graph_default_ontology(t: Tables) -> DataFrame:
+    """DOM-21: ten types of entities, ten of relations, and the constraints of all pairs of types that the rules name."""
+    return ontology.constraints(t.spark)
+
+
+@query(f"""WITH {_ONTOLOGY}, f AS (SELECT {list(ontology.RELATION_TYPES)}[l_partkey % 10 + 1] AS relation, {list(ontology.ENTITY_TYPES)}[l_suppkey % 10 + 1] AS src_type, {list(ontology.ENTITY_TYPES)}[l_orderkey % 10 + 1] AS tgt_type FROM lineitem)
+    SELECT relation, src_type, tgt_type, cardinality, coalesce(requires_review, true) AS review, count(*) AS facts FROM f LEFT JOIN k USING (relation, src_type, tgt_type) GROUP BY ALL""")
+def graph_ontology_lookup(t: Tables) -> DataFrame:
+    """JN-17, DOM-12: triples of types of facts against the default constraints; one that is not there is reviewed."""
+    pick = lambda names, key: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(key) % 10 + 1).cast("int"))
+    facts = t.lineitem.select(pick(ontology.RELATION_TYPES, "l_partkey").alias("relation"), pick(ontology.ENTITY_TYPES, "l_suppkey").alias("src_type"), pick(ontology.ENTITY_TYPES, "l_orderkey").alias("tgt_type"))
+    return ontology.looked_up(facts).groupBy("relation", "src_type", "tgt_type", "cardinality", F.coalesce("requires_review", F.lit(True)).alias("review")).agg(F.count("*").alias("facts"))
+
+
+_TITLED = """t AS (SELECT chunk_id, c.doc_id, seq, CASE WHEN seq % 5 = 0 THEN nullif(trim(left(c.text, 4)), '') END AS own, CASE WHEN seq % 5 = 1 THEN d.lang END AS block, CASE WHEN seq % 5 = 2 THEN d.source END AS linked FROM chunks_v c JOIN documents d USING (doc_id)),
+    p AS (SELECT chunk_id, doc_id, seq, coalesce(own, block, linked) AS path FROM t)"""
+
+
+@query(f"WITH {_TITLED} SELECT chunk_id, path, lag(chunk_id) OVER w AS before_, lead(chunk_id) OVER w AS after_ FROM p WINDOW w AS (PARTITION BY doc_id, path ORDER BY seq)", views="chunks_v")
+def graph_title_neighbours(t: Tables) -> DataFrame:
+    """JN-19, JN-20, DOM-11: a chunk's title path is its own, else its block's, else a linked block's; its neighbours are the nearest chunks of the same path."""
+    own, seq = F.nullif(F.trim(F.left("text", F.lit(4))), F.lit("")), F.col("seq") % 5
+    titled = t.chunks_v.select("chunk_id", "doc_id", "seq", "text").join(t.documents.select("doc_id", "lang", F.col("source").alias("origin")), "doc_id")
+    rows = titled.select("chunk_id", "doc_id", "seq", F.when(seq == 0, own).alias("own"), F.when(seq == 1, F.col("lang")).alias("block"), F.when(seq == 2, F.col("origin")).alias("linked"))
+    return gr.same_title_neighbours(rows)
+
+
+@query(
+    """WITH l AS (SELECT chunk_id, seq, CASE WHEN seq % 3 = 0 THEN 'direct-' || chunk_id END AS direct, e.pos, 'linked-' || (chunk_id + 7 * e.pos) % 11 AS evidence_id FROM chunks_v, (VALUES (0), (1), (2)) e(pos) WHERE seq % 3 < 2 OR e.pos < 0)
+    SELECT c.chunk_id, coalesce(max(l.direct), arg_min(l.evidence_id, {'pos': -l.pos, 'id': l.evidence_id})) AS evidence_id FROM chunks_v c LEFT JOIN l USING (chunk_id) GROUP BY c.chunk_id""",
+    views="chunks_v",
+)
+def graph_primary_evidence(t: Tables) -> DataFrame:
+    """JN-18, DOM-10: a chunk's own evidence, else the first that is linked to it, else none."""
+    chunks = t.chunks_v.select("chunk_id", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("direct-"), F.col("chunk_id").cast("string"))).alias("direct"))
+    linked = t.chunks_v.where("seq % 3 < 2").select("chunk_id", F.explode(F.array(*map(F.lit, range(3)))).alias("pos"))
+    links = linked.select("chunk_id", (-F.col("pos")).alias("seq"), F.concat(F.lit("linked-"), ((F.col("chunk_id") + 7 * F.col("pos")) % 11).cast("string")).alias("evidence_id"))
+    return gr.primary_evidence(chunks, links)
+
+
 _RULES = [("belongs_to", "nation", "region"), ("belongs_to", "supplier", "nation"), ("belongs_to", "customer", "nation"), ("supplies", "supplier", "part")]
 
 
@@ -131,7 +176,7 @@ _RULES = [("belongs_to", "nation", "region"), ("belongs_to", "supplier", "nation
     views="nodes_v edges_v",
 )
 def graph_seed_constraints(t: Tables) -> DataFrame:
-    """JN-17, DOM-12, DOM-21: triples of types against a table of rules."""
+    """JN-17: triples of types of the edges against a table of rules."""
     rules = F.broadcast(t.spark.createDataFrame(_RULES, "relation string, src_type string, tgt_type string").withColumn("ok", F.lit(True)))
     a, b = (t.nodes_v.select(F.col("node_id").alias(k), F.col("type_key").alias(f"{k}_type")) for k in ("src", "tgt"))
     counts = t.edges_v.join(a, "src").join(b, "tgt").groupBy("relation", "src_type", "tgt_type").agg(F.count("*").alias("edges"))
@@ -154,7 +199,7 @@ _NEAR_SQL = ", ".join(f"{{'distance': abs({f}(seq, {n}) OVER w - seq), 'side': {
     views="chunks_v",
 )
 def graph_context_neighbours(t: Tables) -> DataFrame:
-    """JN-18 to JN-20, WIN-14, DOM-11: two chunks before and two after, the nearest that fit into 1,300 characters with the chunk."""
+    """WIN-14, DOM-11: two chunks before and two after, the nearest that fit into 1,300 characters with the chunk."""
     w = Window.partitionBy("doc_id").orderBy("seq")
     near = [F.struct(F.abs(f("seq", n).over(w) - F.col("seq")).alias("distance"), F.lit(side).alias("side"), f("chunk_id", n).over(w).alias("chunk_id"), f(F.length("text"), n).over(w).alias("size")) for n in (1, 2) for side, f in enumerate((F.lag, F.lead))]
     rows = t.chunks_v.withColumns({"near": F.array(*near), "before_": F.lag("chunk_id").over(w), "after_": F.lead("chunk_id").over(w)})

@@ -188,6 +188,14 @@ def eval_utility_macro(t: Tables) -> DataFrame:
     return got.select("query_id", tx.micros(n, F.size("got")).alias("precision_micros"), (n > 0).alias("any_gold"), (n == F.size("got")).alias("complete"))
 
 
+@query("""WITH s AS (SELECT event_id // 30 AS run, ceil(value * 1000)::BIGINT AS micros FROM events WHERE event_id % 211 <> 5), g AS (SELECT run, count(*) AS n, list(micros ORDER BY micros) AS a FROM s GROUP BY run)
+    SELECT run, n, CASE WHEN n = 30 THEN a[15] END AS p50, CASE WHEN n = 30 THEN a[29] END AS p95, CASE WHEN n = 30 THEN a[30] END AS most FROM g""")
+def eval_latency_summary(t: Tables) -> DataFrame:
+    """AGG-16: runs of thirty samples; one that lacks a sample has no summary."""
+    samples = t.events.where("event_id % 211 <> 5").select(F.expr("event_id div 30").alias("run"), F.ceil(F.col("value") * 1000).cast("long").alias("micros"))
+    return ev.latency_summary(samples, "run")
+
+
 _CASES = "c AS (SELECT l_orderkey, (l_discount * 1000000)::BIGINT * 10 AS score, (l_tax * 1000000)::BIGINT * 5 AS margin, l_returnflag <> 'R' AS right_ FROM lineitem)"
 _GRID = f"{_CASES}, g AS (SELECT s AS min_score, m AS min_margin FROM (VALUES (200000), (500000), (800000)) a(s), (VALUES (0), (100000), (200000)) b(m)), x AS (SELECT min_score, min_margin, count(*) FILTER (score >= min_score AND margin >= min_margin) AS linked, count(*) FILTER (score >= min_score AND margin >= min_margin AND right_) AS right_, count(*) FILTER (score >= min_score AND margin >= min_margin AND NOT right_) AS wrong, count(*) FILTER (NOT (score >= min_score AND margin >= min_margin)) AS abstained FROM c, g GROUP BY ALL)"
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators import evaluation as ev
 from lodestone.operators import retrieval as rt
 from lodestone.plans.catalog import query
 from lodestone.sources.tables import Tables
@@ -105,6 +106,22 @@ def retrieval_hybrid_filtered(t: Tables) -> DataFrame:
     return rt.reciprocal_rank_fusion(rt.exact_topk(points, asked(t), 50), keyword).where("rank <= 20")
 
 
+@query(
+    f"""WITH {_HYBRID}, {_FUSE}, u AS (SELECT 'dense' AS run, query_id, id, rank FROM d WHERE rank <= 20 UNION ALL SELECT 'hybrid', query_id, id, rank FROM fr WHERE rank <= 20), g AS (SELECT u.*, a.label = b.label AND u.query_id <> u.id AS hit FROM u JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id),
+    h AS (SELECT run, query_id, min(rank) FILTER (hit) AS first_hit FROM g GROUP BY ALL) SELECT run, count(*) AS queries, round(avg((coalesce(first_hit <= 1, false))::INT), 9) AS hit_at_1, round(avg((coalesce(first_hit <= 3, false))::INT), 9) AS hit_at_3, round(avg((coalesce(first_hit <= 5, false))::INT), 9) AS hit_at_5, round(sum(coalesce(1.0::DOUBLE / first_hit, 0)) / count(*), 9) AS mrr FROM h GROUP BY run""",
+    views="docs_v",
+)
+def eval_control_runs(t: Tables) -> DataFrame:
+    """DOM-50: dense and hybrid retrieval over the same cases; a hit has the query's label and is not the query itself."""
+    dense = rt.exact_topk(t.embeddings, asked(t), 50)
+    hybrid = rt.reciprocal_rank_fusion(dense, rt.keyword_recall(keyword_docs(t), keyword_queries(t), 50))
+    runs = dense.select(F.lit("dense").alias("run"), "query_id", "id", "rank").unionByName(hybrid.select(F.lit("hybrid").alias("run"), "query_id", "id", "rank")).where("rank <= 20")
+    labels = t.embeddings.select("vec_id", "label")
+    told = runs.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id").join(labels.select(F.col("vec_id").alias("id"), "label"), "id")
+    first = told.groupBy("run", "query_id").agg(F.min(F.when((F.col("label") == F.col("wanted")) & (F.col("query_id") != F.col("id")), F.col("rank"))).alias("first_hit"))
+    return ev.hit_rates(first, by=["run"])
+
+
 _FILTERS = {
     "eq": ("=", "p_brand", "Brand#2", "p_brand = 'Brand#2'"),
     "ne": ("!=", "p_brand", "Brand#2", "p_brand IS DISTINCT FROM 'Brand#2'"),
