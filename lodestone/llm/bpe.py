@@ -13,7 +13,9 @@ characters, an end-of-word suffix and no decoder (decoding then joins token stri
 in the raw text, as the library does. Words between white space are independent of each other, so each is encoded once
 for as long as it stays among the last `CACHE` different words of a Python worker.
 
-Null and empty texts have no tokens; their digests are those of no bytes. Null ids are kept as they are.
+Null and empty texts have no tokens; their digests are those of no bytes. Null ids are kept as they are, and rows that
+repeat an id or a text are encoded each on their own. Very long texts, and words however long, are encoded in whole, in
+memory that grows with the text. An empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -273,7 +273,7 @@ def fit(docs: DataFrame, *, per_language: int = 300, most_documents: int = 20_00
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "words"])
 
     # about most_documents ids; the sample is as many * segments * RUN words at most
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(cut, "lang string, words binary").collect()
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).mapInArrow(cut, "lang string, words binary").collect()
     sample: list[tuple[str, list[bytes]]] = []
     held: dict[str, list[bytes]] = {}
     for lang, words_ in sorted((r[0], bytes(r[1])) for r in rows):

@@ -19,7 +19,7 @@ Texts are joined by id only after a filter that keeps the documents of a bitmap
 
 Groups are the components of the links, found by joins that pass the smallest id on.
 
-Null and empty texts, or of blanks only, have an empty set: they are linked with nothing and stand for themselves. Rows
+Null and empty texts, or texts of blanks only, have an empty set: they are linked with nothing and stand for themselves. Rows
 that repeat a doc_id are versions of one document: their links join one group. Null ids are left out of the links; component_id is then null and
 kept is true.
 """

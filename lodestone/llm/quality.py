@@ -14,6 +14,10 @@ bounded, documented samples of labelled rows. Every document is scored over all
 
 Null and empty texts have difference and density 0, and the score the calibration gives these, the share of good labels.
 If either label is missing or too rare for a dictionary, every score is the share of good labels (1 without labels).
+Null ids are scored and never learned from; rows that repeat an id are scored each by their own text, and the first one
+by order alone is learned from. Very long texts are
+compressed window by window. Equal texts have equal scores. An empty table gives an empty result; further columns,
+whatever their names, stay as they are and are never looked at.
 """
 
 from __future__ import annotations
@@ -117,7 +121,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, dictionary_b
         for label in (0, 1):
             part = known.where((F.col("use") == use) & (F.col("quality") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
             chosen = part if chosen is None else chosen.unionByName(part)
-    sample = common.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "quality-sample")  # 2 * (max_documents + max_calibration) ids at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * (max_documents + max_calibration) ids at most
+    sample = common.saved(rows.groupBy("doc_id", "quality", "use").agg(F.min("text").alias("text")), "quality-sample")  # an id has one row, however many the table has
     cut = sample.where("use = 0").select("doc_id", "quality", "text").mapInArrow(_windows, "doc_id long, quality int, k int, part binary")
     dictionaries = []
     for label in (1, 0):

@@ -10,7 +10,10 @@ The classifiers are linear over the presence of words, trained in numpy on the d
 (`max_positive`, `max_unlabelled` documents, `n_features` words); every document is then scored in whole on the executors.
 
 Null or empty texts and texts without a known word get the score of the bias alone. Null ids are scored and never learned from.
-An empty table gives an empty result. Without any positive every score is the prior.
+Rows that repeat an id are scored each by their own text, and the id's first text alone is learned from. Very long texts
+are read in whole, in runs of bytes. Of equally common words the one with the smaller hash becomes a feature first. An
+empty table gives an empty result; without any positive every score is the prior. Further columns, whatever their names,
+stay as they are and are never looked at.
 """
 
 from __future__ import annotations
@@ -90,7 +93,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive
     positive = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("is_p"))
     unlabelled = docs.select("doc_id").where(common.fold(F.col("doc_id"), folds) != held_out).orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("is_p")).distinct()
     chosen = F.broadcast(positive.unionByName(unlabelled))  # max_positive + max_unlabelled rows at most
-    sets = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "is_p", "text").mapInArrow(_word_sets, "doc_id long, is_p boolean, words array<bigint>")
+    once = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "is_p").agg(F.min("text").alias("text"))  # an id has one row, however many the table has
+    sets = once.mapInArrow(_word_sets, "doc_id long, is_p boolean, words array<bigint>")
     sets = common.saved(sets, "toxicity-sample")
     sizes = {r["is_p"]: r["count"] for r in sets.groupBy("is_p").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
