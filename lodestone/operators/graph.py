@@ -187,7 +187,7 @@ def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
     score = np.maximum(micros(2 * shared, n + m), micros(both, np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v]) - both))
     p, q = np.array([len(t) for t in a])[:, None], np.array([len(t) for t in b])
     inside = np.where((p > 0) & (q > 0), micros(np.minimum(p, q), np.maximum(p, q)), 0)
-    for i, j in zip(*np.nonzero((shared == np.minimum(n, m)) & (inside > score)), strict=True):  # one text holds all pairs of the other
+    for i, j in zip(*np.nonzero(((shared == np.minimum(n, m)) | (np.minimum(p, q) == 1)) & (inside > score)), strict=True):  # one text holds all pairs of the other, or is a single character
         if a[i] in b[j] or b[j] in a[i]:
             score[i, j] = inside[i, j]
     return score

@@ -72,3 +72,10 @@ def purged(rows: DataFrame, due: Column, columns: list[str], now: Column) -> Dat
 def before_revision(rows: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """rows that a delete-before-revision leaves: those at or after the key's target (a missing revision is before any)."""
     return rows.join(targets.select(key, F.col("revision").alias("_target")), key, "left").where(F.col("_target").isNull() | (F.coalesce("revision", F.lit(-1)) >= F.col("_target"))).drop("_target")
+
+
+def requeued(jobs: DataFrame, libraries: DataFrame, library: str) -> DataFrame:
+    """jobs with failed work of the given libraries waiting again, and whether it was requeued."""
+    chosen = libraries.select(library, F.lit(True).alias("_chosen"))
+    again = (F.col("status") == "failed") & F.col("_chosen").isNotNull()
+    return jobs.join(chosen, library, "left").withColumn("requeued", again).withColumn("status", F.when(F.col("requeued"), "pending").otherwise(F.col("status"))).drop("_chosen")

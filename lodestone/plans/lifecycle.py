@@ -193,10 +193,11 @@ def lifecycle_job_transitions(t: Tables) -> DataFrame:
     return t.jobs_v.select("event_id", "status", F.when((s == "failed") & (F.col("event_id") % 7 < 5), "pending").otherwise(s).alias("after_retry"), F.when(s.isin(*lc.LIVE), "superseded").otherwise(s).alias("after_cancel"))
 
 
-@query("SELECT user_id, count(*) FILTER (status = 'failed') AS requeued, count(*) AS jobs FROM jobs_v GROUP BY user_id", views="jobs_v")
+@query("SELECT event_id, user_id, CASE WHEN status = 'failed' AND user_id % 3 = 0 THEN 'pending' ELSE status END AS status, status = 'failed' AND user_id % 3 = 0 AS requeued FROM jobs_v", views="jobs_v")
 def lifecycle_requeue(t: Tables) -> DataFrame:
-    """DOM-54: failed work of each library."""
-    return t.jobs_v.groupBy("user_id").agg(F.count_if(F.col("status") == "failed").alias("requeued"), F.count("*").alias("jobs"))
+    """DOM-54: failed work of some libraries waits again, all other work stays as it is."""
+    libraries = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id")).unionByName(t.events.where("user_id % 3 = 0").select("user_id")).distinct()
+    return lc.requeued(t.jobs_v.select("event_id", "user_id", "status"), libraries, "user_id")
 
 
 @query("SELECT doc_id, count(*) AS chunks, min(chunk_id) AS first_chunk, max(source_end) AS last_end, sum(length(text))::BIGINT AS chars FROM chunks_v GROUP BY doc_id", views="chunks_v")
@@ -215,10 +216,14 @@ def evidence_source_window(t: Tables) -> DataFrame:
     return rows.select("chunk_id", F.substring("full", (begin + 1).cast("int"), size.cast("int")).alias("window_text"), (F.substring("full", (F.col("source_start") + 1).cast("int"), (F.col("source_end") - F.col("source_start")).cast("int")) == F.col("text")).alias("verified"))
 
 
-@query("SELECT user_id, arg_max(event_id, {'ts': ts, 'event_id': event_id}) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+@query("""WITH s AS (SELECT vec_id, label, 1 AS revision, embedding FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100, 2, embedding FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label + 200, 3, embedding FROM embeddings WHERE vec_id % 10 = 0)
+    SELECT vec_id, label, revision, len(embedding)::INT AS dimensions FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY revision DESC) AS n FROM s) WHERE n = 1""")
 def sink_embedding_upsert(t: Tables) -> DataFrame:
-    """SRC-15: the last writer of each key wins."""
-    return lc.newest(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"])
+    """SRC-15: points that are stored, and two batches of new and changed ones: the last revision of each id stays."""
+    e = t.embeddings
+    stored = e.where("vec_id % 3 <> 0").select("vec_id", "label", F.lit(1).alias("revision"), "embedding")
+    batches = [e.where(f"vec_id % {n} = 0").select("vec_id", (F.col("label") + more).alias("label"), F.lit(k).alias("revision"), "embedding") for k, n, more in ((2, 2, 100), (3, 10, 200))]
+    return lc.newest(stored.unionByName(batches[0]).unionByName(batches[1]), ["vec_id"], ["revision"]).select("vec_id", "label", "revision", F.size("embedding").alias("dimensions"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, coalesce(max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS highest_before FROM events")

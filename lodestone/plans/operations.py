@@ -245,7 +245,7 @@ def scan_json_props(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id // 1000 AS batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1")
 def scan_keyset_batches(t: Tables) -> DataFrame:
-    """SRC-23."""
+    """What batches of a thousand ids hold."""
     return t.documents.groupBy(F.expr("doc_id div 1000").alias("batch")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 

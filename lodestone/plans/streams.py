@@ -89,6 +89,15 @@ def stream_generation_fence(t: Tables) -> DataFrame:
     return ev.drained(ev.fenced(ev.stream(t.spark, t.sf_dir, "events"), "user_id", "event_id", "event_id"), "fence").select("user_id", "event_id", "current", "superseded")
 
 
+@query("SELECT doc_id, 1::BIGINT AS times FROM documents")
+def stream_resumed_backfill(t: Tables) -> DataFrame:
+    """SRC-23, STM-14: a backfill whose cursor is kept: run again over the same source it finds nothing new, and no document is done twice."""
+    folder = ev.shared(t.spark, "backfill")
+    for _ in range(2):
+        done = ev.drained(ev.stream(t.spark, t.sf_dir, "documents", files_per_batch=1).select("doc_id"), "backfill", folder=folder)
+    return done.groupBy("doc_id").agg(F.count("*").alias("times"))
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def ext_tumbling_counts(t: Tables) -> DataFrame:
     """Events in windows of six hours."""

@@ -46,23 +46,21 @@ def test_links_same_as_all_pairs(spark):
     names = [f"Customer#{k:09d}" for k in range(60)] + ["".join(rng.choice("ab é") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["red fox den", "fox", "x", "日本", "日本語", "aaaa", ""]
     entities = [(f"N{k % 100}", "cd"[k % 7 == 0], n) for k, n in enumerate(names)]  # some ids have two names
     texts = [n[:-1] for n in names[:60]] + [n.replace("#", " # ") for n in names[:60:7]] + [n[1:] for n in names[60:]] + ["den fox", "x y", "aaa", "nothing like it", None]
-    mentions = [(k, "cd"[k % 5 == 0], t) for k, t in enumerate(texts)]
+    mentions = [(k, ["c", "d", None][k % 5 - 2 if k % 5 > 2 else k % 5 == 0], t) for k, t in enumerate(texts)]
     m, e = spark.createDataFrame(mentions, "mention_id long, type_key string, text string"), spark.createDataFrame(entities, "node_id string, type_key string, name string")
     a, b = m.select("mention_id", "type_key", tx.graph_name(F.col("text")).alias("m")), e.select("node_id", "type_key", tx.graph_name(F.col("name")).alias("e"))
     scored: dict = {}
-    for r in a.join(b, "type_key").select("mention_id", "node_id", (F.col("m") == F.col("e")).alias("same"), tx.pair_score(F.col("m"), F.col("e")).alias("score")).collect():
+    for r in a.join(b.withColumnRenamed("type_key", "etype"), F.col("type_key").isNull() | (F.col("type_key") == F.col("etype"))).where("m <> '' AND e <> ''").select("mention_id", "node_id", "e", (F.col("m") == F.col("e")).alias("same"), tx.pair_score(F.col("m"), F.col("e")).alias("score")).collect():
         scored.setdefault(r.mention_id, []).append(r)
     want = {}
     for k, *_ in mentions:
         rows = scored.get(k, [])
-        if any(r.same for r in rows):
-            best = {r.node_id: 1_000_000 for r in rows if r.same}
-        else:
-            best = {}
-            for r in rows:
-                if r.score is not None and r.score >= 500_000:
-                    best[r.node_id] = max(r.score, best.get(r.node_id, 0))
-        top = sorted((-s, n) for n, s in best.items())[:10]
+        best: dict = {}
+        for r in rows:
+            score = 1_000_000 if r.same else 0 if any(x.same for x in rows) else r.score
+            if score >= 500_000:
+                best[r.node_id] = min((-score, r.e), best.get(r.node_id, (0, "")))
+        top = [(s, n) for (s, _), n in sorted((x, n) for n, x in best.items())[:10]]
         if not top:
             want[k] = ("not_found", None, None, None, 0)
             continue
