@@ -251,13 +251,13 @@ def crf_fit(emission_rows: list[np.ndarray], sequences: np.ndarray, truth: np.nd
 def fit(docs: DataFrame, *, per_language: int = 300, most_documents: int = 20_000, segments: int = 40, max_lexicon: int = 4096, folds: int = 4, held_out: int = 2) -> LanguageModel:
     usable = docs.where(F.col("lang").isNotNull() & F.coalesce(common.fold(F.col("doc_id"), folds) != held_out, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = usable.groupBy("lang").count()
-    languages = [r[0] for r in counts.orderBy(F.desc("count"), "lang").collect()]  # the distinct languages
+    languages = [r[0] for r in counts.orderBy(F.desc("count"), "lang").collect()]  # the distinct languages, which the model has a column for each of
     if not languages:
         return LanguageModel([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
     per_language = max(1, min(per_language, most_documents // len(languages)))
     # a language's documents with the least hashes: those of twice as many by expectation first, then these in order
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    few = usable.select("doc_id", "lang", place.alias("place")).join(counts, "lang").where(F.col("place") < F.lit(float(1 << 40) * (2 * per_language + 20)) / F.col("count"))
+    few = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").where(F.col("place") < F.lit(float(1 << 40) * (2 * per_language + 20)) / F.col("count"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
 

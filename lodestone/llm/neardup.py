@@ -170,8 +170,8 @@ def _crowd_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) ->
     posted = ordered.withColumn("room", room.cast("int")).where("room > 0").select("rep", "component", "n", alone.alias("alone"), F.posexplode(F.slice("of", F.lit(1), F.col("room"))).alias("nth", "x"))
     posted = posted.select(F.col("x.shingle").alias("shingle"), "rep", "component", "n", (F.col("n") - F.col("alone") - F.col("nth")).alias("left"))
     posted = common.saved(posted.where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100))), "crowd")  # no partner can be smaller
-    heads = posted.groupBy("shingle").agg(F.max_by("component", F.struct("left", "rep")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("shingle", "head", "blocks")
-    lists = posted.join(heads, "shingle")
+    heads = posted.groupBy("shingle").agg(F.max_by("component", F.struct("left", "rep")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("shingle", "head", "blocks", "members")
+    lists = common.join_spread(posted, heads, "shingle", "members").where("head IS NOT NULL")
     # a long list is dealt into blocks, each of which meets the whole list
     one = lists.where("component <> head").select("shingle", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("left").alias("lp"))
     two = lists.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("left").alias("lq"), (F.col("component") == F.col("head")).alias("of_head"))

@@ -170,7 +170,7 @@ def write(pages: DataFrame, folder: str, *, shards: int | None = None, shard_byt
             yield pa.RecordBatch.from_pylist([x], schema=manifest)
 
     manifest = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
-    dealt = rows.withColumn("shard", shard_of(F.coalesce("key", F.lit(NO_KEY)), "digest")).repartitionByRange(len(starts) + 1, "shard")
+    dealt = rows.withColumn("shard", shard_of(F.coalesce("key", F.lit(NO_KEY)), "digest")).repartitionByRange(4 * (len(starts) + 1), "shard")  # more ranges than shards, so that no two are drawn together
     dealt.sortWithinPartitions("shard", "key", "digest", "kind", "url").select("shard", "key", "digest", "kind", "first", "url", "payload").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -199,7 +199,7 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
                 yield _batch(rows)
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "sha256")
-    return files.repartition(max(1, files.count())).mapInArrow(run, RECORD)  # a task for each file
+    return files.repartitionByRange(4 * max(1, files.count()), "file").mapInArrow(run, RECORD)  # a task for each file
 
 
 def _number(urn: str) -> int | None:
