@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import itertools
 import struct
 
@@ -51,6 +53,26 @@ def test_warc_same_bytes_however_the_rows_lie(spark, tmp_path):
     assert not list((tmp_path / "p1" / "data").glob(".*.tmp"))
 
 
+def test_warc_with_one_key_over_and_over(spark, tmp_path):
+    """Over half of the rows have one key, others none; long payloads; further columns. Every record has a name of its own, and no shard all rows."""
+    rows = [(5, "u", f"text {k} " * 40) for k in range(120)] + [(5, "u", "same " * 40)] * 3 + [(None, None, f"none {k}" * 30) for k in range(40)] + [(k, "v", "long " * 2_000 if k == 7 else f"{k}") for k in range(6, 40)]
+    pages = spark.createDataFrame(rows, "key long, url string, payload string").repartition(5)
+    for name in CLASHING:
+        if name not in pages.columns and name != "payload":
+            pages = pages.withColumn(name, F.lit("clash"))
+    folder = f"file://{tmp_path}/hot"
+    manifest = warc.write(pages.select("key", "url", "payload", *[c for c in pages.columns if c not in ("key", "url", "payload")]), folder, shards=8, roll_bytes=1 << 20).collect()
+    assert len({r["shard"] for r in manifest}) >= 4
+    back = warc.read(spark, folder).collect()
+    assert sorted((str(r["key"]), r["payload_digest"]) for r in back) == sorted((str(k), hashlib.sha256(p.encode()).hexdigest()) for k, _, p in rows)
+    assert sum(r["record_type"] == "revisit" for r in back) == 2
+    names = []
+    for r in manifest:
+        with gzip.open(tmp_path / "hot" / r["file"]) as f:
+            names += [x["warc-record-id"] for x in warc.parse(io.BufferedReader(f))]
+    assert len(names) == len(set(names)) == len(rows)
+
+
 def test_warc_notices_damage(spark, tmp_path):
     folder, manifest = archive(spark, [(1, "u", "payload")], tmp_path, "d", shards=1)
     path = tmp_path / "d" / manifest.first()["file"]
