@@ -46,8 +46,6 @@ def drop(*tables: DataFrame) -> None:
         _, path = _paths.pop(id(df))
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-    if tables:  # lets Spark's cleaner find the shuffles that nothing refers to any more
-        tables[0].sparkSession._jvm.System.gc()
 
 
 BITS = 1 << 26
