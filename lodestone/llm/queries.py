@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, images, langid, lm, neardup, neighbours, packing, quality, toxicity, warc
+from lodestone.llm import bpe, exact, images, infill, langid, lm, neardup, negatives, neighbours, packing, quality, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -49,6 +49,19 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.copies(images.render(table(spark, sf_dir, "pages")))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def vocabulary(name: str) -> str:
     """Place of a file of the installed package of public tokenizers, on the driver and the executors alike."""
     import public_tokenizers
@@ -56,7 +69,7 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op7_nearest, op8_language_id, op9_lm_scoring, op10_image_copies)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_minhash_near_dedup, op4_bpe, op5_quality, op6_packing, op7_nearest, op8_language_id, op9_lm_scoring, op10_image_copies, op11_exact_dedup, op12_fill_in_middle, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -65,4 +78,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND smallest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND smallest <> page_id THEN smallest END AS refers_to
         FROM f""",
+    "op11_exact_dedup": """
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+        FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units, sha256('7:' || doc_id) AS hex FROM documents),
+             h AS (SELECT doc_id, text, units, len(units) AS n, [CAST('0x' || substr(hex, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS h FROM d),
+             c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+             p AS (SELECT doc_id, n, form, text, coalesce(list_aggregate(units[1:a], 'string_agg', ''), '') AS prefix, coalesce(list_aggregate(units[a + 1:b], 'string_agg', ''), '') AS middle, coalesce(list_aggregate(units[b + 1:n], 'string_agg', ''), '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+             p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5""",
 }
