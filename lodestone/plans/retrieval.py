@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import evaluation as ev
 from lodestone.operators import retrieval as rt
+from lodestone.operators import similarity as sim
 from lodestone.plans.catalog import query
 from lodestone.sources.tables import Tables
 
@@ -80,6 +81,12 @@ def retrieval_keyword_tokens(t: Tables) -> DataFrame:
     return rt.keyword_recall(keyword_docs(t), keyword_queries(t), 50)
 
 
+@query()
+def retrieval_word_similarity(t: Tables) -> DataFrame:
+    """STR-11, FLT-22: the first path of keyword recall, over chunks with the title and external id of their document."""
+    return sim.similar_words(t.chunks_of(t.docs_v, "title", "external_id").select(F.col("chunk_id").alias("id"), "text", "title", "external_id"), keyword_queries(t), 50)
+
+
 _HYBRID = f"""{_KEYWORD}, {_DENSE}, dr AS (SELECT *, {_RANKED} AS rank FROM s), d AS (SELECT * FROM dr WHERE rank <= 50), kk AS (SELECT * FROM kr WHERE rank <= 50)"""
 _FUSE = """f AS (SELECT coalesce(d.query_id, kk.query_id) AS query_id, coalesce(d.id, kk.id) AS id, d.rank AS dense_rank, d.score AS dense_score, kk.rank AS keyword_rank,
         round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + kk.rank), 0), 12) AS score FROM d FULL JOIN kk ON d.query_id = kk.query_id AND d.id = kk.id),

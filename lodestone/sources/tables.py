@@ -47,12 +47,16 @@ class Tables:
 
     @cached_property
     def chunks_v(self) -> DataFrame:
+        return self.chunks_of(self.documents)
+
+    def chunks_of(self, docs: DataFrame, *more: str) -> DataFrame:
+        """The chunks of documents, with more of their columns."""
         n = F.expr(f"(length(text) + {CHUNK - 1}) div {CHUNK}")
         seqs = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-        rows = self.documents.withColumn("seq", F.explode(seqs))
+        rows = docs.withColumn("seq", F.explode(seqs))
         return rows.select(
             "doc_id", "seq", (F.col("doc_id") * 1000000 + F.col("seq")).alias("chunk_id"), "source",
-            F.expr(f"substring(text, cast(1 + {CHUNK} * seq as int), {CHUNK})").alias("text"), (F.col("seq") * CHUNK).alias("source_start"), F.least(F.col("seq") * CHUNK + CHUNK, F.length("text").cast("long")).alias("source_end"),
+            F.expr(f"substring(text, cast(1 + {CHUNK} * seq as int), {CHUNK})").alias("text"), (F.col("seq") * CHUNK).alias("source_start"), F.least(F.col("seq") * CHUNK + CHUNK, F.length("text").cast("long")).alias("source_end"), *more,
         )
 
     @cached_property

@@ -6,7 +6,6 @@ folder of its own, so that a batch that is run again replaces itself.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import types as T
 
 from lodestone.operators import lifecycle
+from lodestone.sources.shared import shared
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -27,12 +27,6 @@ def stream(spark: SparkSession, sf_dir: str, name: str, *, files_per_batch: int
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern: the source takes folders and patterns, and this one matches the table alone
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all of the cluster sees; where none is named, one in the warehouse."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{place.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
 def drained(df: DataFrame, name: str, mode: str = "append", *, folder: str | None = None) -> DataFrame:
     """The rows that a stream writes until its source is read, and `batch`, the number of the batch."""
     spark = df.sparkSession
