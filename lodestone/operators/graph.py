@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores
 from lodestone.functions import text as tx
+from lodestone.operators.candidates import lexical_candidates
 
 
 def entity_candidates(occurrences: DataFrame, key: str) -> DataFrame:
@@ -149,93 +146,11 @@ def hydrated(relations: DataFrame, evidence: DataFrame, cap: int = 20) -> DataFr
     return relations.join(first.select("src", "tgt", "pos", "evidence_id"), ["src", "tgt"], "left")
 
 
-def _shared(a: list[set], b: list[set]) -> np.ndarray:
-    """How many members each of the sets a shares with each of b."""
-    number = {x: i for i, x in enumerate(set().union(*a) & set().union(*b))}
-    places = [np.array([(k, number[x]) for k, s in enumerate(side) for x in s if x in number], np.int64).reshape(-1, 2) for side in (a, b)]
-    out = np.zeros((len(a), len(b)), np.float32)
-    for first in range(0, len(number), 2048):
-        parts = []
-        for side, at in zip((a, b), places, strict=True):
-            at = at[(at[:, 1] >= first) & (at[:, 1] < first + 2048)]
-            parts.append(np.zeros((len(side), 2048), np.float32))
-            parts[-1][at[:, 0], at[:, 1] - first] = 1
-        out += parts[0] @ parts[1].T
-    return out.astype(np.int64)
-
-
-def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
-    """The text functions' pair_score of each of a with each of b."""
-
-    def bigrams(x: str) -> set:
-        if len(x) == 1:
-            return {(x, 1)}
-        seen: Counter = Counter()
-        out = set()
-        for i in range(len(x) - 1):
-            seen[x[i : i + 2]] += 1
-            out.add((x[i : i + 2], seen[x[i : i + 2]]))
-        return out
-
-    def micros(n: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return np.where(d == 0, 0, (2 * n * 1_000_000 + d) // np.maximum(1, 2 * d))
-
-    x, y = [bigrams(t) for t in a], [bigrams(t) for t in b]
-    n, m, shared = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y]), _shared(x, y)
-    u, v = [set(t.split(" ")) - {""} for t in a], [set(t.split(" ")) - {""} for t in b]
-    both = _shared(u, v)
-    score = np.maximum(micros(2 * shared, n + m), micros(both, np.array([len(s) for s in u])[:, None] + np.array([len(s) for s in v]) - both))
-    p, q = np.array([len(t) for t in a])[:, None], np.array([len(t) for t in b])
-    inside = np.where((p > 0) & (q > 0), micros(np.minimum(p, q), np.maximum(p, q)), 0)
-    for i, j in zip(*np.nonzero(((shared == np.minimum(n, m)) | (np.minimum(p, q) == 1)) & (inside > score)), strict=True):  # one text holds all pairs of the other, or is a single character
-        if a[i] in b[j] or b[j] in a[i]:
-            score[i, j] = inside[i, j]
-    return score
-
-
-def lexical_candidates(texts: DataFrame, entities: DataFrame, *, floor: int, most: int, block: int = 1024) -> DataFrame:
-    """scope, m, node_id, etype, e, score: the `most` best entities of each text's scope that score `floor` or more. texts: distinct scope, m; entities: scope, node_id, etype, e.
-
-    All are scored against all of their scope, blocks of texts against blocks of entities; each pair of blocks sends on its
-    own best, in the order of score, type, name and id.
-    """
-
-    def best(asked: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.sort_by([(c, "ascending") for c in ("etype", "e", "node_id")]).select(["node_id", "etype", "e"]).combine_chunks()
-        asked = asked.select(["scope", "m"])
-        i = j = score = np.zeros(0, np.int64)
-        if asked.num_rows and known.num_rows:
-            found = pair_scores(asked["m"].to_pylist(), known["e"].to_pylist())
-            number = known["node_id"].combine_chunks().dictionary_encode().indices.to_numpy()
-            for n in np.flatnonzero(np.bincount(number) > 1):  # of several names of one entity the best counts
-                own = np.flatnonzero(number == n)
-                rest = np.ones((len(found), len(own)), bool)
-                np.put_along_axis(rest, found[:, own].argmax(axis=1)[:, None], False, 1)
-                found[:, own] = np.where(rest, -1, found[:, own])
-            order = np.argsort(-found, axis=1, kind="stable")[:, :most]
-            score = np.take_along_axis(found, order, 1).ravel()
-            i, j = np.repeat(np.arange(len(order)), order.shape[1])[score >= floor], order.ravel()[score >= floor]
-            score = score[score >= floor]
-        out = asked.take(pa.array(i))
-        for name in ("node_id", "etype", "e"):
-            out = out.append_column(name, known[name].take(pa.array(j)))
-        return out.append_column("score", pa.array(score, pa.int64()))
-
-    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = blocks(texts, "tn").join(blocks(entities, "en"), "scope")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = texts.join(sizes, "scope").select("scope", F.pmod(F.xxhash64("m"), F.col("tn")).cast("int").alias("t"), every("en").alias("n"), "m")
-    known = entities.join(sizes, "scope").select("scope", every("tn").alias("t"), F.pmod(F.xxhash64("node_id", "e"), F.col("en")).cast("int").alias("n"), "node_id", "etype", "e")
-    key = ["scope", "t", "n"]
-    kind = entities.schema["node_id"].dataType.simpleString()
-    return asked.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(best, f"scope string, m string, node_id {kind}, etype string, e string, score long")
-
-
 def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500_000, margin: int = 50_000, least: int = 800_000, most: int = 10, block: int = 1024) -> DataFrame:
     """mention_id, status (linked, ambiguous, not_found), selected, score, margin, n_candidates (`most` at most).
 
-    Equal normal forms are exact matches: one is linked, several are ambiguous. Other mentions are scored against all
-    entities of their type, or of all types if they have none, and the greatest lexical similarity decides. Candidates stand
+    Equal normal forms are exact matches: one is linked, several are ambiguous. Of other mentions the best candidates among
+    all entities of their type, or of all types if they have none, are sought, and the greatest lexical similarity decides. Candidates stand
     in the order of score, type, name and id. A mention whose normal form is empty is not found.
     """
     m = mentions.select("mention_id", F.coalesce(F.concat(F.lit("="), "type_key"), F.lit("")).alias("scope"), tx.graph_name(F.col("text")).alias("m"))
