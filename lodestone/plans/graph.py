@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scores
 from lodestone.functions import text as tx
+from lodestone.operators import cases as cs
 from lodestone.operators import graph as gr
 from lodestone.operators import ontology
 from lodestone.plans.catalog import query
@@ -444,13 +445,61 @@ def graph_route_relation(t: Tables) -> DataFrame:
     return _flagged(t).select("l_orderkey", "l_linenumber", status.alias("status"), reason.alias("reason"))
 
 
-@query("SELECT mention_id, list_filter([CASE WHEN text = name THEN 'exact' END, CASE WHEN text <> name AND lower(trim(text)) = lower(name) THEN 'case_whitespace' END, CASE WHEN starts_with(name, text) AND text <> name THEN 'suffix_omission' END], lambda x: x IS NOT NULL) AS categories FROM mentions_v JOIN nodes_v ON node_id = gold", views="mentions_v nodes_v")
+_CASE_NAMES = "SELECT p_partkey AS k, 'P' || p_partkey AS node_id, p_type AS type_key, p_size <= 45 AS published, p_name, p_brand, CASE WHEN p_partkey % 8 = 0 THEN p_name || ' line' ELSE p_name || ' ' || p_brand || ' ' || p_partkey END AS name FROM part"
+_CASE_MENTIONS = """SELECT k AS mention_id, k // 2 AS case_id, CASE k % 11 WHEN 1 THEN '  ' || upper(name) WHEN 2 THEN left(name, length(name) - 4) WHEN 3 THEN array_to_string([left(w, 1) FOR w IN string_split(name, ' ')], '') WHEN 4 THEN array_to_string(list_reverse(string_split(name, ' ')), ' ')
+        WHEN 5 THEN name || ' x9' WHEN 7 THEN p_name || ' ' || p_brand WHEN 9 THEN 'zq ' || k WHEN 10 THEN regexp_replace(name, '[aeiou]', '', 'g') ELSE name END AS text, CASE WHEN k % 11 IN (6, 7) THEN NULL ELSE type_key END AS type_key,
+        CASE WHEN k % 11 IN (5, 8, 9) THEN 'unlinkable' WHEN k % 11 IN (6, 7) THEN 'ambiguous' ELSE 'linkable' END AS status, CASE WHEN k % 11 NOT IN (5, 6, 7, 8, 9) THEN node_id END AS gold, k % 11 IN (0, 1) AND k % 8 <> 0 AND published AS exact_control, CASE WHEN k % 11 = 8 THEN [node_id] ELSE [] END AS negatives,
+        CASE WHEN k % 11 = 6 THEN (SELECT list(o.node_id ORDER BY o.type_key, o.node_id) FROM n o WHERE o.published AND o.name = n.name) WHEN k % 11 = 7 THEN (SELECT list(o.node_id ORDER BY o.type_key, o.name, o.node_id) FROM n o WHERE o.published AND o.k % 8 <> 0 AND o.p_name = n.p_name AND o.p_brand = n.p_brand
+            AND length(o.node_id) = (SELECT min(length(x.node_id)) FROM n x WHERE x.published AND x.k % 8 <> 0 AND x.p_name = n.p_name AND x.p_brand = n.p_brand)) END AS listed FROM n"""
+
+
+def _case_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as entities (those up to size 45 are published), a mention of each, made in one of eleven ways, and cases of two mentions."""
+    k, name = F.col("p_partkey"), F.when(F.col("p_partkey") % 8 == 0, F.concat("p_name", F.lit(" line"))).otherwise(F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string")))
+    n = t.part.select(k.alias("k"), F.concat(F.lit("P"), k.cast("string")).alias("node_id"), F.col("p_type").alias("type_key"), (F.col("p_size") <= 45).alias("published"), "p_name", "p_brand", name.alias("name"))
+    own, at, words = F.col("name"), F.col("k") % 11, F.split("name", " ")
+    ways = {1: F.concat(F.lit("  "), F.upper(own)), 2: F.left(own, F.length(own) - 4), 3: F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), ""), 4: F.array_join(F.reverse(words), " "), 5: F.concat(own, F.lit(" x9")), 7: F.concat_ws(" ", "p_name", "p_brand"), 9: F.concat(F.lit("zq "), F.col("k").cast("string")), 10: F.regexp_replace(own, "[aeiou]", "")}
+    text = own
+    for way, made in ways.items():
+        text = F.when(at == way, made).otherwise(text)
+    live = n.where("published")
+    ids = lambda rows, *order: F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["node_id"])
+    alike = live.groupBy("name").agg(ids(live, "type_key", "node_id").alias("same"))
+    least = live.where("k % 8 <> 0").withColumn("size", F.length("node_id")).withColumn("least", F.min("size").over(Window.partitionBy("p_name", "p_brand"))).where("size = least")
+    short = least.groupBy("p_name", "p_brand").agg(ids(least, "type_key", "name", "node_id").alias("short"))
+    m = n.join(alike, "name", "left").join(short, ["p_name", "p_brand"], "left").select(
+        F.col("k").alias("mention_id"), F.expr("k div 2").alias("case_id"), text.alias("text"), F.when(~at.isin(6, 7), F.col("type_key")).alias("type_key"), F.when(at.isin(5, 8, 9), "unlinkable").when(at.isin(6, 7), "ambiguous").otherwise("linkable").alias("status"),
+        F.when(~at.isin(5, 6, 7, 8, 9), F.col("node_id")).alias("gold"), (at.isin(0, 1) & (F.col("k") % 8 != 0) & F.col("published")).alias("exact_control"), F.when(at == 8, F.array("node_id")).alias("negatives"), F.when(at == 6, F.col("same")).when(at == 7, F.col("short")).alias("listed"),
+    )
+    return m, n, live.select("node_id")
+
+
+@query(
+    f"""WITH n AS ({_CASE_NAMES}), m AS (SELECT *, {_NORM.format('text')} AS form FROM ({_CASE_MENTIONS})), e AS (SELECT *, {_NORM.format('name')} AS form FROM n WHERE published),
+    x AS (SELECT m.mention_id, count(e.k) AS n_same, count(DISTINCT e.type_key) AS n_types, list(e.node_id ORDER BY e.type_key, e.node_id) FILTER (e.k IS NOT NULL) AS same FROM m LEFT JOIN e ON e.form = m.form AND (m.type_key IS NULL OR m.type_key = e.type_key) GROUP BY 1),
+    w AS (SELECT m.* FROM m JOIN x USING (mention_id) WHERE n_same = 0 AND status IN ('unlinkable', 'ambiguous')), mg AS ({_GRAMS.format(key='mention_id', table='w')}), eg AS ({_GRAMS.format(key='node_id', table='e')}),
+    sh AS (SELECT mention_id, node_id, sum(least(mg.c, eg.c)) AS shared FROM mg JOIN eg USING (g) GROUP BY ALL),
+    p AS (SELECT w.mention_id, e.node_id, e.type_key, w.form AS x, e.form AS y, coalesce(shared, 0) AS shared, greatest(1, length(w.form) - 1) + greatest(1, length(e.form) - 1) AS grams, list_distinct(string_split(w.form, ' ')) AS u, list_distinct(string_split(e.form, ' ')) AS v FROM w JOIN e ON w.type_key IS NULL OR w.type_key = e.type_key LEFT JOIN sh USING (mention_id, node_id)),
+    b AS (SELECT *, len(list_intersect(u, v)) AS both_ FROM p),
+    r AS (SELECT mention_id, node_id, type_key, y, greatest((2 * (2 * shared) * 1000000 + grams) // (2 * grams), (2 * both_ * 1000000 + len(u) + len(v) - both_) // (2 * (len(u) + len(v) - both_)), CASE WHEN contains(x, y) OR contains(y, x) THEN (2 * least(length(x), length(y)) * 1000000 + greatest(length(x), length(y))) // (2 * greatest(length(x), length(y))) ELSE 0 END) AS score FROM b),
+    s AS (SELECT mention_id, count(*) AS n_presented, list(node_id ORDER BY type_key, y, node_id) FILTER (score = top) AS tied FROM (SELECT *, max(score) OVER (PARTITION BY mention_id) AS top FROM r WHERE score >= 500000) GROUP BY 1),
+    f AS (SELECT m.*, n_same, n_types, same, coalesce(n_presented, 0) AS n_presented, tied, g.name AS gold_name, coalesce({_NORM.format('g.name')}, '') AS canonical, replace(m.form, ' ', '') AS mine, coalesce(replace({_NORM.format('g.name')}, ' ', ''), '') AS theirs, string_split(m.form, ' ') AS mw, string_split({_NORM.format('g.name')}, ' ') AS cw, o.published AS negative_there
+        FROM m JOIN x USING (mention_id) LEFT JOIN s USING (mention_id) LEFT JOIN n g ON g.node_id = m.gold LEFT JOIN n o ON len(m.negatives) > 0 AND o.node_id = m.negatives[1]),
+    a AS (SELECT *, status = 'linkable' AND n_same = 1 AND same[1] = gold AND form = canonical AS exact, status = 'linkable' AND n_same = 0 AND form <> canonical AND length(form) >= 2 AND length(form) < length(canonical) AND (starts_with(canonical, form) OR ends_with(canonical, form)) AS prefix,
+        len(cw) >= 2 AND mine = array_to_string([left(z, 1) FOR z IN cw], '') AS initials, length(mine) >= 2 AND length(mine) < length(theirs) AND NOT contains(theirs, mine) AND 4 * length(mine) <= 3 * length(theirs) AND regexp_matches(theirs, array_to_string([regexp_escape(z) FOR z IN string_split(mine, '')], '.*')) AS shortened FROM f),
+    c AS (SELECT *, status = 'linkable' AND n_same = 0 AND NOT prefix AND (initials OR shortened) AS abbreviated FROM a),
+    l AS (SELECT mention_id, case_id, [coalesce(exact, false), coalesce(exact AND text <> gold_name, false), prefix, coalesce(abbreviated, false), coalesce(status = 'linkable' AND n_same = 0 AND NOT prefix AND NOT abbreviated AND len(mw) >= 2 AND len(cw) >= 2 AND list_sort(mw) = list_sort(cw) AND mw <> cw, false),
+        status = 'unlinkable' AND n_same = 0 AND n_presented > 0 AND len(negatives) = 0, coalesce(status = 'ambiguous' AND n_same = 0 AND len(tied) >= 2 AND tied = listed, false), status = 'ambiguous' AND type_key IS NULL AND n_same >= 2 AND n_types >= 2, status = 'unlinkable' AND len(negatives) > 0, status = 'unlinkable' AND n_same = 0 AND n_presented = 0] AS flags,
+        CASE WHEN exact_control <> coalesce(exact, false) THEN 'exact control mismatch' WHEN status = 'ambiguous' AND type_key IS NULL AND n_same >= 2 AND n_types >= 2 AND same <> listed THEN 'ambiguity order mismatch' WHEN status = 'unlinkable' AND negative_there THEN 'invalid cross-scope negative' END AS problem FROM c),
+    h AS (SELECT case_id, unnest(flags) AS flag, generate_subscripts(flags, 1) AS nr FROM l UNION ALL SELECT DISTINCT k // 2, true, 11 + (k // 2) % 2 FROM n),
+    t AS (SELECT case_id, list({list(cs.CATEGORIES)}[nr] ORDER BY nr) AS categories FROM (SELECT case_id, nr FROM h GROUP BY ALL HAVING bool_or(flag)) GROUP BY 1),
+    o AS (SELECT case_id, coalesce(list(DISTINCT problem ORDER BY problem) FILTER (problem IS NOT NULL), []) AS problems FROM l GROUP BY 1) SELECT case_id, categories, problems FROM t JOIN o USING (case_id)"""
+)
 def link_case_categories(t: Tables) -> DataFrame:
-    """DOM-49."""
-    rows = t.mentions_v.join(t.nodes_v.select(F.col("node_id").alias("gold"), "name"), "gold")
-    x, n = F.col("text"), F.col("name")
-    tags = scores.reasons((x == n, "exact"), ((x != n) & (F.lower(F.trim(x)) == F.lower(n)), "case_whitespace"), (F.startswith(n, x) & (x != n), "suffix_omission"))
-    return rows.select("mention_id", tags.alias("categories"))
+    """DOM-49: all categories in their order, and what in the declarations contradicts the entities."""
+    mentions, entities, published = _case_tables(t)
+    cases = t.part.select(F.expr("p_partkey div 2").alias("case_id")).distinct().withColumn("hop", F.col("case_id") % 2 + 1)
+    return cs.case_categories(mentions, entities.select("node_id", "type_key", "name"), published, cases)
 
 
 @query("SELECT node_id, type_key, name, count(*) OVER (PARTITION BY type_key, lower(name)) AS same_name FROM nodes_v", views="nodes_v")
