@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking
 from lodestone.plans.catalog import query
-from lodestone.sources.tables import Tables
+from lodestone.sources.shared import shared
+from lodestone.sources.tables import Tables, keyed
 from lodestone.streaming import events as ev
+from lodestone.streaming import replay as rp
 
 
 @query()
@@ -92,12 +96,71 @@ def stream_generation_fence(t: Tables) -> DataFrame:
 @query("SELECT doc_id, 1::BIGINT AS times FROM documents")
 def stream_resumed_backfill(t: Tables) -> DataFrame:
     """SRC-23, STM-14: a backfill whose cursor is kept: run again over the same source it finds nothing new, and no document is done twice."""
-    folder = ev.shared(t.spark, "backfill")
+    folder = shared(t.spark, "backfill")
     for _ in range(2):
         done = ev.drained(ev.stream(t.spark, t.sf_dir, "documents", files_per_batch=1).select("doc_id"), "backfill", folder=folder)
     return done.groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
+_ENDS = """b AS (SELECT l_orderkey AS unit, l_linenumber AS ordinal, l_partkey * 1000000 + l_suppkey AS seq, 'S' || l_suppkey AS source, 'S' || (l_suppkey + 1) AS other, 'P' || l_partkey AS target FROM lineitem),
+    f AS (SELECT unit, ordinal, arg_min(source, seq) AS held_source, arg_min(target, seq) AS held_target FROM b GROUP BY ALL),
+    d AS (SELECT 0 AS batch, unit, ordinal, seq, source, target FROM b UNION ALL SELECT n, unit, ordinal, seq, CASE WHEN unit % 5 = 0 THEN other ELSE source END, target FROM b, (VALUES (2), (3)) v(n)),
+    x AS (SELECT d.*, held_source, held_target, unit % 7 = 0 AND batch > 0 AS gone, source = held_source AND target = held_target AS same, row_number() OVER (PARTITION BY unit, ordinal ORDER BY batch, seq) AS nth FROM d JOIN f USING (unit, ordinal)),
+    o AS (SELECT *, CASE WHEN gone THEN 'error_purged' WHEN nth = 1 THEN 'created' WHEN same THEN 'replayed' WHEN row_number() OVER (PARTITION BY unit, ordinal, gone OR same, source, target ORDER BY batch, seq) = 1 THEN 'conflict_opened' ELSE 'conflict_known' END AS outcome FROM x)"""
+
+
+def _delivered(t: Tables, name: str, deliveries: list[DataFrame], run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The rows of a stream that is stopped after each delivery, and taken up where it was when the next one has come."""
+    folder = shared(t.spark, name)
+    for n, rows in enumerate(deliveries):
+        rows.write.parquet(f"{folder}/in/{n}")
+        out = ev.drained(run(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")), name, mode, folder=folder)
+    return out
+
+
+def _replays(t: Tables) -> DataFrame:
+    """Lines of orders as relations: all of them, purges of every seventh order, and all again twice, with another supplier in every fifth order."""
+    line = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("ordinal"), F.lit("occurrence").alias("kind"), keyed("S", "l_suppkey").alias("source"), keyed("P", "l_partkey").alias("target"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"), "l_suppkey")
+    changed = line.withColumn("source", F.when(F.col("unit") % 5 == 0, F.concat(F.lit("S"), (F.col("l_suppkey") + 1).cast("string"))).otherwise(F.col("source"))).drop("l_suppkey")
+    purges = line.where("unit % 7 = 0").select("unit", "ordinal", F.lit("purge").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0).cast("long").alias("seq")).distinct()
+    return _delivered(t, "replay", [line.drop("l_suppkey"), purges, changed, changed], rp.replayed)
+
+
+@query(f"WITH {_ENDS} SELECT batch, unit, ordinal, seq, source, target, outcome, held_source, held_target FROM o UNION ALL SELECT 1, unit, ordinal, 0, NULL, NULL, 'purged', held_source, held_target FROM f WHERE unit % 7 = 0")
+def stream_endpoint_replay(t: Tables) -> DataFrame:
+    """DOM-14: a replay of equal ends is nothing new, other ends are a conflict, and nothing comes for what was purged."""
+    return _replays(t)
+
+
+_HASHED = "sha256('\"' || {} || '\"')"
+
+
+@query(
+    f"""WITH {_ENDS}, c AS (SELECT unit, ordinal, [x FOR x IN [CASE WHEN source <> held_source THEN {{'field': 'source_candidate_id', 'value_hashes': list_sort([{_HASHED.format('source')}, {_HASHED.format('held_source')}])}} END, CASE WHEN target <> held_target THEN {{'field': 'target_candidate_id', 'value_hashes': list_sort([{_HASHED.format('target')}, {_HASHED.format('held_target')}])}} END] IF x IS NOT NULL] AS fields FROM o WHERE outcome = 'conflict_opened')
+    SELECT sha256('{{"conflict_type":"endpoint_mismatch","conflicting_fields":' || to_json(fields) || ',"entity_candidate_ids":[],"relation_candidate_ids":["' || unit || '-' || ordinal || '"]}}') AS conflict_key, unit, ordinal, [x.field FOR x IN fields] AS fields, 'open' AS status, ['endpoint_mismatch:' || x.field FOR x IN fields] AS errors FROM c"""
+)
+def stream_endpoint_conflicts(t: Tables) -> DataFrame:
+    """DOM-14: the conflict rows of changed ends, by their key."""
+    return rp.endpoint_conflicts(_replays(t)).withColumn("fields", F.col("fields.field"))
+
+
+_SETS = "SELECT l_partkey AS candidate, {batch} AS batch, list_sort(list(DISTINCT l_linestatus)) AS linestatus, list_sort(list(DISTINCT l_returnflag)) AS returnflag FROM lineitem {where} GROUP BY 1"
+_FIELD = "CASE WHEN len({p}) > 1 THEN {{'field': '{p}', 'value_hashes': list_sort([sha256('\"' || v || '\"') FOR v IN {p}])}} END"
+
+
+@query(
+    f"""WITH s AS ({_SETS.format(batch=0, where='WHERE l_linenumber <= 3')} UNION ALL {_SETS.format(batch=1, where='')}), f AS (SELECT candidate, batch, [x FOR x IN [{_FIELD.format(p='linestatus')}, {_FIELD.format(p='returnflag')}] IF x IS NOT NULL] AS fields FROM s),
+    k AS (SELECT candidate, sha256('{{"conflict_type":"property_conflict","conflicting_fields":' || to_json(fields) || ',"entity_candidate_ids":["' || candidate || '"],"relation_candidate_ids":[]}}') AS conflict_key, min(batch) AS batch, any_value([x.field FOR x IN fields]) AS fields FROM f WHERE len(fields) > 0 GROUP BY 1, 2)
+    SELECT conflict_key, candidate, fields, CASE WHEN batch = max(batch) OVER (PARTITION BY candidate) THEN 'open' ELSE 'superseded' END AS status, batch FROM k"""
+)
+def stream_property_conflicts(t: Tables) -> DataFrame:
+    """DOM-14: properties of a part that its lines contradict; when more values come, the conflict before is superseded."""
+    line = t.lineitem.select(F.col("l_partkey").alias("candidate"), F.col("l_linestatus").alias("linestatus"), F.col("l_returnflag").alias("returnflag"), "l_linenumber")
+    names = ["linestatus", "returnflag"]
+    updates = _delivered(t, "properties", [line.where("l_linenumber <= 3"), line.where("l_linenumber > 3")], lambda rows: rp.property_sets(rows, names), "update")
+    return rp.property_conflicts(updates, names).withColumn("fields", F.col("fields.field"))
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def ext_tumbling_counts(t: Tables) -> DataFrame:
     """Events in windows of six hours."""
