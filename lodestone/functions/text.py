@@ -16,8 +16,8 @@ def half_width(x: Column) -> Column:
 
 
 def plain_punctuation(x: Column) -> Column:
-    """Title marks dropped, CJK brackets as ASCII ones."""
-    return F.translate(x, "【】〔〕（）《》〈〉「」『』", "[][]()")
+    """Title and quotation marks dropped, CJK brackets as ASCII ones."""
+    return F.translate(x, "【】〔〕［］《》〈〉「」『』", "[][][]")
 
 
 def collapsed(x: Column) -> Column:
@@ -25,10 +25,19 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, BLANK, " "))
 
 
-def clause_form(x: Column) -> Column:
-    """Document and clause numbers without inner blanks: "GB  50016 - 2014" as "GB50016-2014"."""
-    x = F.regexp_replace(plain_punctuation(half_width(x)), "([A-Za-z])\\s+(\\d)", "$1$2")
-    return collapsed(F.regexp_replace(x, "(\\d)\\s*-\\s*(\\d)", "$1-$2"))
+#: The numerals and units of clauses, and the mark of a document's number.
+NUMERALS = "0-9一二三四五六七八九十百千零两"
+UNITS = "条|款|项|号|章|节"
+NUMBER_MARK = "号"
+
+
+def query_form(x: Column) -> Column:
+    """The surface of a query made alike: half-width forms, plain punctuation, no blanks inside clause numbers ("第 5 条"), bracketed years ("[ 2020 ]") and document numbers ("5 号"), other blanks as one. A null query is empty."""
+    x = plain_punctuation(half_width(F.coalesce(x, F.lit(""))))
+    x = F.regexp_replace(x, f"(?U)第\\s*([{NUMERALS}]+)\\s*({UNITS})", "第$1$2")
+    x = F.regexp_replace(x, "(?U)\\[\\s*(\\d+)\\s*\\]", "[$1]")
+    x = F.regexp_replace(x, f"(?U)(\\d+)\\s*{NUMBER_MARK}", f"$1{NUMBER_MARK}")
+    return F.trim(F.regexp_replace(x, "(?U)\\s+", " "))
 
 
 def graph_name(x: Column) -> Column:

@@ -256,3 +256,16 @@ def plan_queries(rules: Iterable[tuple[str, DataFrame]], most: int = 4) -> DataF
     first = every.where(F.trim("phrasing") != "").groupBy("query_id", "phrasing").agg(F.min(F.struct("_source", "_ordinal", "source")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("at._source", "at._ordinal", "phrasing")).cast("long")
     return first.select("query_id", place.alias("ordinal"), "phrasing", F.col("at.source").alias("source")).where(F.col("ordinal") <= most)
+
+
+def query_plan(queries: DataFrame, synonyms: DataFrame, most: int = 4) -> DataFrame:
+    """query_id, ordinal, phrasing, source: the query as it came, its surface form if that differs, and this form with each synonym in the place of a term that it holds, in the dictionary's order; distinct, `most` at most.
+
+    queries: query_id, query; synonyms: term, synonym, ordinal, a dictionary that people write. A null query is empty; empty phrasings and terms count for nothing.
+    """
+    q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), tx.query_form(F.col("query")).alias("form"))
+    pivot = q.select("query_id", F.when(F.col("form") == "", F.col("query")).otherwise(F.col("form")).alias("form"))
+    known = synonyms.where("term <> '' AND synonym IS NOT NULL").select("term", "synonym", "ordinal")
+    replaced = pivot.join(known, F.contains("form", "term")).select("query_id", "ordinal", F.replace("form", "term", "synonym").alias("phrasing"))
+    same = lambda column: q.select("query_id", F.lit(0).alias("ordinal"), F.col(column).alias("phrasing"))
+    return plan_queries([("original", same("query")), ("normalised", same("form")), ("synonym", replaced)], most)

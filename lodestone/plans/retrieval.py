@@ -186,18 +186,30 @@ def retrieval_rerank_fill(t: Tables) -> DataFrame:
     return rt.reranked(hits, scored.unionByName(worse).unionByName(outside), 10)
 
 
-@query("""WITH o AS (SELECT item_id AS query_id, 0 AS src, 'original' AS source, 0 AS ord, text AS phrasing FROM benchmark), n AS (SELECT item_id AS query_id, 1 AS src, 'normalised' AS source, 0 AS ord, replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))), 'ß', 'ss') AS phrasing FROM benchmark),
-    y AS (SELECT item_id AS query_id, 2 AS src, 'synonym' AS source, s.ord, replace(text, s.term, s.synonym) AS phrasing FROM benchmark, (VALUES (0, 'the', 'a'), (1, 'and', 'plus'), (2, 'of', 'from')) s(ord, term, synonym) WHERE contains(text, s.term)),
-    u AS (SELECT * FROM o UNION ALL SELECT * FROM n UNION ALL SELECT * FROM y), f AS (SELECT query_id, phrasing, min({'src': src, 'ord': ord, 'source': source}) AS seen FROM u WHERE trim(phrasing) <> '' GROUP BY ALL),
-    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seen.src, seen.ord, phrasing) AS ordinal, phrasing, seen.source AS source FROM f) SELECT query_id, ordinal, phrasing, source FROM r WHERE ordinal <= 4""")
+_ASCII, _FULL = "".join(map(chr, range(0x21, 0x7F))).replace("'", "").replace("\\", ""), "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F) if chr(c) not in "'\\")
+_SURFACES = f"""SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '《' || translate(left(text, 60), '{_ASCII} ', '{_FULL}　') || '》' || substr(text, 61) WHEN 2 THEN '第 ' || item_id || '  条 〔 2020 〕' || item_id || ' 号,第 五 章 ' || text
+    WHEN 3 THEN '【' || left(text, 40) || '】  「' || substr(text, 41) || '」 ' ELSE '第　十二　款［　１９９９　］　７　号' END AS query FROM benchmark"""
+_SYNONYMS = [(0, "the", "a"), (1, "and", "plus"), (2, "and", "also"), (3, "号", "号文"), (4, "of", "from")]
+
+
+@query(
+    f"""WITH q AS ({_SURFACES}), a AS (SELECT *, translate(translate(query, '{_FULL}＇＼　', '{_ASCII}''\\ '), '【】〔〕［］《》〈〉「」『』', '[][][]') AS x FROM q),
+    b AS (SELECT *, regexp_replace(regexp_replace(x, '第\\s*([0-9一二三四五六七八九十百千零两]+)\\s*(条|款|项|号|章|节)', '第\\1\\2', 'g'), '\\[\\s*(\\d+)\\s*\\]', '[\\1]', 'g') AS y FROM a), n AS (SELECT query_id, query, trim(regexp_replace(regexp_replace(y, '(\\d+)\\s*号', '\\1号', 'g'), '\\s+', ' ', 'g')) AS form FROM b),
+    u AS (SELECT query_id, 0 AS src, 'original' AS source, 0 AS ord, query AS phrasing FROM n UNION ALL SELECT query_id, 1, 'normalised', 0, form FROM n UNION ALL SELECT query_id, 2, 'synonym', s.ord, replace(form, s.term, s.synonym) FROM n JOIN (VALUES {", ".join(map(str, _SYNONYMS))}) s(ord, term, synonym) ON contains(form, s.term)),
+    f AS (SELECT query_id, phrasing, min({{'src': src, 'ord': ord, 'source': source}}) AS seen FROM u WHERE trim(phrasing) <> '' GROUP BY ALL),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seen.src, seen.ord, phrasing) AS ordinal, phrasing, seen.source AS source FROM f) SELECT query_id, ordinal, phrasing, source FROM r WHERE ordinal <= 4"""
+)
 def query_plan_expand(t: Tables) -> DataFrame:
-    """STR-01 to STR-04, SET-03: the original, its normal form and synonyms, distinct, four at most."""
-    b = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    synonyms = F.broadcast(t.spark.createDataFrame([(0, "the", "a"), (1, "and", "plus"), (2, "of", "from")], "ordinal int, term string, synonym string"))
-    original = b.select("query_id", F.lit(0).alias("ordinal"), F.col("text").alias("phrasing"))
-    normal = b.select("query_id", F.lit(0).alias("ordinal"), tx.graph_name(tx.half_width(F.col("text"))).alias("phrasing"))
-    replaced = b.join(synonyms, F.contains("text", "term")).select("query_id", "ordinal", F.replace("text", "term", "synonym").alias("phrasing"))
-    return rt.plan_queries([("original", original), ("normalised", normal), ("synonym", replaced)])
+    """STR-01 to STR-04, SET-03: passages as queries, some in full-width forms, with marks, clauses and document numbers."""
+    text, item = F.col("text"), F.col("item_id").cast("string")
+    kind = F.col("item_id") % 5
+    query_text = (
+        F.when(kind == 0, text).when(kind == 1, F.concat(F.lit("《"), F.translate(F.left(text, F.lit(60)), f"{_ASCII} ", f"{_FULL}　"), F.lit("》"), F.expr("substring(text, 61)")))
+        .when(kind == 2, F.concat(F.lit("第 "), item, F.lit("  条 〔 2020 〕"), item, F.lit(" 号,第 五 章 "), text))
+        .when(kind == 3, F.concat(F.lit("【"), F.left(text, F.lit(40)), F.lit("】  「"), F.expr("substring(text, 41)"), F.lit("」 "))).otherwise(F.lit("第　十二　款［　１９９９　］　７　号"))
+    )
+    synonyms = F.broadcast(t.spark.createDataFrame(_SYNONYMS, "ordinal int, term string, synonym string"))
+    return rt.query_plan(t.benchmark.select(F.col("item_id").alias("query_id"), query_text.alias("query")), synonyms)
 
 
 @query("SELECT conv_id, CASE WHEN x = '' THEN 'New conversation' WHEN length(x) > 28 THEN left(x, 28) || '…' ELSE x END AS title FROM (SELECT conv_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS x FROM conversations WHERE turn = 0)")
