@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import scores
+from lodestone.functions import nested, scores
 from lodestone.functions import text as tx
 from lodestone.operators import evaluation as ev
 from lodestone.operators import ops
+from lodestone.operators import privacy as pv
 from lodestone.operators import retrieval as rt
 from lodestone.plans.catalog import query
 from lodestone.plans.lifecycle import now
@@ -429,3 +430,39 @@ def audit_listing(t: Tables) -> DataFrame:
 def eval_privacy_scan(t: Tables) -> DataFrame:
     """DOM-39: no hashes, addresses or links in what is kept of a request."""
     return t.events.select("event_id", (~F.col("props").rlike("[0-9a-f]{32}|@|https?://")).alias("clean"))
+
+
+_RECORD = """CASE event_id % 6 WHEN 0 THEN '{"user":' || user_id || ',"kind":"' || event_type || '","more":' || props || '}' WHEN 1 THEN '{"kind":"' || event_type || '","user":' || user_id || ',"more":[{"deep":[' || props || ',{"Canonical_Name":"x"}]},"a@b.example"]}'
+    WHEN 2 THEN '{"user":' || user_id || ',"extra":{"k":"SQL"},"more":null}' WHEN 3 THEN '["' || event_type || '",' || props || ']' WHEN 4 THEN '{"kind":"https://x.example/' || event_id || '","more":{"a":{"b":{"c":{"d":' || props || '}}}},"user":"' || user_id || '"}' ELSE 'user ' || user_id END"""
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, {_RECORD} AS record FROM events), j AS (SELECT event_id, record::JSON AS j FROM r WHERE json_valid(record)), n AS (SELECT j.event_id, t.key, t.type, t.atom, t.fullkey, len(regexp_replace(regexp_replace(t.fullkey, '"', '', 'g'), '[^.\\[]', '', 'g')) AS level FROM j, json_tree(j.j) t),
+    m AS (SELECT event_id, replace(fullkey, '"', '') AS path, level, CASE WHEN type <> 'ARRAY' OR true THEN key END AS key, lower(coalesce(CASE WHEN type = 'VARCHAR' THEN atom->>'$' WHEN type NOT IN ('OBJECT', 'ARRAY') THEN atom::VARCHAR END, '')) AS text, ends_with(fullkey, ']') AS item FROM n),
+    o AS (SELECT event_id, path, unnest([x FOR x IN [CASE WHEN level = 1 AND NOT item AND key NOT IN ('user', 'kind', 'more') THEN 'unexpected field' END, CASE WHEN (NOT item AND lower(coalesce(key, '')) IN ({", ".join(f"'{p}'" for p in pv.PRIVATE)})) OR text IN ({", ".join(f"'{p}'" for p in pv.PRIVATE)}) THEN 'private field' END,
+        CASE WHEN contains(text, '@') OR contains(text, 'https://') THEN 'private marker' END] IF x IS NOT NULL]) AS offence FROM m)
+    SELECT event_id, path, offence FROM o UNION ALL SELECT event_id, '$.' || f, 'missing field' FROM j, (VALUES ('user'), ('kind'), ('more')) v(f) WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.' || f) IS NULL UNION ALL SELECT r.event_id, '$', 'not an object' FROM r LEFT JOIN j USING (event_id) WHERE j.event_id IS NULL OR json_type(j.j) <> 'OBJECT'"""
+)
+def eval_privacy_offences(t: Tables) -> DataFrame:
+    """DOM-39: what is kept of requests against the fields that it may have, names of private things and marks of addresses, at any depth."""
+    e = F.col("event_id") % 6
+    user, kind, props = F.col("user_id").cast("string"), F.col("event_type"), F.col("props")
+    made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    record = (
+        F.when(e == 0, made('{"user":', user, ',"kind":"', kind, '","more":', props, "}")).when(e == 1, made('{"kind":"', kind, '","user":', user, ',"more":[{"deep":[', props, ',{"Canonical_Name":"x"}]},"a@b.example"]}'))
+        .when(e == 2, made('{"user":', user, ',"extra":{"k":"SQL"},"more":null}')).when(e == 3, made('["', kind, '",', props, "]"))
+        .when(e == 4, made('{"kind":"https://x.example/', F.col("event_id").cast("string"), '","more":{"a":{"b":{"c":{"d":', props, '}}}},"user":"', user, '"}')).otherwise(made("user ", user))
+    )
+    return pv.offences(t.events.select("event_id", record.alias("record")), "event_id", "record", allowed=("user", "kind", "more"), forbidden=("@", "HTTPS://"))
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey, l_partkey, '{"flags":{"return":"' || l_returnflag || '","line":"' || l_linestatus || '"},"at":["' || l_linenumber % 2 || '",{"z":null,"a":"é"}]}' AS given, '{"at":["' || l_linenumber % 2 || '",{"a":"é","z":null}],"flags":{"line":"' || l_linestatus || '","return":"' || l_returnflag || '"}}' AS canonical FROM lineitem)
+    SELECT l_suppkey, l_partkey, count(DISTINCT canonical) AS forms, min(canonical) AS first_, min(sha256(canonical)) AS digest, count(DISTINCT canonical) = 1 AS consistent FROM p GROUP BY ALL"""
+)
+def graph_relation_properties(t: Tables) -> DataFrame:
+    """AGG-26, HSH-02: whole nested property sets of a relation's occurrences compared in canonical form."""
+    given = F.concat(F.lit('{"flags":{"return":"'), "l_returnflag", F.lit('","line":"'), "l_linestatus", F.lit('"},"at":["'), (F.col("l_linenumber") % 2).cast("string"), F.lit('",{"z":null,"a":"é"}]}'))
+    rows = t.lineitem.select("l_suppkey", "l_partkey", nested.canonical_json(given).alias("form"))
+    n = F.count_distinct("form")
+    return rows.groupBy("l_suppkey", "l_partkey").agg(n.alias("forms"), F.min("form").alias("first_"), F.min(F.sha2("form", 256)).alias("digest"), (n == 1).alias("consistent"))
