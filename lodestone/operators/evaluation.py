@@ -34,9 +34,10 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFr
 
 def latency_summary(samples: DataFrame, by: str, size: int = 30) -> DataFrame:
     """by, p50, p95 and most of groups of exactly `size` samples (the 15th, the 29th and the last of 30); groups of another size have nulls. samples: by, micros."""
-    each = samples.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("micros")).alias("_all"))
-    at = lambda k: F.when(F.col("n") == size, F.try_element_at("_all", F.lit(k)))
-    return each.select(by, "n", at(size // 2).alias("p50"), at(size - size // 30).alias("p95"), at(size).alias("most"))
+    n = samples.groupBy(by).agg(F.count("*").alias("n"))
+    few = samples.join(n.where(F.col("n") == size).select(by), by, "left_semi").groupBy(by).agg(F.array_sort(F.collect_list("micros")).alias("_all"))  # `size` samples at most
+    at = lambda k: F.try_element_at("_all", F.lit(k))
+    return n.join(few, by, "left").select(by, "n", at(size // 2).alias("p50"), at(size - size // 30).alias("p95"), at(size).alias("most"))
 
 
 def threshold_grid(cases: DataFrame, scores: list[int], margins: list[int]) -> DataFrame:

@@ -83,6 +83,8 @@ def capped(found: DataFrame, known: DataFrame, max_nodes: int, max_relations: in
     """
     order = ["relation", "src", "tgt"]
     distinct = found.groupBy("query", *order).agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))  # no more than these can stay; each task drops the rest of a hub's edges before they are dealt by query
+    distinct = distinct.withColumn("_place", place).where(F.col("_place") <= max_relations + 1).drop("_place")
     ends = distinct.select("query", *order, F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).join(known.select("query", "node").withColumn("old", F.lit(True)), ["query", "node"], "left")
     first = Window.partitionBy("query", "node").orderBy(*order)
     new = F.col("old").isNull() & (F.row_number().over(first) == 1)

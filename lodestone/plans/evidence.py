@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evidence as ev
 from lodestone.plans.catalog import query
+from lodestone.sources import rebuilt
 from lodestone.sources.shared import shared
 from lodestone.sources.tables import Tables
 
@@ -68,3 +69,14 @@ def evidence_links(t: Tables) -> DataFrame:
 def evidence_orphans(t: Tables) -> DataFrame:
     """DOM-06: no row of a generation points to one that is not there."""
     return ev.orphans(_generation(t))
+
+
+@query("SELECT chunk_id, doc_id, seq, sha256(text) AS text_hash, source_start, source_end FROM chunks_v", views="chunks_v")
+def lifecycle_rebuild_resumed(t: Tables) -> DataFrame:
+    """STM-14: chunks of all documents rebuilt in five batches, stopped after two, taken up, and read through a pointer once they are whole."""
+    folder = shared(t.spark, "rebuild")
+    build = lambda docs: t.chunks_of(docs).select("chunk_id", "doc_id", "seq", F.sha2("text", 256).alias("text_hash"), "source_start", "source_end")
+    for most in (2, None):
+        rebuilt.run(t.documents, "doc_id", build, f"{folder}/a", batches=5, most=most)
+    rebuilt.publish(t.spark, f"{folder}/a", f"{folder}/current")
+    return rebuilt.current(t.spark, f"{folder}/current", "chunk_id long, doc_id long, seq long, text_hash string, source_start long, source_end long")

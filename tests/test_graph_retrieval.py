@@ -71,3 +71,18 @@ def test_links_same_as_all_pairs(spark):
     for block in (16, 1024):
         got = {r.mention_id: (r.status, r.selected, r.score, r.margin, r.n_candidates) for r in link_decisions(m, e, **({"block": block} if block < 1024 else {})).collect()}
         assert got == want
+
+
+def test_hub_is_cut_before_its_edges_are_dealt_by_query(spark):
+    """A hub of 100,000 edges: the first in canonical order stay, and the plan limits them in each task."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.graph import bounded_bfs
+
+    edges = spark.range(100_000).select(F.lit("r").alias("relation"), F.lit("hub").alias("src"), F.format_string("n%06d", "id").alias("tgt"))
+    found = bounded_bfs(edges, spark.createDataFrame([(1, "hub"), (2, "n000007")], "query int, node string"), hops=2, max_nodes=50, max_relations=60)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    one, two = (sorted(r["tgt"] for r in rows if r["query"] == q) for q in (1, 2))
+    assert one == [f"n{k:06d}" for k in range(49)] and all(r["truncated"] for r in rows)
+    assert two == [f"n{k:06d}" for k in range(49)]
