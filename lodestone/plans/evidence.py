@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evidence as ev
 from lodestone.plans.catalog import query
-from lodestone.sources import rebuilt
+from lodestone.sources import points, rebuilt
 from lodestone.sources.shared import shared
 from lodestone.sources.tables import Tables
 
@@ -80,3 +80,19 @@ def lifecycle_rebuild_resumed(t: Tables) -> DataFrame:
         rebuilt.run(t.documents, "doc_id", build, f"{folder}/a", batches=5, most=most)
     rebuilt.publish(t.spark, f"{folder}/a", f"{folder}/current")
     return rebuilt.current(t.spark, f"{folder}/current", "chunk_id long, doc_id long, seq long, text_hash string, source_start long, source_end long")
+
+
+@query(
+    """WITH p AS (SELECT doc_id AS document_id, 1::BIGINT AS revision, chunk_id::VARCHAR AS point_id, sha256(text) AS payload FROM chunks_v UNION ALL SELECT doc_id, 2, chunk_id::VARCHAR, 'second ' || seq FROM chunks_v WHERE doc_id % 3 = 0 AND seq % 2 = 0 UNION ALL SELECT doc_id, 3, NULL, NULL FROM documents WHERE doc_id % 10 = 0)
+    SELECT document_id, revision, point_id, payload FROM p WHERE point_id IS NOT NULL QUALIFY revision = max(revision) OVER (PARTITION BY document_id) AND document_id % 10 <> 0""",
+    views="chunks_v",
+)
+def sink_points(t: Tables) -> DataFrame:
+    """SRC-15, SRC-16: points of all chunks, a second revision of every third document with half of them (written twice), and deletes of every tenth document."""
+    folder = shared(t.spark, "points")
+    first = t.chunks_v.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("revision"), F.col("chunk_id").alias("point_id"), F.sha2("text", 256).alias("payload"))
+    second = t.chunks_v.where("doc_id % 3 = 0 AND seq % 2 = 0").select(F.col("doc_id").alias("document_id"), F.lit(2).alias("revision"), F.col("chunk_id").alias("point_id"), F.concat(F.lit("second "), F.col("seq").cast("string")).alias("payload"))
+    gone = t.documents.where("doc_id % 10 = 0").select(F.col("doc_id").alias("document_id"), F.lit(3).alias("revision"), F.lit(None).alias("point_id"), F.lit(None).alias("payload"))
+    for batch, rows in (("b1", first), ("b2", second), ("b2", second), ("b3", gone)):
+        points.write(rows, folder, batch)
+    return points.current(t.spark, folder)

@@ -128,12 +128,6 @@ def math_relation_status(t: Tables) -> DataFrame:
 _ONTOLOGY = "o AS (SELECT relation, unnest(a) AS src_type, b, cardinality, requires_review FROM (VALUES " + ", ".join(f"('{r}', {list(a)}, {list(b)}, '{c}', {str(review).lower()})" for r, a, b, c, review in ontology.RULES) + ") t(relation, a, b, cardinality, requires_review)), k AS (SELECT relation, src_type, unnest(b) AS tgt_type, cardinality, requires_review FROM o)"
 
 
-@query(f"WITH {_ONTOLOGY} SELECT * FROM k")
-def graph_default_ontology(t: Tables) -> DataFrame:
-    """DOM-21: ten types of entities, ten of relations, and the constraints of all pairs of types that the rules name."""
-    return ontology.constraints(t.spark)
-
-
 @query(f"""WITH {_ONTOLOGY}, f AS (SELECT {list(ontology.RELATION_TYPES)}[l_partkey % 10 + 1] AS relation, {list(ontology.ENTITY_TYPES)}[l_suppkey % 10 + 1] AS src_type, {list(ontology.ENTITY_TYPES)}[l_orderkey % 10 + 1] AS tgt_type FROM lineitem)
     SELECT relation, src_type, tgt_type, cardinality, coalesce(requires_review, true) AS review, count(*) AS facts FROM f LEFT JOIN k USING (relation, src_type, tgt_type) GROUP BY ALL""")
 def graph_ontology_lookup(t: Tables) -> DataFrame:
