@@ -30,6 +30,11 @@ def keyed(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
+def row_place() -> Column:
+    """Where a row of a table that was read from files stands in it: of rows that are equal in an order, the first in the table comes first."""
+    return F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+
+
 class Tables:
     """Tables by name as attributes."""
 
