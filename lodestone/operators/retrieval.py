@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 
 RRF_K = 60
+#: So many scores of queries and points are held at once.
+_TILE = 1 << 20
 
 
 def in_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
@@ -27,8 +29,8 @@ def in_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
 def exact_topk(points: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", point_column: str = "embedding", query_id: str = "vec_id", query_column: str = "embedding", min_score: float | None = None, block: int = 4096) -> DataFrame:
     """query_id, id, score (cosine, 9 digits) and rank of the k points most similar to each query.
 
-    Queries go to the points in blocks of about `block`. Each task keeps its own k best for a query, so k rows a task and
-    query are shuffled. Ties go to the smaller id. Points and queries that are null, empty, zero or hold a null take no
+    Queries go to the points in blocks of about `block`, and are scored against a few hundred points at once. Each task keeps
+    its own k best for a query, so k rows a task and query are shuffled. Ties go to the smaller id. Points and queries that are null, empty, zero or hold a null take no
     part, nor do null ids; a query meets the points of its own length.
     """
     usable = lambda df, key, column, name: df.select(F.col(key).cast("long").alias(name), F.col(column).cast("array<double>").alias("v")).where(F.expr(f"{name} IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL) AND exists(v, x -> x <> 0)"))
@@ -49,23 +51,37 @@ def _by_length(table: pa.Table | pa.RecordBatch, key: str) -> dict[int, tuple[np
 
 
 class _Best:
-    """The k best points of each query so far; ties go to the smaller id."""
+    """The k best points of each query so far; ties go to the smaller id. Hits are held, those that k better ones leave behind are dropped at once, and so the memory hangs on k and the number of queries alone."""
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
-        self.points, self.scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        self.held, self.n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        self.floor = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: a row for each query, a column for each of ids; those that are not finite do not count."""
-        points = np.concatenate([self.points, np.broadcast_to(ids, scores.shape)], axis=1)
-        scores = np.concatenate([self.scores, scores], axis=1)
-        order = np.lexsort((points, -scores), axis=1)[:, : self.k]
-        self.points, self.scores = np.take_along_axis(points, order, 1), np.take_along_axis(scores, order, 1)
+        """scores: a row for each query, a column for each of ids; those that are -inf do not count."""
+        if scores.shape[1] > self.k and np.isneginf(self.floor).any():
+            self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero((scores >= self.floor[:, None]) & (scores > -np.inf))
+        if len(row):
+            self.held.append((row, ids[at], scores[row, at]))
+            self.n += len(row)
+        if self.n > max(_TILE // 4, len(self.ids) * self.k):
+            self._cut()
+
+    def _cut(self) -> None:
+        row, points, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((points, -scores, row))
+        row, points, scores = row[order], points[order], scores[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last, kept = place == self.k - 1, place < self.k
+        self.floor[row[last]] = scores[last]
+        self.held, self.n = [(row[kept], points[kept], scores[kept])], 0
 
     def rows(self) -> pa.RecordBatch:
-        ok = np.isfinite(self.scores.ravel())
-        columns = np.repeat(self.ids, self.points.shape[1])[ok], self.points.ravel()[ok], self.scores.ravel()[ok]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+        self._cut()
+        row, points, scores = self.held[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(points), pa.array(scores)], names=["query_id", "id", "score"])
 
 
 def _local_best(asked: pa.Table, k: int, min_score: float | None):  # noqa: ANN202
@@ -74,10 +90,12 @@ def _local_best(asked: pa.Table, k: int, min_score: float | None):  # noqa: ANN2
         best = {n: _Best(ids, k) for n, (ids, _) in queries.items()}
         for b in batches:
             for n, (ids, x) in _by_length(b, "id").items() if b.num_rows else ():
-                if n in queries:
-                    y = queries[n][1]
-                    s = np.round(y @ x.T / (np.sqrt((y**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))), 9)
-                    best[n].add(ids, np.where(np.isfinite(s) & (True if min_score is None else s >= min_score), s, -np.inf))
+                y = queries[n][1] if n in queries else x[:0]
+                step = max(1, _TILE // max(1, len(y)))
+                for at in range(0, len(x) if len(y) else 0, step):
+                    part = x[at : at + step]
+                    s = np.round(y @ part.T / (np.sqrt((y**2).sum(axis=1))[:, None] * np.sqrt((part**2).sum(axis=1))), 9)
+                    best[n].add(ids[at : at + step], np.where(np.isfinite(s) & (True if min_score is None else s >= min_score), s, -np.inf))
         yield from (found.rows() for found in best.values())
 
     return run

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators.graph import link_decisions, within_budget
-from lodestone.operators.retrieval import documents_holding, in_blocks
+from lodestone.operators.retrieval import _local_best, documents_holding, exact_topk, in_blocks
 
 
 def trimmed(neighbours: list, size: int, budget: int) -> list:
@@ -41,6 +44,45 @@ def test_blocks_of_queries_hold_each_query_once(spark):
     assert (found["w1 "], found["w2 "], found["w3 "], len(found)) == (1, 2, 0, 49)
 
 
+def test_best_points_of_a_full_block_take_little_memory():
+    """A block of 4,096 queries meets batches of 10,000 points, among them equal ones; as much is held after one batch as after three."""
+    rng, k = np.random.default_rng(4), 20
+    points = rng.integers(-9, 9, (30_000, 4)).astype(float) + 0.5
+    ids = rng.permutation(len(points))
+    queries = rng.normal(size=(4096, 4))
+    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 4).cast(pa.list_(pa.float64()))
+    batches = [pa.record_batch({"id": pa.array(ids[i : i + 10_000]), "v": lists(points[i : i + 10_000])}) for i in range(0, 30_000, 10_000)]
+    tracemalloc.start()
+    out = pa.Table.from_batches(_local_best(pa.table({"q": pa.array(range(4096)), "v": lists(queries)}), k, None)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    got: dict = {}
+    for q, i in zip(out["query_id"].to_pylist(), out["id"].to_pylist(), strict=True):
+        got.setdefault(q, []).append(i)
+    for q in range(0, 4096, 64):
+        s = np.round(points @ queries[q] / np.sqrt((queries[q] ** 2).sum()) / np.sqrt((points**2).sum(axis=1)), 9)
+        assert got[q] == list(ids[np.lexsort((ids, -s))[:k]])
+
+
+def test_best_points_same_as_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(2 + (i % 5 == 0))]) for i in range(400)] + [(900, None), (901, [None, 1.0]), (902, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for least in (None, 0.3):
+        got: dict = {}
+        for r in exact_topk(df, df.where("vec_id % 20 = 0"), 7, min_score=least, block=9).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.score))
+        want: dict = {}
+        usable = [(i, np.array(v)) for i, v in rows if v and None not in v and any(v)]
+        for q, y in usable:
+            if q % 20 == 0:
+                s = [(-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 9), i) for i, x in usable if len(x) == len(y)]
+                if found := [(i, -c) for c, i in sorted(s) if least is None or -c >= least][:7]:
+                    want[q] = found
+        assert got == want
+
+
 def test_links_same_as_all_pairs(spark):
     rng = random.Random(8)
     names = [f"Customer#{k:09d}" for k in range(60)] + ["".join(rng.choice("ab é") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["red fox den", "fox", "x", "日本", "日本語", "aaaa", ""]
