@@ -36,7 +36,12 @@ def drained(df: DataFrame, name: str, mode: str = "append", *, folder: str | Non
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
     df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return written(spark, folder, df.schema)
+
+
+def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows of a stream's batches, each in a folder of its own under rows, and `batch`."""
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*") if _any(spark, folder) else spark.createDataFrame([], schema)
 
 

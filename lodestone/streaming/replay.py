@@ -2,66 +2,86 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from lodestone.functions import scores
+from lodestone.streaming.events import written
+
+OUTCOMES = T.StructType([T.StructField(n, kind) for n, kind in (("unit", T.LongType()), ("ordinal", T.IntegerType()), ("seq", T.LongType()), *((n, T.StringType()) for n in ("source", "target", "outcome", "held_source", "held_target")))])
+#: Of each ordinal of a unit: the ends that came first, whether it was purged, and which other ends have been told.
+HELD = "unit long, ordinal int, held_source string, held_target string, purged boolean, told array<struct<source: string, target: string>>"
+_KEY = ["unit", "ordinal"]
+
+
+def occurrences_of(rows: DataFrame) -> DataFrame:
+    """The delivered rows that take part: those with a unit, ordinal and seq."""
+    return rows.where("unit IS NOT NULL AND ordinal IS NOT NULL AND seq IS NOT NULL").select(F.col("unit").cast("long").alias("unit"), F.col("ordinal").cast("int").alias("ordinal"), "kind", "source", "target", F.col("seq").cast("long").alias("seq"))
+
 
-OUTCOMES = "unit long, ordinal int, seq long, source string, target string, outcome string, held_source string, held_target string"
-#: Of each ordinal of a unit, as JSON: the ends that came first, whether it was purged, and which other ends have been told.
-HELD = "ordinals string"
-
-
-def _outcome(held: dict, ordinal: int, kind: str, ends: list) -> str:
-    """What a row makes of what is held, which is changed."""
-    known = held.get(str(ordinal))
-    if known is None:
-        if kind == "purge":
-            return "purge_of_unknown"
-        held[str(ordinal)] = {"ends": ends, "purged": False, "told": []}
-        return "created"
-    if kind == "purge":
-        known["purged"] = True
-        return "purged"
-    if known["purged"]:
-        return "error_purged"
-    if ends == known["ends"]:
-        return "replayed"
-    if ends in known["told"]:
-        return "conflict_known"
-    known["told"].append(ends)
-    return "conflict_opened"
-
-
-def _outcomes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {}
-    text = lambda x: None if pd.isna(x) else x
-    rows = sorted(((o, seq, str(kind), text(s), text(t)) for frame in frames for o, seq, kind, s, t in zip(*(frame[c] for c in ("ordinal", "seq", "kind", "source", "target")), strict=True)), key=lambda r: (*r[:3], str(r[3:])))
-    out = []
-    for ordinal, seq, kind, source, target in rows:
-        told = _outcome(held, ordinal, kind, [source, target])
-        out.append((key[0], ordinal, seq, source, target, told, *(held[str(ordinal)]["ends"] if str(ordinal) in held else (None, None))))
-    state.update((json.dumps(held),))
-    yield pd.DataFrame(out, columns=["unit", "ordinal", "seq", "source", "target", "outcome", "held_source", "held_target"])
-
-
-def replayed(occurrences: DataFrame) -> DataFrame:
-    """unit, ordinal, seq, source, target, outcome, held_source, held_target of each delivered row of a stream.
+def outcomes(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """unit, ordinal, seq, source, target, outcome, held_source, held_target of the rows of a batch. held: what the batches before have left.
+
+    Each row's place in the order of its ordinal decides: what is held comes from the table, or from the first occurrence
+    of the batch if the table does not have it.
+    """
+    order = [F.col("seq"), F.col("kind"), F.asc_nulls_last("source"), F.asc_nulls_last("target")]
+    upto = Window.partitionBy(*_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pair = F.struct("source", "target")
+    occurs = F.coalesce(F.col("kind") != "purge", F.lit(True))
+    known = rows.join(held.withColumn("_old", F.lit(True)), _KEY, "left").withColumn("_old", F.coalesce("_old", F.lit(False))).withColumn("_pair", pair)
+    first = F.first(F.when(occurs, F.col("_pair")), ignorenulls=True).over(upto)
+    ends = F.when(F.col("_old"), F.struct(F.col("held_source").alias("source"), F.col("held_target").alias("target"))).otherwise(first)
+    known = known.withColumn("_ends", ends).withColumn("_known", F.col("_old") | F.coalesce(F.count_if(occurs).over(before) > 0, F.lit(False)))
+    purging = ~occurs & F.col("_known")
+    known = known.withColumn("_gone", F.coalesce("purged", F.lit(False)) | F.coalesce(F.count_if(purging).over(before) > 0, F.lit(False)))
+    other = occurs & F.col("_known") & ~F.col("_gone") & ~F.col("_pair").eqNullSafe(F.col("_ends"))
+    known = known.withColumn("_other", other)
+    again = F.row_number().over(Window.partitionBy(*_KEY, "_other", "source", "target").orderBy("seq", "kind")) > 1
+    told = F.coalesce(F.exists("told", lambda x: x.eqNullSafe(F.col("_pair"))), F.lit(False))
+    outcome = scores.first_of(
+        (~occurs & ~F.col("_known"), "purge_of_unknown"), (~occurs, "purged"), (~F.col("_known"), "created"), (F.col("_gone"), "error_purged"), (~F.col("_other"), "replayed"), (told | again, "conflict_known"),
+        otherwise="conflict_opened",
+    )
+    return known.select(*_KEY, "seq", "source", "target", outcome.alias("outcome"), F.col("_ends.source").alias("held_source"), F.col("_ends.target").alias("held_target"))
+
+
+def held_after(held: DataFrame, told: DataFrame) -> DataFrame:
+    """What is held after a batch whose outcomes are `told`; an ordinal of which only purges came is not held."""
+    opened = F.array_sort(F.collect_list(F.when(F.col("outcome") == "conflict_opened", F.struct("source", "target"))))
+    ends = F.first(F.when(~F.col("outcome").isin("purge_of_unknown"), F.struct("held_source", "held_target")), ignorenulls=True)
+    new = told.groupBy(*_KEY).agg(ends.alias("_ends"), F.bool_or(F.col("outcome") == "purged").alias("_purged"), opened.alias("_told")).where("_ends IS NOT NULL")
+    none = F.array().cast("array<struct<source: string, target: string>>")
+    kept = lambda name: F.when(F.col("_ends").isNull(), F.col(name)).otherwise(F.col(f"_ends.{name}")).alias(name)
+    return held.join(new, _KEY, "full_outer").select(
+        *_KEY, kept("held_source"), kept("held_target"), (F.coalesce("purged", F.lit(False)) | F.coalesce("_purged", F.lit(False))).alias("purged"),
+        F.concat(F.coalesce("told", none), F.coalesce("_told", none)).alias("told"),
+    )
+
+
+def replayed(occurrences: DataFrame, folder: str) -> DataFrame:
+    """unit, ordinal, seq, source, target, outcome, held_source, held_target and batch of each delivered row of a stream, run until its source is read; run again over the same folder it goes on where it was.
 
     occurrences: unit, ordinal, kind (occurrence or purge), source, target, seq (the rows of an ordinal count in its order
     within a batch, and batches as they come). An ordinal's first occurrence is created. The same ends again are a replay
     and change nothing; other ends open a conflict, once for each pair of ends, and what is held stays; nothing may come for
     an ordinal that was purged, and a purge of what is not held changes nothing. Rows without a unit, ordinal or seq take no
-    part; null ends are ends like others. The state of a unit, which is what one piece of text has given, is the ends of its
-    ordinals and the other ones that were told.
+    part; null ends are ends like others. What is held is a table of one row for each ordinal (the ends that came first and
+    the other ones that were told); each batch joins that of the batch before and writes its own, so a batch that is run
+    again replaces itself.
     """
-    rows = occurrences.where("unit IS NOT NULL AND ordinal IS NOT NULL AND seq IS NOT NULL").select(F.col("unit").cast("long").alias("unit"), F.col("ordinal").cast("int").alias("ordinal"), "kind", "source", "target", F.col("seq").cast("long").alias("seq"))
-    return rows.groupBy("unit").applyInPandasWithState(_outcomes, OUTCOMES, HELD, "append", GroupStateTimeout.NoTimeout)
+
+    def run(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        held = spark.read.schema(HELD).parquet(f"{folder}/held/{batch - 1}") if batch else spark.createDataFrame([], HELD)
+        outcomes(rows, held).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        told = spark.read.schema(OUTCOMES).parquet(f"{folder}/rows/batch={batch}")
+        held_after(held, told).write.mode("overwrite").parquet(f"{folder}/held/{batch}")
+
+    occurrences_of(occurrences).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return written(occurrences.sparkSession, folder, OUTCOMES)
 
 
 def _value_hash(x: Column) -> Column:
