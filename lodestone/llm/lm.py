@@ -218,7 +218,7 @@ def vocabulary_of(docs: DataFrame, size: int, least: int = 3) -> tuple[Vocabular
     return Vocabulary(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(float), rare, other_counts), total
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, n_words: int, *, every: int = 2, shard_tokens: int = 4_000_000) -> Network:
+def train(docs: DataFrame, vocabulary: Vocabulary, n_words: int, *, every: int = 1, shard_tokens: int = 4_000_000) -> Network:
     """A network that has met every `every`-th word of every document as a target once."""
     spark = docs.sparkSession
     place = F.xxhash64(F.col("doc_id").cast("long"), "text")
@@ -327,6 +327,6 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
-def pseudo_likelihood(docs: DataFrame, *, vocabulary: int = 16384, every: int = 2, shard_tokens: int = 4_000_000) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, *, vocabulary: int = 16384, every: int = 1, shard_tokens: int = 4_000_000) -> DataFrame:
     known, n_words = vocabulary_of(docs, vocabulary)
     return score(docs, known, train(docs, known, n_words, every=every, shard_tokens=shard_tokens))

@@ -222,6 +222,13 @@ def test_the_model_does_not_depend_on_how_rows_lie(spark):
     assert (one == two).all()
 
 
+def test_every_word_is_a_target_of_the_training(spark):
+    docs = common.table(spark, SMALL, "documents").limit(60)
+    vocabulary, n_words = lm.vocabulary_of(docs, 256)
+    default, all_, half = (lm.train(docs, vocabulary, n_words, **more).flat() for more in ({}, {"every": 1}, {"every": 2}))
+    assert (default == all_).all() and (default != half).any()
+
+
 def test_words_that_occur_more_often_are_likelier(spark):
     """Words too rare to be tokens keep their counts: a text of words that occur twice scores above one of words that occur once."""
     rng = np.random.default_rng(42)
