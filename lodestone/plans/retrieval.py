@@ -243,10 +243,11 @@ def text_line_location(t: Tables) -> DataFrame:
 )
 def text_lexical_scores(t: Tables) -> DataFrame:
     """STR-12 to STR-15, MTH-01: each part's name against the next one's."""
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be put together, nor left as the file lies
     a = t.part.select(F.col("p_partkey").alias("left_key"), F.col("p_name").alias("x"))
     b = t.part.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("y"), (F.col("p_partkey") - 1).alias("left_key"))
     x, y = F.col("x"), F.col("y")
-    return a.join(b, "left_key").select("left_key", "right_key", tx.dice_micros(x, y).alias("dice"), tx.jaccard_micros(x, y).alias("jaccard"), tx.containment_micros(x, y).alias("containment"), tx.pair_score(x, y).alias("score"))
+    return a.join(b, "left_key").repartition(parts, "left_key", "right_key").select("left_key", "right_key", tx.dice_micros(x, y).alias("dice"), tx.jaccard_micros(x, y).alias("jaccard"), tx.containment_micros(x, y).alias("containment"), tx.pair_score(x, y).alias("score"))
 
 
 @query("""WITH f AS (SELECT page_id, array_to_string([s FOR s IN string_split(regexp_extract(url, '^https?://[^/]+/([^?]*)', 1), '/') IF trim(s) <> '' AND s <> '.'], '/') AS path FROM pages)

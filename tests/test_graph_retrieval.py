@@ -128,3 +128,11 @@ def test_hub_is_cut_before_its_edges_are_dealt_by_query(spark):
     one, two = (sorted(r["tgt"] for r in rows if r["query"] == q) for q in (1, 2))
     assert one == [f"n{k:06d}" for k in range(49)] and all(r["truncated"] for r in rows)
     assert two == [f"n{k:06d}" for k in range(49)]
+
+
+def test_lexical_scores_are_dealt_out_however_small_the_file(spark):
+    """The part table is one small file; the work on its rows is no single task."""
+    from lodestone import plans
+
+    df = plans.QUERIES["text_lexical_scores"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
