@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import scores
 from lodestone.functions import text as tx
 from lodestone.operators.candidates import lexical_candidates
+from lodestone.sources.shared import saved
+
+#: A cap of so many relations cuts no hub that is worth putting in order first.
+_WIDE = 1 << 20
 
 
 def entity_candidates(occurrences: DataFrame, key: str) -> DataFrame:
@@ -64,15 +68,19 @@ def route_relation(schema_invalid: Column, evidence_invalid: Column, endpoint_re
     )
 
 
-def expand(edges: DataFrame, frontier: DataFrame, *, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
-    """query, relation, src, tgt, node (the end reached) of the edges at each query's frontier (query, node)."""
+def expand(edges: DataFrame, frontier: DataFrame, *, direction: str = "both", relations: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """query, relation, src, tgt, node (the end reached) of the edges at each query's frontier (query, node); of a node's edges in a direction only the first `most` in canonical order, if that is given."""
     e = edges if relations is None else edges.where(F.col("relation").isin(*relations))
-    f = frontier  # grows with the queries: how it is joined is left to its size
-    parts = []
-    if direction in ("outbound", "both"):
-        parts.append(e.join(f.withColumnRenamed("node", "src"), "src").select("query", "relation", "src", "tgt", F.col("tgt").alias("node")))
-    if direction in ("inbound", "both"):
-        parts.append(e.join(f.withColumnRenamed("node", "tgt"), "tgt").select("query", "relation", "src", "tgt", F.col("src").alias("node")))
+
+    def part(end: str, reached: str) -> DataFrame:
+        own = e
+        if most is not None:  # before the edges meet the queries: a hub's edges times its queries are far more than what can stay
+            place = F.dense_rank().over(Window.partitionBy(end).orderBy("relation", "src", "tgt"))
+            own = e.join(frontier.select(F.col("node").alias(end)).distinct(), end, "left_semi").withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+        f = frontier.withColumnRenamed("node", end)  # grows with the queries: how it is joined is left to its size
+        return own.join(f, end).select("query", "relation", "src", "tgt", F.col(reached).alias("node"))
+
+    parts = [part(end, reached) for name, end, reached in (("outbound", "src", "tgt"), ("inbound", "tgt", "src")) if direction in (name, "both")]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -97,14 +105,20 @@ def capped(found: DataFrame, known: DataFrame, max_nodes: int, max_relations: in
 
 
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, direction: str = "both", relations: list[str] | None = None, max_nodes: int = 100, max_relations: int = 200) -> DataFrame:
-    """query, hop, relation, src, tgt of the relations within a few hops of each query's seeds (query, node), under both caps, and whether the query was truncated."""
+    """query, hop, relation, src, tgt of the relations within a few hops of each query's seeds (query, node), under both caps, and whether the query was truncated.
+
+    What a hop keeps or is cut by is among its first max_relations + 1 new edges. Those of a node are among its first
+    max_relations + 1, and as many more as may have been kept before.
+    """
+    most = 2 * max_relations + 1 if max_relations < _WIDE else None
     nodes = seeds.select("query", "node").distinct().withColumn("n_relations", F.lit(0).cast("long"))
     frontier, kept, cut = nodes.select("query", "node"), None, None
     for hop in range(1, hops + 1):
-        found = expand(edges, frontier, direction=direction, relations=relations)
+        found = expand(edges, frontier, direction=direction, relations=relations, most=most)
         if kept is not None:
             found = found.join(kept.select("query", "relation", "src", "tgt"), ["query", "relation", "src", "tgt"], "left_anti")
         rows = capped(found, nodes, max_nodes, max_relations, hop)
+        rows = rows if hop == hops else saved(rows, "graph-hop")
         inside, more = rows.where(~F.col("truncated")), rows.groupBy("query").agg(F.max("truncated").alias("t"))
         kept = inside.drop("truncated") if kept is None else kept.unionByName(inside.drop("truncated"))
         cut = more if cut is None else cut.unionByName(more)

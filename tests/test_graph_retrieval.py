@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators.graph import link_decisions, within_budget
+from lodestone.operators.graph import bounded_bfs, expand, link_decisions, within_budget
 from lodestone.operators.retrieval import _local_best, documents_holding, exact_topk, in_blocks
 
 
@@ -136,3 +136,23 @@ def test_lexical_scores_are_dealt_out_however_small_the_file(spark):
 
     df = plans.QUERIES["text_lexical_scores"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_edges_of_a_hub_meet_its_queries_cut(spark):
+    """Of a hub's edges no more come to each query than can stay; what stays is what a walk over all of them keeps."""
+    hub = [("r", f"a{i:03d}", "hub") for i in range(300)] + [("q", "hub", f"b{i:03d}") for i in range(300)] + [("r", "a000", "hub")]
+    edges = spark.createDataFrame(hub + [("o", "a001", "b001"), ("p", "hub", "hub")], "relation string, src string, tgt string")
+    seeds = spark.createDataFrame([(i, f"a{i:03d}") for i in range(20)], "query int, node string")
+    cap = 7
+    hop = expand(edges, seeds.select("query").withColumn("node", F.lit("hub")), most=2 * cap + 1)
+    assert hop.count() <= 20 * 2 * (2 * cap + 2)
+    got: dict = {}
+    for r in bounded_bfs(edges, seeds, hops=2, max_nodes=1000, max_relations=cap).collect():
+        got.setdefault(r.query, set()).add((r.hop, r.relation, r.src, r.tgt, r.truncated))
+    all_edges = sorted({*hub, ("o", "a001", "b001"), ("p", "hub", "hub")})
+    for q in range(20):
+        seed = f"a{q:03d}"
+        first = [e for e in all_edges if seed in e[1:]]
+        known = {seed, *(x for e in first for x in e[1:])}
+        second = [e for e in all_edges if known.difference([seed]).intersection(e[1:]) and e not in first][: cap - len(first)]
+        assert got[q] == {(1, *e, True) for e in first} | {(2, *e, True) for e in second}
