@@ -15,10 +15,10 @@ def canonical_json(x: Column) -> Column:
     A variant holds an object's fields in the order of their names, so parsing puts them in order. Numbers are written as
     the variant holds them: 1.50 as 1.5, and 1.0 as 1.
     """
-    out = F.to_json(F.try_parse_json(x))
+    plain = out = F.to_json(F.try_parse_json(x))
     for code in ESCAPES:
         out = F.regexp_replace(out, f"(?<!\\\\)((?:\\\\\\\\)*)\\\\u{code}", f"$1\\\\u{code.lower()}")
-    return out
+    return F.when(F.contains(plain, F.lit("\\u")), out).otherwise(plain)  # hardly any text has such an escape, and the patterns are dear
 
 
 def json_hash(x: Column) -> Column:
