@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 500
+#: About so many lines are joined and made distinct in one task.
+LINES = 1 << 19
 
 #: The derived views in SQL, for the queries' twins.
 VIEWS_SQL = {
@@ -35,6 +37,12 @@ def row_place() -> Column:
     return F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
 
 
+def dealt(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """df by hash of keys in tasks of about LINES rows, of n_rows in all; in shuffle partitions at least. What a task holds does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n_rows // LINES)), *keys)
+
+
 class Tables:
     """Tables by name as attributes."""
 
@@ -86,13 +94,14 @@ class Tables:
         def edge(df: DataFrame, relation: str, src: Column, tgt: Column) -> DataFrame:
             return df.select(F.lit(relation).alias("relation"), src.alias("src"), tgt.alias("tgt"))
 
-        owned = self.lineitem.select("l_orderkey", "l_partkey").join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        n = self.lineitem.count()  # from the files' footers
+        owned = dealt(self.lineitem.select("l_orderkey", "l_partkey"), n, "l_orderkey").join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         parts = [
             edge(self.nation, "belongs_to", keyed("N", "n_nationkey"), keyed("R", "n_regionkey")),
             edge(self.supplier, "belongs_to", keyed("S", "s_suppkey"), keyed("N", "s_nationkey")),
             edge(self.customer, "belongs_to", keyed("C", "c_custkey"), keyed("N", "c_nationkey")),
-            edge(self.lineitem.select("l_suppkey", "l_partkey").distinct(), "supplies", keyed("S", "l_suppkey"), keyed("P", "l_partkey")),
-            edge(owned.select("o_custkey", "l_partkey").distinct(), "owns", keyed("C", "o_custkey"), keyed("P", "l_partkey")),
+            edge(dealt(self.lineitem.select("l_suppkey", "l_partkey"), n, "l_suppkey", "l_partkey").distinct(), "supplies", keyed("S", "l_suppkey"), keyed("P", "l_partkey")),
+            edge(dealt(owned.select("o_custkey", "l_partkey"), n, "o_custkey", "l_partkey").distinct(), "owns", keyed("C", "o_custkey"), keyed("P", "l_partkey")),
         ]
         out = parts[0]
         for p in parts[1:]:

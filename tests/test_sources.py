@@ -72,3 +72,18 @@ def test_store_keeps_each_content_once_and_never_overwrites(spark, tmp_path):
     assert sorted(r["sha256"] for r in rows) == sorted(hashlib.sha256(x).hexdigest() for x in (b"same", b"other"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         files.store(found, folder, F.lit("lib"))
+
+
+def test_lines_are_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
+    from lodestone.sources import tables
+    from tests.conftest import SMALL
+
+    lines = tables.Tables(spark, SMALL).lineitem
+    assert tables.dealt(lines, lines.count(), "l_orderkey").rdd.getNumPartitions() == 8
+    before = {tuple(r) for r in tables.Tables(spark, SMALL).edges_v.collect()}
+    monkeypatch.setattr(tables, "LINES", 500)
+    n = -(-lines.count() // 500)
+    edges = tables.Tables(spark, SMALL).edges_v
+    assert n > 8 and "hashpartitioning(l_orderkey#" in edges._jdf.queryExecution().toString() and f", {n})" in edges._jdf.queryExecution().toString()
+    rows = [tuple(r) for r in edges.collect()]
+    assert set(rows) == before and len(rows) == len(before)
