@@ -28,6 +28,8 @@ BLANK = 32
 AFTER = np.iinfo(np.int64).max
 #: What single precision may add to a similarity.
 SLACK = 1e-6
+#: Texts of at most so many runs are scored together, so many at once.
+RUNS, TOGETHER = 128, 64
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +53,16 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate((np.zeros(1, np.int64), np.cumsum(per_text)))
 
 
-def neighbours(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each trigram: whether it is its text's first of its kind, and the place in the text of the next of its kind (after all others, if there is none)."""
+def neighbours(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each trigram: whether it is its text's first of its kind, and the places in the text of the next (after all others, if there is none) and the last of its kind (-1, if there is none)."""
     text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((codes, text_of))
     same = (codes[order[1:]] == codes[order[:-1]]) & (text_of[order[1:]] == text_of[order[:-1]])
-    first, following = np.ones(len(codes), bool), np.full(len(codes), AFTER)
-    first[order[1:][same]] = False
-    following[order[:-1][same]] = order[1:][same] - at[text_of[order[1:][same]]]
-    return first, following
+    following, previous = np.full(len(codes), AFTER), np.full(len(codes), -1)
+    one, two = order[:-1][same], order[1:][same]
+    begin = at[text_of[two]]
+    following[one], previous[two] = two - begin, one - begin
+    return previous < 0, following, previous
 
 
 def best_extent(hit: np.ndarray, following: np.ndarray, n: int, group: int = 128) -> float:
@@ -93,6 +96,82 @@ def best_extent(hit: np.ndarray, following: np.ndarray, n: int, group: int = 128
     return float(best)
 
 
+def run_of(hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many runs of hits have begun in its text up to each place, and how many each text has."""
+    begins = hit.copy()
+    begins[1:] &= ~hit[:-1]
+    opening = at[:-1][np.diff(at) > 0]
+    begins[opening] = hit[opening]
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(begins)))
+    return upto[1:] - np.repeat(upto[at[:-1]], np.diff(at)), upto[at[1:]] - upto[at[:-1]]
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """x with the sums up to each place over its first two axes, in place."""
+    for k in range(1, len(x)):
+        x[k] += x[k - 1]
+    for k in range(1, x.shape[1]):
+        x[:, k] += x[:, k - 1]
+    return x
+
+
+def run_behind(upto: np.ndarray, previous: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first run that begins behind the last of each trigram's kind."""
+    return np.where(previous >= 0, upto[np.repeat(at[:-1], np.diff(at)) + np.maximum(previous, 0)], 0)
+
+
+def some_extent(hit: np.ndarray, last: np.ndarray, previous: np.ndarray, at: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Whether any extent of each text comes to least, be it one that the search passes by. Each text shares least for each trigram of the query at least; last: which trigrams are the last of their kind.
+
+    Such an extent shares least for each trigram of the query and each other one of its own. So it does not end before a
+    text has shared so many from its beginning on, nor begin where it shares fewer up to its end; only those between are counted.
+    """
+    own, c = np.repeat(np.arange(len(at) - 1), np.diff(at)), max(1, math.ceil(least * n))
+    upto, runs = run_of(hit, at)
+    ending = upto - hit
+    opens, closes = np.flatnonzero(hit & (previous < 0)), np.flatnonzero(hit & last)
+    ends = ending[opens[np.searchsorted(opens, at[:-1]) + c - 1]]  # the first run to end with
+    width, height = int(ending[closes[np.searchsorted(closes, at[1:]) - c]].max()) + 1, int((runs - ends).max())
+    row = np.maximum(ending - ends[own], 0)
+    behind, stop = run_behind(upto, previous, at), upto  # it counts for begins from behind on and before stop
+    gain = np.where(hit, 1.0, -least)
+    plus, minus = ((row < height) & (x < width) & (behind < stop) for x in (behind, stop))
+    texts, cell = len(at) - 1, row * width
+    cells = np.concatenate((((cell + behind) * texts + own)[plus], ((cell + stop) * texts + own)[minus]))  # end, begin, text
+    total = np.bincount(cells, weights=np.concatenate((gain[plus], -gain[minus])), minlength=height * width * texts)
+    return summed(total.reshape(height, width, texts)).max(axis=(0, 1)) >= least * n - SLACK
+
+
+def best_extents(hit: np.ndarray, previous: np.ndarray, at: np.ndarray, n: int, least: float = 0.0) -> np.ndarray:
+    """As best_extent, of some texts with few runs each, one after another (at: where each begins); 0 where no extent comes to least.
+
+    A place adds to the extents that hold it and begin behind the last of its kind. Counted by its own run (of other
+    trigrams: the run that follows) and the first run behind the last of its kind, the places thus give the counts of all
+    extents as sums over both.
+    """
+    texts, own = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
+    upto, runs = run_of(hit, at)
+    r = max(1, int(runs.max(initial=0)))
+    behind, ending = run_behind(upto, previous, at), upto - hit
+    inside = (behind < r) & (ending < r)
+    cell = (ending * r + behind) * texts + own  # end, begin, text
+    shared, other = (summed(np.bincount(cell[inside & kind], minlength=r * r * texts).reshape(r, r, texts)) for kind in (hit, ~hit))
+    shared[:, 1:] -= np.diagonal(shared, 1).T.copy()
+    other -= np.diagonal(other).T.copy()
+    found = shared.astype(np.float32) / (n + np.maximum(other, 0)).astype(np.float32)  # 0 at most where an extent begins behind its end
+    out = np.zeros(texts, np.float32)
+    able = np.flatnonzero(found.max(axis=(0, 1)) >= max(least, np.finfo(np.float32).tiny))
+    found, runs = found[:, :, able], runs[able]
+    begin, best, nth = np.zeros(len(able), np.int64), np.zeros(len(able), np.float32), np.arange(len(able))
+    for end in range(int(runs.max(initial=0))):
+        scores = np.where(np.arange(end + 1)[:, None] >= begin, found[end, : end + 1], -1)
+        k = scores.argmax(axis=0)
+        begin = np.where(end < runs, k, begin)
+        best = np.where(end < runs, np.maximum(best, scores[k, nth]), best)
+    out[able] = best
+    return out
+
+
 def word_similarity(query: str, text: str) -> float:
     """The similarity of one query and one text; 0 if either has no word."""
     wanted = np.unique(trigrams([query])[0])
@@ -131,8 +210,8 @@ class _Index:
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, at, -1)
 
-    def candidates(self, ids: np.ndarray, text_of: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        """Text and query of the pairs that share enough posted trigrams. ids: different ones of each of n texts, none -1."""
+    def candidates(self, ids: np.ndarray, text_of: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts and queries of the pairs that share enough posted trigrams. ids: different ones of each of n texts, none -1."""
         q = len(self.own)
         step = max(1, (1 << 22) // max(1, q))
         for first in range(0, n, step):
@@ -142,7 +221,8 @@ class _Index:
             key = np.repeat(text_of[a:b] - first, sizes) * q + self.queries[at]
             rows = min(step, n - first)
             found = np.bincount(key, minlength=rows * q).reshape(rows, q)
-            yield from ((first + int(k), int(i)) for k, i in zip(*np.nonzero(found >= self.need - self.need // 2), strict=True))
+            k, i = np.nonzero(found >= self.need - self.need // 2)
+            yield first + k, i
 
 
 class _Field:
@@ -151,21 +231,14 @@ class _Field:
     def __init__(self, texts: list[str], index: _Index) -> None:
         codes, self.at = trigrams(texts)
         self.index, self.ids = index, index.ids(codes)
-        self.first, self.following = neighbours(codes, self.at)
+        self.first, self.following, self.previous = neighbours(codes, self.at)
 
-    def candidates(self) -> Iterator[tuple[int, int]]:
-        """Row and query of the pairs that may reach the index's threshold, and some others."""
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and queries of the pairs that may reach the index's threshold, and some others."""
         once = np.flatnonzero(self.first & (self.ids >= 0))
         text_of = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))[once]
         return self.index.candidates(self.ids[once], text_of, len(self.at) - 1)
 
-    def hit(self, row: int, q: int) -> np.ndarray:
-        mark, own = self.index.mark, self.index.own[q]
-        mark[own] = True
-        hit = mark[self.ids[self.at[row] : self.at[row + 1]]]
-        mark[own] = False
-        return hit
-
     def may_reach(self, row: int, q: int, hit: np.ndarray, t: float) -> bool:
         """False only if the similarity is below t: an extent that reaches it shares t for each trigram of the query and each other trigram of its own, of which those that no place before holds are its own for certain."""
         t, n, first = t - SLACK, len(self.index.own[q]), self.first[self.at[row] : self.at[row + 1]]
@@ -174,22 +247,49 @@ class _Field:
         gain = np.cumsum(np.where(hit, 1.0, np.where(first, -t, 0.0)))
         return bool(len(gain)) and bool((gain - np.minimum(np.minimum.accumulate(np.concatenate(([0.0], gain[:-1]))), gain)).max() >= t * n - SLACK)
 
-    def score(self, row: int, q: int, hit: np.ndarray) -> float:
-        return best_extent(hit, self.following[self.at[row] : self.at[row + 1]], len(self.index.own[q]))
-
-
-def _score(fields: list[tuple[_Field, float]], row: int, q: int, threshold: float, least: float) -> float | None:
-    """The greatest similarity times boost of the columns; None if none reaches the threshold, or surely if the score is below least."""
-    hits = [f.hit(row, q) for f, _ in fields]
-    if not any(f.may_reach(row, q, h, threshold) for (f, _), h in zip(fields, hits, strict=True)):
-        return None
-    able = [least <= 0 or f.may_reach(row, q, h, least / boost) for (f, boost), h in zip(fields, hits, strict=True)]
-    if not any(able):
-        return None
-    scores = [f.score(row, q, h) if ok else 0.0 for (f, _), h, ok in zip(fields, hits, able, strict=True)]
-    top = max(s * boost for s, (_, boost) in zip(scores, fields, strict=True))
-    reached = max(scores) >= threshold or any(not ok and f.score(row, q, h) >= threshold for (f, _), h, ok in zip(fields, hits, able, strict=True))
-    return top if reached and top >= least else None
+    def scores(self, rows: np.ndarray, q: int, least: float, only_whether: bool = False) -> np.ndarray:
+        """The similarity of each row and one query; 0 if it is surely below least. only_whether: 1 in place of those that may come to it."""
+        n, mark, least, out = len(self.index.own[q]), self.index.mark, least - SLACK, np.zeros(len(rows))
+
+        def places(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sizes = self.at[of + 1] - self.at[of]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+            return np.repeat(self.at[of] - ends[:-1], sizes) + np.arange(ends[-1]), ends
+
+        where, ends = places(rows)
+        mark[self.index.own[q]] = True
+        hit = mark[self.ids[where]]
+        own = np.repeat(np.arange(len(rows)), np.diff(ends))
+        shared, (_, runs) = np.bincount(own[hit & self.first[where]], minlength=len(rows)), run_of(hit, ends)
+        able = np.flatnonzero(shared >= max(1, least * n))
+        for k in able[runs[able] > RUNS]:
+            row, one = int(rows[k]), hit[ends[k] : ends[k + 1]]
+            if self.may_reach(row, q, one, least):
+                out[k] = 1 if only_whether else best_extent(one, self.following[self.at[row] : self.at[row + 1]], n)
+        able = able[runs[able] <= RUNS]
+        able = able[np.argsort(shared[able], kind="stable")]  # those that are alike together
+        for k in range(0, len(able), TOGETHER):
+            some = able[k : k + TOGETHER]
+            where, ends = places(rows[some])
+            fine = some_extent(mark[self.ids[where]], self.following[where] == AFTER, self.previous[where], ends, n, least)
+            out[some[fine]] = 1
+            if fine.any() and not only_whether:
+                where, ends = places(rows[some[fine]])
+                out[some[fine]] = best_extents(mark[self.ids[where]], self.previous[where], ends, n, least)
+        mark[self.index.own[q]] = False
+        return out
+
+
+def _scores(fields: list[tuple[_Field, float]], rows: np.ndarray, q: int, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of which a column reaches the threshold, and the greatest similarity times boost of their columns; none that are below least."""
+    able = [f.scores(rows, q, least / boost if least > 0 else threshold, only_whether=True) > 0 for f, boost in fields]
+    rows = rows[np.logical_or.reduce(able)]
+    if not len(rows):
+        return rows, np.zeros(0)
+    found = np.stack([f.scores(rows, q, min(threshold, least / boost)) for f, boost in fields])
+    top = (found * np.array([boost for _, boost in fields])[:, None]).max(axis=0)
+    kept = (found.max(axis=0) >= threshold) & (top >= least)
+    return rows[kept], top[kept]
 
 
 def _local(asked: pa.Table, boosts: dict[str, float], threshold: float, k: int):  # noqa: ANN202
@@ -205,11 +305,15 @@ def _local(asked: pa.Table, boosts: dict[str, float], threshold: float, k: int):
                     index.post(np.concatenate([f.ids for f, _ in fields]))
                     posted = True
                 ids = part.column("id").to_pylist()
-                for row, q in sorted({pair for f, _ in fields for pair in f.candidates()}):
-                    full = len(best[q]) >= k
-                    score = _score(fields, row, q, threshold, best[q][0][0] if full else 0.0)
-                    if score is not None:
-                        (heapq.heappushpop if full else heapq.heappush)(best[q], (score, -ids[row]))
+                pairs = [q * part.num_rows + row for f, _ in fields for row, q in f.candidates()]
+                asker, row = np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), part.num_rows)
+                for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(asker)) + 1) if len(row) else ():
+                    q = int(asker[at[0]])
+                    while len(at):
+                        full = len(best[q]) >= k
+                        some, at = (at, at[:0]) if full else (at[:TOGETHER], at[TOGETHER:])
+                        for r, score in zip(*(x.tolist() for x in _scores(fields, row[some], q, threshold, best[q][0][0] if full else 0.0)), strict=True):
+                            (heapq.heappushpop if len(best[q]) >= k else heapq.heappush)(best[q], (score, -ids[r]))
         found = [(own[q], -minus, score) for q, heap in enumerate(best) for score, minus in heap]
         yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,3 +117,35 @@ def test_registered_query_over_all_pairs(spark):
     got = [r for r in QUERIES["retrieval_word_similarity"](spark, SMALL).select("query_id", "id", "score", "rank").collect() if r[0] in {q for q, _ in queries}]
     scores = {(q, i): s for q, i, s, _ in over_all_pairs(docs, queries, len(docs))}
     assert got and all(scores.get((r["query_id"], r["id"])) == r["score"] for r in got if r["id"] in known)
+
+
+@settings(max_examples=500, deadline=None)
+@given(WORDS, st.lists(WORDS, max_size=5), st.floats(0, 1))
+def test_texts_together(query, texts, least):
+    wanted = np.unique(similarity.trigrams([query])[0])
+    codes, at = similarity.trigrams(texts)
+    hit = np.isin(codes, wanted)
+    first, following, previous = similarity.neighbours(codes, at)
+    expected = np.array([plain(query, t) for t in texts])
+    if len(wanted):
+        assert similarity.best_extents(hit, previous, at, len(wanted)).tolist() == expected.tolist()
+        some = similarity.best_extents(hit, previous, at, len(wanted), least)
+        assert (some[expected >= least] == expected[expected >= least]).all()
+        index = similarity._Index([query], 0.3)
+        for floor in (0.0, least):
+            got = similarity._Field(texts, index).scores(np.arange(len(texts)), 0, floor)
+            assert (got[expected >= floor] == expected[expected >= floor]).all() and set(got) <= {0.0, *expected}
+
+
+@pytest.mark.parametrize("runs", [128, 2, 0])
+def test_pairs_are_scored_together(monkeypatch, runs):
+    docs, queries = made(80)
+    alone = []
+    monkeypatch.setattr(similarity, "RUNS", runs)
+    monkeypatch.setattr(similarity, "best_extent", lambda *a, f=similarity.best_extent: alone.append(a) or f(*a))
+    asked = pa.table({"q": [q for q, _ in queries], "query": [t for _, t in queries]})
+    rows = pa.RecordBatch.from_pydict({name: [d[n] for d in docs] for n, name in enumerate(("id", "text", "title", "external_id"))})
+    run = similarity._local(asked, {"text": 1.0, "title": 1.5, "external_id": 2.0}, 0.3, 7)
+    got = [(r["query_id"], r["id"], r["score"]) for b in run([rows.slice(0, 45), rows.slice(45)]) for r in b.to_pylist()]
+    assert sorted(got) == [r[:3] for r in over_all_pairs(docs, queries, 7)]
+    assert bool(alone) == (runs < 128)
