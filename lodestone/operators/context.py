@@ -20,6 +20,16 @@ def _value(x: Column) -> Column:
     return F.substring(held, F.lit(6), F.length(held) - 6)
 
 
+def _inside(held: Column) -> Column:
+    """What an object's JSON text has between its braces."""
+    return F.substring(held, F.lit(2), F.length(held) - 2)
+
+
+def _rendered(piece: Column, ref: Column, role: str) -> Column:
+    """The canonical JSON of a chunk under a name: its parts, with name and role in their places among the keys."""
+    return F.concat(F.lit("{"), piece["first"], F.lit(',"context_ref":"'), ref, F.lit('",'), piece["middle"], F.lit(f',"role":"{role}",'), piece["last"], F.lit("}"))
+
+
 def snapshots(chunks: DataFrame, docs: DataFrame, *, before: int = 2, after: int = 2, budget: int = 3000, policy: str = "context-v1", ontology_hash: str = "") -> DataFrame:
     """chunk_id, status, previous, following, evidence, path_source, context, context_chars, mapping, context_hash, metadata_kept: a row for each chunk.
 
@@ -31,30 +41,33 @@ def snapshots(chunks: DataFrame, docs: DataFrame, *, before: int = 2, after: int
     The hash is that of context, mapping, policy and ontology together. Nulls are written as such; a chunk whose document is not there has a null title and metadata.
     """
     path = F.coalesce("title_path", F.array().cast("array<string>"))
-    piece = lambda ref, role: _json(**{p: F.col(p) for p in PARTS if p not in ("position", "title_path")}, title_path=F.col("title_path"), position=F.try_parse_json("position"), context_ref=F.lit(ref), role=F.lit(role))
+    held = lambda *names: _inside(_json(**{n: F.try_parse_json("position") if n == "position" else F.col(n) for n in names}))
+    # a chunk's text is made JSON once, whatever it is shown as
+    piece = F.struct(held("block_kind", "chunk_kind").alias("first"), held("page_end", "page_start", "position").alias("middle"), held("source_end", "source_start", "text", "title_path").alias("last"))
     rows = chunks.select("doc_id", F.col("chunk_id").cast("string").alias("chunk_id"), "seq", "path_source", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"), path.alias("title_path"), *[c for c in PARTS if c != "title_path"])
-    rows = rows.select("doc_id", "chunk_id", "seq", "path_source", "evidence_ids", "title_path", piece("c0", "current").alias("own"), piece("p1", "neighbor").alias("other"))
-    rows = rows.withColumn("fit", F.size("evidence_ids") > 0)
+    rows = rows.select("doc_id", "chunk_id", "seq", "path_source", "evidence_ids", "title_path", piece.alias("piece"))
+    rows = rows.withColumns({"fit": F.size("evidence_ids") > 0, "chars": F.length(_rendered(F.col("piece"), F.lit("p1"), "neighbor"))})
     w = Window.partitionBy("doc_id", "title_path", "fit").orderBy("seq", "chunk_id")
-    at = lambda f, n, side: F.struct(F.abs(f("seq", n).over(w) - F.col("seq")).alias("distance"), F.lit(side).alias("side"), F.lit(n).alias("nth"), f("chunk_id", n).over(w).alias("chunk_id"), f("evidence_ids", n).over(w).alias("evidence_ids"), f("other", n).over(w).alias("json"))
+    at = lambda f, n, side: F.struct(F.abs(f("seq", n).over(w) - F.col("seq")).alias("distance"), F.lit(side).alias("side"), F.lit(n).alias("nth"), f("chunk_id", n).over(w).alias("chunk_id"), f("evidence_ids", n).over(w).alias("evidence_ids"), f("chars", n).over(w).alias("chars"), f("piece", n).over(w).alias("piece"))
     near = [at(F.lag, n, 0) for n in range(1, before + 1)] + [at(F.lead, n, 1) for n in range(1, after + 1)]
     rows = rows.withColumn("near", F.array_sort(F.filter(F.array(*near), lambda x: x["distance"].isNotNull())) if near else F.array())
-    rows = rows.join(docs.select("doc_id", F.col("title").alias("_title"), F.col("metadata").alias("_metadata")), "doc_id", "left")
+    about = docs.select("doc_id", _value(F.col("title")).alias("_title"), F.col("metadata").isNotNull().alias("_told"), canonical_json(F.col("metadata")).alias("_metadata"))
+    rows = rows.join(about, "doc_id", "left").withColumn("own", _rendered(F.col("piece"), F.lit("c0"), "current"))
 
-    frame = lambda metadata: F.concat(F.lit('],"document":{"metadata":'), metadata, F.lit(',"title":'), _value(F.col("_title")), F.lit('},"effective_title_path":'), _value(F.col("title_path")), F.lit("}"))
-    rows = rows.withColumns({"whole": frame(F.coalesce(canonical_json(F.col("_metadata")), F.lit("null"))), "bare": frame(F.lit("null"))})
+    frame = lambda metadata: F.concat(F.lit('],"document":{"metadata":'), metadata, F.lit(',"title":'), F.coalesce("_title", F.lit("null")), F.lit('},"effective_title_path":'), _value(F.col("title_path")), F.lit("}"))
+    rows = rows.withColumns({"whole": frame(F.coalesce("_metadata", F.lit("null"))), "bare": frame(F.lit("null"))})
     head = F.length("own") + 11  # {"chunks":[ and the chunk
-    sizes = F.transform("near", lambda x, i: F.aggregate(F.slice("near", F.lit(1), i + 1), F.lit(0), lambda total, y: total + F.length(y["json"]) + 1))
+    sizes = F.transform("near", lambda x, i: F.aggregate(F.slice("near", F.lit(1), i + 1), F.lit(0), lambda total, y: total + y["chars"] + 1))
     rows = rows.withColumn("stay", F.size(F.filter(sizes, lambda s: s + head + F.length("whole") <= budget)))
     keeps = (F.col("stay") > 0) | (head + F.length("whole") <= budget)
     tail = F.when(keeps, F.col("whole")).otherwise(F.col("bare"))
     status = F.when(~F.col("fit"), "no_evidence").when(head + F.length(tail) > budget, "too_long").otherwise("ok")
     kept = F.slice("near", F.lit(1), F.col("stay"))
     side = lambda n: F.filter("kept", lambda x: x["side"] == n)
-    rows = rows.withColumns({"status": status, "tail": tail, "metadata_kept": keeps & F.col("_metadata").isNotNull(), "kept": kept}).withColumns({"previous": side(0), "following": side(1)})
+    rows = rows.withColumns({"status": status, "tail": tail, "metadata_kept": keeps & F.coalesce("_told", F.lit(False)), "kept": kept}).withColumns({"previous": side(0), "following": side(1)})
 
     named = lambda x, i, letter: F.concat(F.lit(letter), (i + 1).cast("string"))
-    put = lambda column, letter: F.transform(column, lambda x, i: F.replace(x["json"], F.lit('"context_ref":"p1"'), F.concat(F.lit('"context_ref":"'), named(x, i, letter), F.lit('"'))))
+    put = lambda column, letter: F.transform(column, lambda x, i: _rendered(x["piece"], named(x, i, letter), "neighbor"))
     context = F.concat(F.lit('{"chunks":['), F.array_join(F.concat(F.array("own"), put("previous", "p"), put("following", "n")), ","), "tail")
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     entry = lambda ref, chunk, ids, role: F.concat(F.lit('"'), ref, F.lit('":{"chunk_id":'), quoted(chunk), F.lit(',"evidence_ids":'), F.to_json(ids), F.lit(',"primary_evidence_id":'), quoted(F.get(ids, F.lit(0))), F.lit(f',"role":"{role}"}}'))

@@ -69,3 +69,13 @@ def test_same_as_plain(spark, before, after, budget):
     expected = plain(chunks, docs, before, after, budget)
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
     assert got == expected
+
+
+def test_a_position_that_looks_like_a_name(spark):
+    chunks, docs = made()
+    chunks = [x | {"position": '{"context_ref":"p1"}'} for x in chunks if x["doc_id"] == 1]
+    c = spark.createDataFrame([tuple(x[f.split()[0]] for f in SCHEMA.split(", ")) for x in chunks], SCHEMA)
+    d = spark.createDataFrame([(k, *v) for k, v in docs.items()], "doc_id long, title string, metadata string")
+    got = {r["chunk_id"]: r["context"] for r in snapshots(c, d, budget=100_000).collect()}
+    assert got == {k: v[3] for k, v in plain(chunks, docs, 2, 2, 100_000).items()}
+    assert any('"context_ref":"p2"' in x for x in got.values() if x)
