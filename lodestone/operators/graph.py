@@ -15,8 +15,9 @@ _WIDE = 1 << 20
 
 
 def entity_candidates(occurrences: DataFrame, key: str) -> DataFrame:
-    """One row for each key: the first occurrence's payload, the greatest confidence, how many there are. occurrences: key, unit, ref, payload, confidence."""
-    return occurrences.groupBy(key).agg(F.min_by("payload", F.struct("unit", "ref")).alias("payload"), F.max("confidence").alias("confidence"), F.count("*").alias("occurrences"))
+    """One row for each key: the payload of the first occurrence that has one, the greatest confidence, how many there are. occurrences: key, unit, ref, payload, confidence."""
+    first = F.when(F.col("payload").isNotNull(), F.struct(F.col("unit").isNull(), "unit", "ref"))  # a row whose place is null is passed over
+    return occurrences.groupBy(key).agg(F.min_by("payload", first).alias("payload"), F.max("confidence").alias("confidence"), F.count("*").alias("occurrences"))
 
 
 def aliases(names: DataFrame, key: str) -> DataFrame:

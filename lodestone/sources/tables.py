@@ -37,6 +37,11 @@ def row_place() -> Column:
     return F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
 
 
+def nulls_last(*columns: str) -> list[Column]:
+    """Columns as parts of a struct in whose order a null comes after all values."""
+    return [x for c in columns for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))]
+
+
 def dealt(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
     """df by hash of keys in tasks of about LINES rows, of n_rows in all; in shuffle partitions at least. What a task holds does not grow with the table."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
