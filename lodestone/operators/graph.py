@@ -28,7 +28,8 @@ def aliases(names: DataFrame, key: str) -> DataFrame:
 
 def property_values(rows: DataFrame, key: str) -> DataFrame:
     """key, property, value of the first row that has it, and whether there are others. rows: key, property, value, ord."""
-    return rows.groupBy(key, "property").agg(F.min_by("value", "ord").alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
+    first = F.when(F.col("value").isNotNull(), F.col("ord"))
+    return rows.groupBy(key, "property").agg(F.min_by("value", first).alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
 
 
 def evidence_quality(rows: DataFrame, keys: list[str]) -> DataFrame:
