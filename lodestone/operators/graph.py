@@ -9,6 +9,7 @@ from lodestone.functions import scores
 from lodestone.functions import text as tx
 from lodestone.operators.candidates import lexical_candidates
 from lodestone.sources.shared import saved
+from lodestone.sources.tables import dealt
 
 #: A cap of so many relations cuts no hub that is worth putting in order first.
 _WIDE = 1 << 20
@@ -189,14 +190,24 @@ def link_decisions(mentions: DataFrame, entities: DataFrame, *, floor: int = 500
     return out.select("mention_id", status.alias("status"), F.when(status == "linked", F.col("best.node_id")).alias("selected"), F.col("best.score").alias("score"), gap.alias("margin"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def planned_entities(nodes: DataFrame, *, least: float = 0.85) -> DataFrame:
+    """nodes with the first reason that blocks each (null: published). nodes: node_id, status, confidence, evidence."""
+    reason = scores.first_of((F.col("status") != "active", "not_active"), (F.col("confidence") < least, "low_confidence"), (F.col("evidence") == 0, "no_evidence"), otherwise="ok")
+    return nodes.withColumn("reason", F.nullif(reason, F.lit("ok")))
+
+
+def relation_reason(status: Column, confidence: Column, blocked: Column, least: float = 0.85) -> Column:
+    """The first reason that blocks a relation, null if none does. blocked: whether one of its ends is."""
+    return F.nullif(scores.first_of((status != "active", "not_active"), (confidence < least, "low_confidence"), (blocked, "endpoint_blocked"), otherwise="ok"), F.lit("ok"))
+
+
 def publication_plan(nodes: DataFrame, edges: DataFrame, *, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Items with the first reason that blocks each (null: published); relations wait for both of their ends. nodes: node_id, status, confidence, evidence; edges: relation, src, tgt, status, confidence."""
-    reason = scores.first_of((F.col("status") != "active", "not_active"), (F.col("confidence") < least, "low_confidence"), (F.col("evidence") == 0, "no_evidence"), otherwise="ok")
-    entities = nodes.withColumn("reason", F.nullif(reason, F.lit("ok")))
+    entities = planned_entities(nodes, least=least)
     live = entities.where("reason IS NULL").select("node_id")
     a, b = live.select(F.col("node_id").alias("src"), F.lit(True).alias("_a")), live.select(F.col("node_id").alias("tgt"), F.lit(True).alias("_b"))
-    reason = scores.first_of((F.col("status") != "active", "not_active"), (F.col("confidence") < least, "low_confidence"), (F.col("_a").isNull() | F.col("_b").isNull(), "endpoint_blocked"), otherwise="ok")
-    relations = edges.join(a, "src", "left").join(b, "tgt", "left").withColumn("reason", F.nullif(reason, F.lit("ok"))).drop("_a", "_b")
+    reason = relation_reason(F.col("status"), F.col("confidence"), F.col("_a").isNull() | F.col("_b").isNull(), least)
+    relations = edges.join(a, "src", "left").join(b, "tgt", "left").withColumn("reason", reason).drop("_a", "_b")
     return entities, relations
 
 
@@ -206,7 +217,19 @@ def manifest_hash(items: DataFrame, by: list[str], hash_column: str, policy: str
     return part.groupBy(*by).agg(F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "h"))), lambda x: x["h"]), ""), F.lit(policy)), 256).alias("manifest_hash"), F.sum("n").alias("items"))
 
 
-def reconciled(stored: DataFrame, planned: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and state: same, changed or missing of the stored items (with item_hash) against those planned anew."""
-    p = planned.select(*keys, F.col("item_hash").alias("_h"))
-    return stored.join(p, keys, "left").select(*keys, F.when(F.col("_h").isNull(), "missing").when(F.col("_h") != F.col("item_hash"), "changed").otherwise("same").alias("state"))
+def planned_items(ends: DataFrame, n_rows: int, sources: DataFrame, targets: DataFrame, *, once: bool) -> DataFrame:
+    """source, target, stored and planned: how often each relation is stored, and how often it is planned anew from published ends. ends: source, target, in n_rows rows (once: equal ones are one); sources, targets: the key of each published entity.
+
+    Rows go to their target and then to their source, where equal ones meet as well: two keys of each row are shuffled twice.
+    """
+    many = lambda side, name: side.groupBy(F.col("key").alias(name)).agg(F.count("*").alias(f"_{name}"))
+    met = dealt(ends, n_rows, "target").join(many(targets, "target"), "target", "left")
+    met = dealt(met, n_rows, "source").join(many(sources, "source"), "source", "left")
+    stored = F.lit(1).cast("long") if once else F.count("*")
+    rows = met.groupBy("source", "target", F.coalesce(F.col("_source") * F.col("_target"), F.lit(0)).alias("_each")).agg(stored.alias("stored"))
+    return rows.select("source", "target", "stored", (F.col("stored") * F.col("_each")).alias("planned"))
+
+
+def reconciled(stored: Column, planned: Column) -> Column:
+    """same, changed or missing of a stored item's hash against that planned anew (null: none is)."""
+    return F.when(planned.isNull(), "missing").when(planned != stored, "changed").otherwise("same")

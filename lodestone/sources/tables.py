@@ -32,6 +32,11 @@ def keyed(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
+def node_key(kind: str, key: str) -> Column:
+    """The id of a node of a type by its key."""
+    return keyed(kind[0].upper(), key)
+
+
 def row_place() -> Column:
     """Where a row of a table that was read from files stands in it: of rows that are equal in an order, the first in the table comes first."""
     return F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
@@ -94,23 +99,24 @@ class Tables:
         nodes = [getattr(self, t).select(keyed(p, k).alias("node_id"), F.lit(t).alias("type_key"), F.col(n).alias("name")) for t, p, k, n in parts]
         return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]).unionByName(nodes[3]).unionByName(nodes[4])
 
-    @cached_property
-    def edges_v(self) -> DataFrame:
-        def edge(df: DataFrame, relation: str, src: Column, tgt: Column) -> DataFrame:
-            return df.select(F.lit(relation).alias("relation"), src.alias("src"), tgt.alias("tgt"))
-
+    def edge_ends(self) -> list[tuple[str, str, str, DataFrame, int]]:
+        """Of each kind of relation its name, the types of its source and target, their keys, and about how many rows these are: of lines' relations one for each line."""
         n = self.lineitem.count()  # from the files' footers
         owned = dealt(self.lineitem.select("l_orderkey", "l_partkey"), n, "l_orderkey").join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        parts = [
-            edge(self.nation, "belongs_to", keyed("N", "n_nationkey"), keyed("R", "n_regionkey")),
-            edge(self.supplier, "belongs_to", keyed("S", "s_suppkey"), keyed("N", "s_nationkey")),
-            edge(self.customer, "belongs_to", keyed("C", "c_custkey"), keyed("N", "c_nationkey")),
-            edge(dealt(self.lineitem.select("l_suppkey", "l_partkey"), n, "l_suppkey", "l_partkey").distinct(), "supplies", keyed("S", "l_suppkey"), keyed("P", "l_partkey")),
-            edge(dealt(owned.select("o_custkey", "l_partkey"), n, "o_custkey", "l_partkey").distinct(), "owns", keyed("C", "o_custkey"), keyed("P", "l_partkey")),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        kinds = (
+            ("belongs_to", "nation", "region", self.nation, "n_nationkey", "n_regionkey", 0), ("belongs_to", "supplier", "nation", self.supplier, "s_suppkey", "s_nationkey", 0),
+            ("belongs_to", "customer", "nation", self.customer, "c_custkey", "c_nationkey", 0), ("supplies", "supplier", "part", self.lineitem, "l_suppkey", "l_partkey", n), ("owns", "customer", "part", owned, "o_custkey", "l_partkey", n),
+        )
+        return [(relation, a, b, df.select(F.col(source).alias("source"), F.col(target).alias("target")), rows) for relation, a, b, df, source, target, rows in kinds]
+
+    @cached_property
+    def edges_v(self) -> DataFrame:
+        out = None
+        for relation, a, b, ends, n in self.edge_ends():
+            if relation != "belongs_to":
+                ends = dealt(ends, n, "source", "target").distinct()
+            part = ends.select(F.lit(relation).alias("relation"), node_key(a, "source").alias("src"), node_key(b, "target").alias("tgt"))
+            out = part if out is None else out.unionByName(part)
         return out
 
     @cached_property
