@@ -42,10 +42,11 @@ def drained(df: DataFrame, name: str, mode: str = "append", *, folder: str | Non
 def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """The rows of a stream's batches, each in a folder of its own under rows, and `batch`."""
     schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*") if _any(spark, folder) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*") if any_written(spark, folder) else spark.createDataFrame([], schema)
 
 
-def _any(spark: SparkSession, folder: str) -> bool:
+def any_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a stream has written any batch."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 

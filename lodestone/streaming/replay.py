@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import scores
-from lodestone.streaming.events import written
+from lodestone.sources.tables import dealt
+from lodestone.streaming.events import any_written
 
 OUTCOMES = T.StructType([T.StructField(n, kind) for n, kind in (("unit", T.LongType()), ("ordinal", T.IntegerType()), ("seq", T.LongType()), *((n, T.StringType()) for n in ("source", "target", "outcome", "held_source", "held_target")))])
 #: Of each ordinal of a unit: the ends that came first, whether it was purged, and which other ends have been told.
 HELD = "unit long, ordinal int, held_source string, held_target string, purged boolean, told array<struct<source: string, target: string>>"
 _KEY = ["unit", "ordinal"]
+#: About so many rows of a batch are shuffled at once.
+AT_ONCE = 1 << 24
+#: Outcomes that change what is held, and those whose own ends are the held ones.
+_NEWS, _OWN = ("created", "purged", "conflict_opened"), ("created", "replayed")
 
 
 def occurrences_of(rows: DataFrame) -> DataFrame:
@@ -48,40 +55,53 @@ def outcomes(rows: DataFrame, held: DataFrame) -> DataFrame:
     return known.select(*_KEY, "seq", "source", "target", outcome.alias("outcome"), F.col("_ends.source").alias("held_source"), F.col("_ends.target").alias("held_target"))
 
 
-def held_after(held: DataFrame, told: DataFrame) -> DataFrame:
-    """What is held after a batch whose outcomes are `told`; an ordinal of which only purges came is not held."""
+def held_of(news: DataFrame) -> DataFrame:
+    """What is held (HELD) after the batches whose news these are: of their outcomes (see outcomes) those that change it, of which each ordinal has one that created it."""
+    first = news.where("outcome = 'created'").select(*_KEY, "held_source", "held_target")
     opened = F.array_sort(F.collect_list(F.when(F.col("outcome") == "conflict_opened", F.struct("source", "target"))))
-    ends = F.first(F.when(~F.col("outcome").isin("purge_of_unknown"), F.struct("held_source", "held_target")), ignorenulls=True)
-    new = told.groupBy(*_KEY).agg(ends.alias("_ends"), F.bool_or(F.col("outcome") == "purged").alias("_purged"), opened.alias("_told")).where("_ends IS NOT NULL")
-    none = F.array().cast("array<struct<source: string, target: string>>")
-    kept = lambda name: F.when(F.col("_ends").isNull(), F.col(name)).otherwise(F.col(f"_ends.{name}")).alias(name)
-    return held.join(new, _KEY, "full_outer").select(
-        *_KEY, kept("held_source"), kept("held_target"), (F.coalesce("purged", F.lit(False)) | F.coalesce("_purged", F.lit(False))).alias("purged"),
-        F.concat(F.coalesce("told", none), F.coalesce("_told", none)).alias("told"),
-    )
+    since = news.where("outcome <> 'created'").groupBy(*_KEY).agg(F.bool_or(F.col("outcome") == "purged").alias("purged"), opened.alias("told"))
+    return first.join(since, _KEY, "left")
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes as they were told, with batch and news; files leave out the held ends of those that have them as their own."""
+    rows = spark.read.schema(T.StructType([*OUTCOMES.fields, T.StructField("batch", T.LongType()), T.StructField("news", T.BooleanType())])).parquet(f"{folder}/rows")
+    own = F.col("outcome").isin(*_OWN)
+    return rows.withColumns({f"held_{end}": F.when(own, F.col(end)).otherwise(F.col(f"held_{end}")) for end in ("source", "target")})
 
 
-def replayed(occurrences: DataFrame, folder: str) -> DataFrame:
+def replayed(occurrences: DataFrame, folder: str, taken: Callable[[DataFrame], DataFrame] | None = None, *, at_once: int = AT_ONCE) -> DataFrame:
     """unit, ordinal, seq, source, target, outcome, held_source, held_target and batch of each delivered row of a stream, run until its source is read; run again over the same folder it goes on where it was.
 
     occurrences: unit, ordinal, kind (occurrence or purge), source, target, seq (the rows of an ordinal count in its order
     within a batch, and batches as they come). An ordinal's first occurrence is created. The same ends again are a replay
     and change nothing; other ends open a conflict, once for each pair of ends, and what is held stays; nothing may come for
     an ordinal that was purged, and a purge of what is not held changes nothing. Rows without a unit, ordinal or seq take no
-    part; null ends are ends like others. What is held is a table of one row for each ordinal (the ends that came first and
-    the other ones that were told); each batch joins that of the batch before and writes its own, so a batch that is run
-    again replaces itself.
+    part; null ends are ends like others. What is held (of each ordinal the ends that came first, the other ones that were
+    told, and whether it was purged) is no table of its own: it follows from the outcomes that were news, which lie apart
+    from those that repeat. Each batch reads the news of those before and writes its own outcomes, so a batch that is run
+    again replaces itself. A large batch is done in parts by ordinal, of about `at_once` rows each: the shuffle files of
+    a part go when it is written, so what lies on disk beside the outcomes does not grow with the batch.
+
+    taken: where the rows of the stream are notices, gives the occurrences that the notices of a batch stand for, from
+    where they lie; it must give the same ones if it is asked again.
     """
 
     def run(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        held = spark.read.schema(HELD).parquet(f"{folder}/held/{batch - 1}") if batch else spark.createDataFrame([], HELD)
-        outcomes(rows, held).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
-        told = spark.read.schema(OUTCOMES).parquet(f"{folder}/rows/batch={batch}")
-        held_after(held, told).write.mode("overwrite").parquet(f"{folder}/held/{batch}")
-
-    occurrences_of(occurrences).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return written(occurrences.sparkSession, folder, OUTCOMES)
+        spark = rows.sparkSession  # the stream's own
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        rows = occurrences_of(taken(rows) if taken else rows)
+        n, held = rows.count(), held_of(_rows(spark, folder).where((F.col("batch") < batch) & F.col("news"))) if batch else spark.createDataFrame([], HELD)
+        parts, own = max(1, -(-n // at_once)), F.col("outcome").isin(*_OWN)
+        for k in range(parts):
+            here = F.pmod(F.xxhash64(*_KEY), F.lit(parts)) == k
+            told = outcomes(dealt(rows.where(here), n // parts, *_KEY), held.where(here))
+            brief = told.withColumns({f"held_{end}": F.when(~own, F.col(f"held_{end}")) for end in ("source", "target")}).withColumn("news", F.col("outcome").isin(*_NEWS))
+            brief.write.mode("append" if k else "overwrite").partitionBy("news").option("compression", "zstd").parquet(f"{folder}/rows/batch={batch}")
+
+    occurrences.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark, schema = occurrences.sparkSession, T.StructType([*OUTCOMES.fields, T.StructField("batch", T.LongType())])
+    return _rows(spark, folder).select(*schema.names) if any_written(spark, folder) else spark.createDataFrame([], schema)
 
 
 def _value_hash(x: Column) -> Column:
